@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import sys
 import types
 import uuid
@@ -44,26 +46,43 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` on reliable storage, without its lineage. For results that are small beside the input."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+_TABLES: list[Callable[[], None]] = []
 
 
 def keep(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """``df`` as a compressed table in the shared folder, and a call that deletes it when no plan reads it any more."""
+    """``df`` as a compressed table in the shared folder, computed once, and a call that deletes it when no plan reads it any more.
+
+    It survives lost executors, as the folder is on reliable storage. What isn't deleted goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
 
     def drop() -> None:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
+        context = spark.sparkContext
+        if context._jsc is not None:
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        if drop in _TABLES:
+            _TABLES.remove(drop)
+
+    if not _TABLES:
+        atexit.register(_drop_all)
+    _TABLES.append(drop)
     return spark.read.schema(df.schema).parquet(path), drop
 
 
+def _drop_all() -> None:
+    for drop in list(_TABLES):
+        with contextlib.suppress(Exception):  # the session may be gone already
+            drop()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage: a table that stays until the driver ends, as the result may be read at any time."""
+    return keep(df)[0]
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, over tasks."""
     return sys.modules.setdefault("_vellum_worker", types.ModuleType("_vellum_worker")).__dict__
