@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, licenses, mixing, neardup, packing, rules, secrets, vectors
+from vellum.llm import chat, licenses, mixing, neardup, packing, repeats, rules, secrets, vectors
 from vellum.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sampled(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op4_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.assign(read(spark, sf_dir, "documents"))
