@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, licenses, mixing, neardup, packing, repeats, rules, secrets, vectors
+from vellum.llm import chat, licenses, mixing, neardup, packing, quality, repeats, rules, secrets, vectors
 from vellum.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,11 @@ def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.assign(read(spark, sf_dir, "documents"))
 
 
+@query
+def op6_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 @query
 def op7_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
