@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.llm.common import cut
+
 #: Kinds of strong parts in their order, with pattern, group, and least length of that group.
 STRONG = {
     "assign": (r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
@@ -61,9 +63,10 @@ def _parts(text: Column) -> Column:
     return F.concat(*found)
 
 
-def reported(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """A row per row of ``docs`` (text) and reported part: sec_row, ``keys``, kind, rank, start, end; rows without any have one with null kind."""
-    rows = docs.select(F.monotonically_increasing_id().alias("sec_row"), *keys, _parts(F.coalesce(F.col("text"), F.lit(""))).alias("parts"))
+def reported(docs: DataFrame, keys: list[str], parts: Column | None = None) -> DataFrame:
+    """A row per row of ``docs`` (text, or its ``parts``) and reported part: sec_row, ``keys``, kind, rank, start, end; rows without any have one with null kind."""
+    parts = _parts(F.coalesce(F.col("text"), F.lit(""))) if parts is None else parts
+    rows = docs.select(F.monotonically_increasing_id().alias("sec_row"), *keys, parts.alias("parts"))
     rows = rows.select("sec_row", *keys, F.explode_outer("parts").alias("p"))  # numbered before they multiply
     rows = rows.select("sec_row", *keys, "p.*").repartition("sec_row")
     along = Window.partitionBy("sec_row", "kind").orderBy("i")
@@ -92,15 +95,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with reported spans masked in text, and n_chars following. Only texts that may hold a part are shuffled."""
+    """``docs`` with reported spans masked in text, and n_chars following. Only texts that hold a part are shuffled."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    weak = text.rlike(WEAK_HINT)
-    suspect = F.lit(False)
-    for kind in KINDS:
-        suspect = suspect | _has(text, kind, weak)
-    key = {"sec_id": F.col("doc_id").cast("long"), "sec_text": F.xxhash64(text)}
-    held = docs.where(suspect).withColumns(key)
-    rows = reported(held.select("text", "sec_id", "sec_text"), ["sec_id", "sec_text"]).where("kind is not null")
+    scanned = cut(docs.withColumn("sec_parts", _parts(text)))
+    held = scanned.where(F.size("sec_parts") > 0).withColumns({"sec_id": F.col("doc_id").cast("long"), "sec_text": F.xxhash64(text)})
+    rows = reported(held.select("sec_parts", "sec_id", "sec_text"), ["sec_id", "sec_text"], F.col("sec_parts")).where("kind is not null")
     upto = F.max("end").over(Window.partitionBy("sec_row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     order = Window.partitionBy("sec_row").orderBy("start", "end")
     rows = rows.withColumn("fresh", F.coalesce(F.col("start") >= upto, F.lit(True)).cast("int")).withColumn("island", F.sum("fresh").over(order))
@@ -114,4 +113,4 @@ def redacted(docs: DataFrame) -> DataFrame:
     changed = joined.withColumn("text", F.when(F.col("sec_spans").isNotNull(), masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("sec_spans").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return docs.where(~suspect).unionByName(changed.select(*docs.columns))
+    return scanned.where(F.size("sec_parts") == 0).select(*docs.columns).unionByName(changed.select(*docs.columns))
