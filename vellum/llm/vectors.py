@@ -76,7 +76,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     rows = rows.withColumn("embedding", integers(F.col("embedding"), scale))
     # Pivots: the rows with the smallest hashes; any pivots give right results.
     chosen = [r.embedding for r in rows.select("embedding", F.xxhash64("vec_id", F.lit(seed)).alias("h")).orderBy("h").limit(PIVOTS).collect()]
-    width = max(map(len, chosen), default=0)
+    if not chosen:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    width = max(map(len, chosen))
     pivots = np.array([x for x in chosen if len(x) == width], float).reshape(-1, width)
 
     def blocks(batches: Iterator[pa.RecordBatch], side: str, size: int) -> Iterator[pd.DataFrame]:
