@@ -19,8 +19,8 @@ def test_scalars(spark):
     got = one(
         spark,
         term=T.term_name(F.lit("202502")), odd=T.term_name(F.lit("202509")), none=T.term_name(F.lit("2025")),
-        days=T.readable_days(F.lit("TRX")), course=T.spaced_course_id(F.lit("cs412")), kept=T.spaced_course_id(F.lit("412")),
-        number=T.number_of(F.lit("cs412")), file=T.safe_filename(F.lit("a/b c?.txt")), nothing=T.safe_filename(F.lit("")),
+        days=T.readable_days(F.lit("tR.X")), course=T.spaced_course_id(F.lit("cs412")), kept=T.spaced_course_id(F.lit("412")),
+        number=T.number_of(F.lit("CS 412")), file=T.safe_filename(F.lit("a/b c?.txt")), nothing=T.safe_filename(F.lit("")),
         pii=T.redact(F.lit("mail a.b@c.de or +90 555 123 45 67!")), kind=T.document_type(F.lit(None).cast("string")), review=T.document_type(F.lit("WhatsApp")),
         label=T.source_label(F.lit("a.pdf"), F.lit(3), F.lit(None), F.lit("Intro")), place=T.location_key(F.lit(None), F.lit(4), F.lit("x")),
         req=T.requirement_type(F.lit("Core Electives")), other=T.requirement_type(F.lit("")), credit=T.format_credit(F.lit(2.5)), whole=T.format_credit(F.lit(3.0)),

@@ -68,8 +68,20 @@ def lines(*parts: Column, separator: str = "\n") -> Column:
 
 
 def field(label: str, value: Column) -> Column:
-    value = F.coalesce(value.cast("string"), F.lit(""))
-    return F.when(strip(value) == "", "").otherwise(F.concat(F.lit(f"{label}: "), value))
+    """``label: value.``, or nothing for an empty value."""
+    value = normalize_text(F.coalesce(value.cast("string"), F.lit("")))
+    return F.when(value == "", "").otherwise(F.concat(F.lit(f"{label}: "), value, F.lit(".")))
+
+
+def say(template: str, *values: Column | str) -> Column:
+    """A template with its {} filled in order; null as an empty text."""
+    first, *rest = template.split("{}")
+    if len(rest) != len(values):
+        raise ValueError(f"{template!r} takes {len(rest)} values")
+    parts = [F.lit(first)]
+    for value, after in zip(values, rest):
+        parts += [F.coalesce((F.col(value) if isinstance(value, str) else value).cast("string"), F.lit("")), F.lit(after)]
+    return F.concat(*parts)
 
 
 def maybe(text: Column, condition: Column) -> Column:
@@ -85,15 +97,17 @@ def spaced_course_id(c: Column) -> Column:
 def course_aliases(c: Column) -> Column:
     spaced = spaced_course_id(c)
     compact = F.replace(spaced, F.lit(" "), F.lit(""))
-    return F.array_distinct(F.array(spaced, compact, F.lower(compact)))
+    return F.array_distinct(F.array(spaced, compact, F.lower(spaced), F.lower(compact)))
 
 
 def subject_of(c: Column) -> Column:
-    return F.split(spaced_course_id(c), " ", 2)[0]
+    """The text before the first space."""
+    return F.split(c, " ", 2)[0]
 
 
 def number_of(c: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.split(spaced_course_id(c), " ", 2), F.lit(2)), F.lit(""))
+    """The text after the first space; empty without one."""
+    return F.coalesce(F.try_element_at(F.split(c, " ", 2), F.lit(2)), F.lit(""))
 
 
 def course_id(subject: Column, number: Column) -> Column:
@@ -120,8 +134,8 @@ def requirement_type(category: Column) -> Column:
 
 def readable_days(c: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in DAYS.items() for x in pair])
-    letters = F.filter(F.split(c, ""), lambda x: x.rlike(r"(?U)\p{Alpha}"))
-    return F.array_join(F.transform(letters, lambda x: F.coalesce(F.try_element_at(names, x), x)), "/")
+    letters = F.filter(F.split(c, ""), lambda x: x.rlike("[A-Za-z]"))
+    return or_else(F.array_join(F.transform(letters, lambda x: F.coalesce(F.try_element_at(names, F.upper(x)), x)), "/"), c)
 
 
 def clean_code(c: Column) -> Column:

@@ -333,7 +333,7 @@ def route_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT c_custkey, substr(c_name, 1, 3) || '_' AS prefix, CASE WHEN c_custkey % 3 = 0 THEN 'Fall' WHEN c_custkey % 3 = 1 THEN 'Spring' ELSE 'Summer' END || ' ' || (2000 + c_custkey % 30) || '-' || (2001 + c_custkey % 30) || ' (' || CASE WHEN c_custkey % 3 = 0 THEN 'Guz' WHEN c_custkey % 3 = 1 THEN 'Bahar' ELSE 'Yaz' END || ')' AS term,
-  'Monday/Wednesday' AS days, 'CS ' || (100 + c_custkey) AS course, 'number: ' || c_custkey AS body FROM customer""")
+  'Monday/Wednesday' AS days, 'CS ' || (100 + c_custkey) AS course, 'number: ' || c_custkey || '.' AS body FROM customer""")
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("c_custkey")
     code = F.concat((F.lit(2000) + i % 30).cast("string"), F.lit("0"), (i % 3 + 1).cast("string"))

@@ -19,11 +19,16 @@ RECORD = "path string, ord int, text string, page int, slide int, section string
 SUFFIXES = {".pdf", ".pptx", ".docx", ".md", ".markdown", ".txt", ".html", ".htm", ".ipynb", ".json"}
 
 
-def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """path, line_no (from 1; blank lines count, but make no row) and the parsed row; malformed JSON fails."""
-    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+def json_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """path, line_no (from 1; blank lines count, but make no row) and line of files of JSON lines."""
+    raw = spark.read.options(**options).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     numbered = raw.select("path", F.posexplode(F.split("value", "\r?\n")).alias("i", "line")).where(T.strip(F.col("line")) != "")
-    return numbered.select("path", (F.col("i") + 1).alias("line_no"), F.from_json("line", schema, {"mode": "FAILFAST"}).alias("row"))
+    return numbered.select("path", (F.col("i") + 1).alias("line_no"), "line")
+
+
+def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """path, line_no and the parsed row of files of JSON lines; malformed JSON fails."""
+    return json_lines(spark, path).select("path", "line_no", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("row"))
 
 
 def files(spark: SparkSession, root: str, suffixes: set[str] = SUFFIXES, excluded: set[str] = frozenset()) -> DataFrame:
