@@ -102,3 +102,22 @@ def test_catalog_command(spark, tmp_path):
     held = Store(spark, str(tmp_path / "store"))
     assert main(["--store", held.root, "catalog", str(tmp_path / "c"), "--dry-run"], spark) == {"available_term": 1, "available_terms_summary": 1} and held.read("chunks").count() == 0
     assert held.ingest_catalog(str(tmp_path / "c")) == 2 and held.read("chunks").count() == 2 and catalog.ORDER
+
+
+def test_retrieval_steps(spark):
+    from vellum.plans import retrieve
+
+    asked = retrieve.asked(spark, "CS 412 required section 202502")
+    base = {"document_type": ["schedule_section", "schedule_course_list"], "term_code": ["202502"], "program": ["CS"]}
+    full = base | {"requirement_type": ["required"]}
+    assert retrieve.steps(asked) == [full | {"course_id": "CS 412"}, base | {"course_id": "CS 412"}, full]
+    assert retrieve.steps(retrieve.asked(spark, "hello"), {"documentType": "course"}) == [{"documentType": "course"}] and retrieve.steps(retrieve.asked(spark, "hello")) == []
+    assert retrieve.steps(retrieve.asked(spark, "program of CS"))[0]["aggregate"] is True
+    rows = spark.createDataFrame([("a", "alpha", [0.0, 1.0], "course"), ("b", "beta hello", [1.0, 0.0], "course"), ("c", "hello", [0.0, 0.9], "exam"), ("d", "hello", None, "exam")], "chunk_id string, text string, embedding array<float>, documentType string")
+    got = retrieve.retrieve(rows, "hello", [0.0, 1.0], 2).orderBy("rank").collect()
+    assert [(r.chunk_id, r.score) for r in got] == [("c", 0.25), ("a", 0.0)]
+    both = retrieve.retrieve_types(rows, "hello", [0.0, 1.0], ["exam", "course"]).orderBy("position").collect()
+    assert [r.chunk_id for r in both] == ["c", "d", "b", "a"]
+    top = retrieve.rerank(retrieve.retrieve(rows, "hello", [0.0, 1.0], 4), "hello", F.length("text"), 2).collect()
+    assert [(r.chunk_id, r.combined_rerank_score) for r in top] == [("b", 10.0), ("c", 5.0)]
+    assert retrieve.retrieve(rows.limit(0), "hello", [0.0, 1.0]).count() == 0

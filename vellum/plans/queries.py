@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import cards, chunking, retrieval, store
-from vellum.plans import intent
+from vellum.plans import answers, catalog, intent, retrieve
 from vellum.sources import documents as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -341,3 +341,71 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey", F.concat(F.substring("c_name", 1, 3), F.lit("_")).alias("prefix"), T.term_name(code).alias("term"), T.readable_days(F.lit("M W")).alias("days"),
         T.spaced_course_id(F.concat(F.lit("cs"), (F.lit(100) + i).cast("string"))).alias("course"), T.lines(T.field("empty", F.lit("")), T.field("number", i), F.lit(" ")).alias("body"),
     )
+
+
+_CURRICULUM = """
+WITH p AS (SELECT p_partkey, p_name, CASE WHEN p_size % 3 = 0 THEN 'core' WHEN p_size % 3 = 1 THEN 'area' ELSE p_brand END AS kind, 'CS ' || p_partkey AS course, p_size FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY course) AS rn, count(*) OVER (PARTITION BY kind) AS n FROM p)
+SELECT '202502/CS.jsonl' AS source_path, kind AS requirement_type, CAST((rn - 1) // 70 + 1 AS BIGINT) AS part, count(*) AS course_count, sha256(
+  'Record type: aggregate course list for a program requirement category.' || chr(10) || 'Program: CS (major).' || chr(10) || 'Term: 202502 - Spring 2025-2026 (Bahar).' || chr(10)
+  || 'Requirement category: ' || kind || ' (' || CASE kind WHEN 'core' THEN 'core elective / cekirdek secmeli' WHEN 'area' THEN 'area elective / alan secmeli' ELSE kind END || ').' || chr(10)
+  || 'This card lists ' || count(*) || ' of ' || any_value(n) || ' courses in this category.' || chr(10)
+  || 'Courses: ' || string_agg(course || ' - ' || p_name || ' (SU ' || p_size || ', ECTS )', '; ' ORDER BY rn) || '.' || chr(10)
+  || 'Search aliases: CS ' || kind || ' courses, CS curriculum, CS electives.' || chr(10) || 'Source data: 202502/CS.jsonl.') AS digest
+FROM n GROUP BY kind, (rn - 1) // 70"""
+
+
+@query(_CURRICULUM)
+def curriculum_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as the rows of a program file, and its list cards."""
+    kind = F.when(F.col("p_size") % 3 == 0, "core").when(F.col("p_size") % 3 == 1, "area").otherwise(F.col("p_brand"))
+    row = F.to_json(F.struct(F.lit("CS").alias("Major"), F.col("p_partkey").alias("Code"), F.col("p_name").alias("Course_Name"), kind.alias("EL_Type"), F.col("p_size").cast("double").alias("SU_credit")))
+    lines = table(spark, sf_dir, "part").select(F.lit("202502/CS.jsonl").alias("source_path"), F.col("p_partkey").alias("line_no"), F.parse_json(row).alias("v"), F.lit("CS").alias("program"), F.lit("major").alias("program_type"), F.lit("202502").alias("term_code"))
+    lists = catalog.requirement_cards(lines)[1]
+    return lists.select("source_path", "requirement_type", "part", "course_count", F.sha2("text", 256).alias("digest"))
+
+
+def _words_sql(words: str, closed: bool = False) -> str:
+    ascii_only = "|".join(w for w in words.split("|") if w.isascii()).lower()
+    return f"regexp_matches(lower(text), '\\b({ascii_only})" + ("\\b" if closed else "") + "')"
+
+
+_AREA = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '\\b({'|'.join(n for n in names if n.isascii())})\\b') THEN '{key}'" for key, (_, names) in answers.INTERESTS.items()) + " END"
+_DETAIL = f"({_words_sql(answers.COURSE_DETAIL)} OR (regexp_matches(text, '(?i)\\b[A-Z]{{2,5}}\\s*\\d{{3,5}}\\b') AND NOT {_words_sql(answers.EXPLICIT_RECOMMENDATION)} AND NOT {_words_sql(answers.GRADUATION_ONLY, True)}))"
+
+
+@query(f"""
+SELECT doc_id, area, CASE WHEN {_words_sql(answers.GRADUATION)} AND NOT {_DETAIL} THEN 'mezuniyet_durumu' WHEN {_DETAIL} THEN 'ders_ayrintisi' WHEN {_words_sql(answers.STUDY_PLAN)} THEN 'calisma_plani'
+  WHEN {_words_sql(answers.MAJOR)} THEN 'major_secimi' WHEN {_words_sql(answers.SPECIALIZATION)} THEN 'alanda_ozellesme'
+  WHEN {_words_sql(answers.RECOMMENDATION)} OR (area IS NOT NULL AND length(regexp_replace(trim(text), '\s+', ' ', 'g')) <= 120 AND NOT {_words_sql(answers.NOT_RECOMMENDATION, True)}) THEN 'ders_onerisi' ELSE 'diger' END AS intent
+FROM (SELECT doc_id, text, {_AREA} AS area FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*'))""")
+def resolve_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    return docs.select("doc_id", answers.interest(F.col("text")).alias("area"), answers.resolve(F.col("text"), F.lit("diger")).alias("intent"))
+
+
+_QUESTION = "required CS courses with the secret of license"
+
+
+@query(f"""
+WITH probe AS (SELECT embedding FROM embeddings WHERE vec_id = 3),
+c AS (SELECT d.doc_id, text, source, CASE WHEN lang = 'en' THEN 'program_requirement' WHEN lang = 'de' THEN 'program_requirement_list' ELSE 'other' END AS kind, CASE WHEN d.doc_id % 5 < 3 THEN 'CS' ELSE 'EE' END AS program,
+  CASE WHEN d.doc_id % 3 = 0 THEN 'required' ELSE 'core' END AS requirement, lang = 'de' AS aggregate, list_distance(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(probe.embedding, lambda x: CAST(x AS DOUBLE))) AS d
+  FROM documents d LEFT JOIN embeddings v ON v.vec_id = d.doc_id LEFT JOIN probe ON true),
+s AS (SELECT *, 0 AS branch FROM c WHERE kind <> 'other' AND program = 'CS' AND requirement = 'required' AND aggregate UNION ALL SELECT *, 1 FROM c WHERE kind <> 'other' AND program = 'CS' AND requirement = 'required'),
+hit AS (SELECT * FROM (SELECT *, 0 AS way, row_number() OVER (PARTITION BY branch ORDER BY doc_id) AS position FROM s WHERE text <> '') WHERE position <= 60
+  UNION ALL SELECT * FROM (SELECT *, 1 AS way, row_number() OVER (PARTITION BY branch ORDER BY d, doc_id) AS position FROM s WHERE d IS NOT NULL) WHERE position <= 20),
+one AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY branch, way, position) AS rn FROM hit),
+scored AS (SELECT *, 10 + CASE WHEN aggregate THEN 1 ELSE 0 END + 0.25 * len(list_filter(['required', 'cs', 'courses', 'with', 'the', 'secret', 'of', 'license'], lambda t: contains(lower(text), t))) AS score FROM one WHERE rn = 1)
+SELECT doc_id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, branch, way, position) AS rank FROM scored) WHERE rank <= 20""")
+def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks with vectors where there are any; the question names a program and a requirement type."""
+    vectors = table(spark, sf_dir, "embeddings")
+    probe = vectors.where("vec_id = 3").select("embedding").first().embedding
+    kind = F.when(F.col("lang") == "en", "program_requirement").when(F.col("lang") == "de", "program_requirement_list").otherwise("other")
+    docs = table(spark, sf_dir, "documents").join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    chunks = docs.select(
+        "doc_id", F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("chunk_id"), "text", "embedding", "source", kind.alias("document_type"), F.when(F.col("doc_id") % 5 < 3, "CS").otherwise("EE").alias("program"),
+        F.when(F.col("doc_id") % 3 == 0, "required").otherwise("core").alias("requirement_type"), (F.col("lang") == "de").alias("aggregate"),
+    )
+    return retrieve.retrieve(chunks, _QUESTION, list(probe), 20).select("doc_id", F.col("score").cast("double").alias("score"), F.col("rank").cast("int"))
