@@ -110,6 +110,25 @@ def test_neardup(docs):
     assert kept.columns == docs.columns and len([r for r in kept.collect() if WORD.search(r.text or "")]) == len({find(k) for k in known})
 
 
+def test_neardup_in_a_large_group(spark):
+    """Pairs that are near to each other alone, in band groups of more than PAIRS texts: few share a smaller group."""
+    r = random.Random(5)
+    parent = [f"w{i}" for i in range(1000)]
+    texts = [" ".join(parent)]
+    for i in range(150):
+        one = list(parent)
+        for at in (r.randrange(10, 290), r.randrange(310, 590)):
+            one[at] = f"x{i}"
+        other = list(one)
+        other[r.randrange(700, 990)] = f"y{i}"
+        texts += [" ".join(one), " ".join(other)]
+    bags = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    near = [(a, b) for b in range(len(bags)) for a in range(b) if len(bags[a] & bags[b]) >= 0.985 * len(bags[a] | bags[b])]
+    assert near == [(i, i + 1) for i in range(1, 301, 2)]
+    got = {x.doc_id: x.class_id for x in neardup.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 0.985).collect()}
+    assert got == {0: 0} | {i: i - (i + 1) % 2 for i in range(1, 301)}
+
+
 def test_secrets(docs):
     got = {r.doc_id: r for r in secrets.scan(docs).collect()}
     for d in docs.collect():

@@ -15,7 +15,8 @@ against the group's leader, the text that shares bands with most others, and ver
 only groups that still span several components are looked at again: groups of up to ``PAIRS``
 texts compare all pairs between components; larger ones compare with leaders
 that change from round to round,
-the most central texts of random parts, until a round finds no link.
+the most central texts of random parts, until a round finds no link. In larger groups that span several components
+even then, all pairs between components are compared, block by block, but for those whose sizes exclude them.
 
 Rows without words (null, empty or blank texts) are each a class of their own. Repeated rows are copies of
 each other. Extra columns are ignored, or kept by ``distinct``; names that start with ``near_`` are reserved. An empty table gives no rows.
@@ -38,6 +39,8 @@ BANDS, ROWS = 32, 4
 PAIRS = 48
 #: Leaders of a larger group in each further round.
 LEADERS = 4
+#: Texts and shingles of a block, of which two are compared at a time; distinct shingles that a product takes at once.
+BLOCK, BLOCK_SHINGLES, WIDTH = 128, 1 << 19, 4096
 #: Candidate texts up to this number are broadcast as ids of 16 bytes.
 SMALL = 200_000
 #: Bytes of text that are shingled at a time.
@@ -238,6 +241,85 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The number of values that each set on the left has in common with each on the right."""
+    sides = [np.concatenate(x) for x in (left, right)]
+    shared = np.intersect1d(*sides)
+    places = []
+    for sets, flat in zip((left, right), sides):
+        owner, at = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.searchsorted(shared, flat)
+        hit = shared[np.minimum(at, len(shared) - 1)] == flat if len(shared) else np.zeros(len(flat), bool)
+        places.append((owner[hit], at[hit]))
+    common = np.zeros((len(left), len(right)))
+    for low in range(0, len(shared), WIDTH):
+        parts = []
+        for sets, (owner, at) in zip((left, right), places):
+            part, here = np.zeros((len(sets), WIDTH), np.float32), (at >= low) & (at < low + WIDTH)
+            part[owner[here], at[here] - low] = 1
+            parts.append(part)
+        common += parts[0] @ parts[1].T
+    return common
+
+
+def across(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) of roots: enough to join all components that a near pair within a group connects. rows: key, near_a and root.
+
+    A group's texts are dealt into blocks by size and by whether they are in its largest component, and every two
+    blocks that can hold a near pair between components make one piece of work, however large the group.
+    """
+    sizes = sets.select("near_a", (F.octet_length("near_set") / 8).alias("size"))
+    step = -float(np.log(similarity)) + 1e-3  # near texts are in the same or in adjacent buckets
+    sized = rows.join(sizes, "near_a").withColumn("bucket", F.floor(F.log("size") / step))
+    main = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    sized, drop_sized = keep(sized.join(main, "key").select("key", "near_a", "root", "size", "bucket", (F.col("root") == F.col("main")).cast("int").alias("main")))
+    held = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_SHINGLES / F.max("size"))))
+    cells = cut(sized.groupBy("key", "bucket", "main").agg(F.ceil(F.count(F.lit(1)) / held).alias("parts")))
+    a, b = (cells.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("bucket", "main", "parts")]) for x in "ab")
+    apart = (F.col("bucket_b") == F.col("bucket_a") + 1) | ((F.col("bucket_b") == F.col("bucket_a")) & (F.col("main_a") <= F.col("main_b")))
+    pairs = cut(a.join(b, "key").where(apart & (F.col("main_a") + F.col("main_b") < 2)))
+    same = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("main_a") == F.col("main_b"))
+    dealt = []
+    for x in "ab":
+        mine = sized.withColumnsRenamed({"bucket": f"bucket_{x}", "main": f"main_{x}"}).join(pairs, ["key", f"bucket_{x}", f"main_{x}"]).withColumn("part", F.pmod(F.xxhash64("near_a", F.lit(11)), F.col(f"parts_{x}")))
+        first, last = (F.when(same, F.col("part")).otherwise(F.lit(0)), F.col("parts_b") - 1) if x == "a" else (F.lit(0), F.when(same, F.col("part")).otherwise(F.col("parts_a") - 1))
+        mine = mine.withColumn("other", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+        order = ("part", "other") if x == "a" else ("other", "part")
+        dealt.append(mine.select("near_a", "root", F.lit(x == "b").alias("right"), F.xxhash64("key", "bucket_a", "main_a", "bucket_b", "main_b", *order).alias("work")))
+
+    def compare(table: pa.Table) -> pa.Table:
+        right = np.array(table["right"].to_pylist(), bool)
+        roots, held = np.array(table["root"].to_pylist(), np.int64), [np.frombuffer(x.as_buffer(), np.uint64) for x in table["near_set"]]
+        left, right = np.flatnonzero(~right), np.flatnonzero(right)
+        links, top = [], {}
+        if len(left) and len(right):
+            common = overlaps([held[i] for i in left], [held[i] for i in right])
+            size = np.array([len(x) for x in held], float)
+            near = (common >= similarity * (size[left][:, None] + size[right] - common) - 1e-9) & (roots[left][:, None] != roots[right])
+
+            def find(x: int) -> int:
+                while top.get(x, x) != x:
+                    x = top[x]
+                return x
+
+            for i, j in np.argwhere(near):
+                u, v = find(int(roots[left[i]])), find(int(roots[right[j]]))
+                if u != v:
+                    top[max(u, v)] = min(u, v)
+                    links.append((min(u, v), max(u, v)))
+        return pa.table({"u": pa.array([x[0] for x in links], pa.int64()), "v": pa.array([x[1] for x in links], pa.int64())})
+
+    found = cut(dealt[0].union(dealt[1]).join(sets, "near_a").groupBy("work").applyInArrow(compare, "u long, v long").distinct())
+    drop_sized()
+    return found
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after links (u, v) between roots. Only components are linked anew: the graph of their roots is small."""
+    merged = components(cut(links.where("u <> v").distinct()))
+    moved = labels.join(merged.select(F.col("near_a").alias("root"), F.col("root").alias("top")), "root", "left").select("near_a", F.coalesce("top", "root").alias("root"))
+    return cut(moved.union(merged.join(labels, "near_a", "left_anti")))
+
+
 def linked(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """near_a and root of the texts that have a near-duplicate."""
     rows = keyed(docs).where("near_words")
@@ -274,18 +356,19 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         within = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.near_a") < F.col("b.near_a")) & (F.col("a.root") != F.col("b.root"))).select(F.col("a.near_a").alias("u"), F.col("b.near_a").alias("v"))
         many = open_rows.where(F.col("n") > PAIRS).select("near_a", F.explode(F.filter("leads", lambda x: x["root"] != F.col("root"))).alias("lead")).select(F.least("near_a", "lead.near_a").alias("u"), F.greatest("near_a", "lead.near_a").alias("v"))
         fresh = cut((within.union(many) if turn == 1 else many).distinct().join(tested, ["u", "v"], "left_anti"))
-        drop_open()
         found = cut(verified(fresh, sets_once, similarity))
         if found.isEmpty():
             break
-        # Only components are linked anew: the graph of their roots is small.
+        drop_open()
         tested, named = cut(tested.union(fresh)), labels
         for end in ("u", "v"):
             found = found.join(named.select(F.col("near_a").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(end, F.coalesce(f"{end}_root", end)).drop(f"{end}_root")
-        merged = components(cut(found.where("u <> v").distinct()))
-        moved = labels.join(merged.select(F.col("near_a").alias("root"), F.col("root").alias("top")), "root", "left").select("near_a", F.coalesce("top", "root").alias("root"))
-        fresh_nodes = merged.join(labels, "near_a", "left_anti")
-        labels = cut(moved.union(fresh_nodes))
+        labels = joined(labels, found)
+    rest = open_rows.where(F.col("n") > PAIRS).select("key", "near_a", "root")
+    if not rest.isEmpty():
+        links = across(rest, sets_once, similarity)
+        labels = labels if links.isEmpty() else joined(labels, links)
+    drop_open()
     for drop in (drop_bands, drop_groups, drop_sets):
         drop()
     return labels
