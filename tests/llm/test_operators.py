@@ -110,6 +110,18 @@ def test_neardup(docs):
     assert kept.columns == docs.columns and len([r for r in kept.collect() if WORD.search(r.text or "")]) == len({find(k) for k in known})
 
 
+def test_neardup_without_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    near = " ".join([*words[:-1], "x"])
+    other = [f"o{i}" for i in range(100)]
+    rows = [(7, " ".join(words)), (None, near), (None, near), (None, " ".join(other)), (None, " ".join([*other[:-1], "x"])), (9, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id, r.class_size) for r in neardup.assign(docs).collect()), key=str)
+    assert got == sorted([(7, 7, 3), (None, 7, 3), (None, 7, 3), (None, None, 2), (None, None, 2), (9, 9, 1)], key=str)
+    kept = [tuple(r) for r in neardup.distinct(docs).collect()]
+    assert len(kept) == 3 and set(kept) >= {rows[0], rows[5]}
+
+
 def test_neardup_in_a_large_group(spark):
     """Pairs that are near to each other alone, in band groups of more than PAIRS texts: few share a smaller group."""
     r = random.Random(5)

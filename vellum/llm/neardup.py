@@ -334,7 +334,8 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     wanted = cut(groups.select("near_a").distinct())
     chosen = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
     owners = cut(rows.groupBy("near_a").agg(F.min("doc_id").alias("doc_id")).join(chosen, "near_a", "left_semi"))
-    once = rows.join(F.broadcast(owners) if owners.count() <= SMALL else owners, ["near_a", "doc_id"], "left_semi")
+    owners = owners.select(F.col("near_a").alias("own_a"), F.col("doc_id").alias("own_id"))
+    once = rows.join(F.broadcast(owners) if owners.count() <= SMALL else owners, (F.col("near_a") == F.col("own_a")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left_semi")
     sets, drop_sets = keep(contents(once))
     sets_once = sets.dropDuplicates(["near_a"])
     leaders = groups.groupBy("key").agg(F.max(F.struct("score", "near_a"))["near_a"].alias("leader"))
@@ -375,11 +376,11 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """near_a, near_b, class_id, class_size and first (the row that stands for the class: doc_id, near_a, near_b) of every text with words."""
+    """near_a, near_b, class_id, class_size and first (the row that stands for the class: doc_id, near_a, near_b; null ids come last) of every text with words."""
     texts = keyed(docs).where("near_words").groupBy("near_a", "near_b").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     placed = texts.join(linked(docs, similarity), "near_a", "left").select("near_a", "near_b", "doc_id", "n", F.coalesce("root", "near_a").alias("r1"), F.when(F.col("root").isNull(), F.col("near_b")).otherwise(F.lit(0)).alias("r2"))
     placed = cut(placed)
-    named = placed.groupBy("r1", "r2").agg(F.min(F.struct("doc_id", "near_a", "near_b")).alias("first"), F.sum("n").alias("class_size"))
+    named = placed.groupBy("r1", "r2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_a", "near_b")).alias("first"), F.sum("n").alias("class_size"))
     return placed.select("near_a", "near_b", "r1", "r2").join(named, ["r1", "r2"]).select("near_a", "near_b", F.col("first.doc_id").alias("class_id"), "class_size", "first")
 
 
