@@ -48,6 +48,15 @@ def test_licenses(docs):
     assert licenses.postfix("AND") == [] and licenses.postfix("MIT AND") == ["mit"] and licenses.postfix("(MIT") == ["mit"]
 
 
+def test_license_tags_on_one_line(spark):
+    tag = "SPDX-License-Identifier: "
+    long = " AND ".join(["MIT"] * 100 + ["AGPL-3.0"])
+    rows = [(1, f"{tag}MIT some words {tag}GPL-3.0"), (2, tag + long), (3, f"{tag}{tag}ISC\n{tag}\nMIT"), (4, f"{tag}MIT OR {tag}GPL-2.0")]
+    got = {r.doc_id: (r.labels, r.score, r.expressions) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("gpl-3.0,mit", 0.6, "mit;gpl-3.0") and got[2][:2] == ("agpl-3.0,mit", 0.7)
+    assert got[3] == ("isc", 0.1, "isc") and got[4] == ("gpl-2.0,mit", 0.6, "mit;gpl-2.0")
+
+
 def test_rules(docs):
     got = {r.doc_id: r for r in rules.verdicts(docs).collect()}
     for d in docs.collect():

@@ -43,19 +43,21 @@ RESTRICTION = {
 }
 UNKNOWN, LOOSENED = 0.5, 0.75
 TAG = "spdx license identifier"
-#: What may follow a tag on its line.
-EXPRESSION = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]{1,400})", re.IGNORECASE | re.ASCII)
+#: A tag; its expression ends with the line, or at the next tag.
+TAGGED = re.compile(r"SPDX-License-Identifier:[ \t]*", re.IGNORECASE | re.ASCII)
+ENDS = re.compile(r"[\r\n]|SPDX-License-Identifier:", re.IGNORECASE | re.ASCII)
 TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 BINDS = {"or": 1, "and": 2, "with": 3}
 COLUMNS = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions string"
 
 
-def postfix(expression: str) -> list[str]:
-    """Shunting-yard; reading stops where the text is no longer an expression. Empty if there is none."""
+def postfix(expression: str, begin: int = 0, end: int | None = None) -> list[str]:
+    """Shunting-yard over ``expression[begin:end]``; reading stops where the text is no longer an expression. Empty if there is none."""
     out: list[str] = []
     held: list[str] = []
     operand = True  # is one due
-    for token in TOKEN.findall(expression):
+    for match in TOKEN.finditer(expression, begin, len(expression) if end is None else end):
+        token = match[0]
         word = token.lower()
         if operand and word not in BINDS and token != ")":
             if token == "(":
@@ -156,8 +158,9 @@ def scan(docs: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
                     else:
                         tagged = True
                 said = []
-                for match in EXPRESSION.finditer(text) if tagged else ():
-                    if tokens := postfix(match[1]):
+                for match in TAGGED.finditer(text) if tagged else ():
+                    stop = ENDS.search(text, match.end())
+                    if tokens := postfix(text, match.end(), stop.start() if stop else len(text)):
                         bound, ids = evaluate(tokens)
                         worst = max(worst, bound)
                         labels.update(ids)
