@@ -95,8 +95,19 @@ FROM turns WHERE regexp_full_match(text, '(?s)[^0-9@:\\[]*') AND conv_id % 2 = 0
 def chat_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as chat exports, every second in the bracket form, with their lines as continuations, parsed back."""
     rows = table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"^(?s)[^0-9@:\[]*$") & (F.col("conv_id") % 2 == 0))
+    return _reparsed(rows)
+
+
+@query()
+def chat_parse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``chat_parse``, with all turns of all conversations; DuckDB can't express it, as texts hold lines that look like heads."""
+    return _reparsed(table(spark, sf_dir, "conversations"))
+
+
+def _reparsed(rows: DataFrame) -> DataFrame:
+    """Turns written as chat exports, every second in the bracket form, and parsed."""
     head = F.when(F.col("turn") % 2 == 0, F.lit("[1.2.2024 10:15] ")).otherwise(F.lit("1.2.2024, 10:15 AM - "))
-    lines = rows.withColumn("line", F.concat(head, "role", F.lit(": "), "text"))
+    lines = rows.withColumn("line", F.concat(head, F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit(""))))
     exports = lines.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("text"))
     return sources.chat(exports, ["conv_id"]).select("conv_id", "index", "author", F.length("text").cast("long").alias("n_chars"), "date")
 
