@@ -84,7 +84,17 @@ SELECT doc_id, sha256(said) AS digest, CAST(said <> text AS INTEGER) AS changed
   FROM documents) WHERE regexp_full_match(text, '[\x00-\x7F]*')""")
 def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return docs.select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("digest"), (T.redact(F.col("text")) != F.col("text")).cast("int").alias("changed"))
+    return _redacted(docs)
+
+
+@query()
+def pii_redact_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; DuckDB's classes are ASCII, so there is no SQL."""
+    return _redacted(table(spark, sf_dir, "documents"))
+
+
+def _redacted(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("digest"), (T.redact(F.col("text")) != F.coalesce("text", F.lit(""))).cast("int").alias("changed"))
 
 
 @query("""
@@ -339,6 +349,16 @@ SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\\b(prof|professor|instruc
 FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')""")
 def route_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    return _routed(docs)
+
+
+@query()
+def route_rules_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; DuckDB's classes are ASCII, so there is no SQL."""
+    return _routed(table(spark, sf_dir, "documents"))
+
+
+def _routed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", intent.route(F.col("text"), F.lit("diger"))["intent"].alias("intent"))
 
 
@@ -392,6 +412,16 @@ SELECT doc_id, area, CASE WHEN {_words_sql(answers.GRADUATION)} AND NOT {_DETAIL
 FROM (SELECT doc_id, text, {_AREA} AS area FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*'))""")
 def resolve_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    return _resolved(docs)
+
+
+@query()
+def resolve_intent_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; DuckDB's classes are ASCII, so there is no SQL."""
+    return _resolved(table(spark, sf_dir, "documents"))
+
+
+def _resolved(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", answers.interest(F.col("text")).alias("area"), answers.resolve(F.col("text"), F.lit("diger")).alias("intent"))
 
 
