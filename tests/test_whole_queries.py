@@ -77,3 +77,12 @@ def test_whole_documents(spark, tmp_path):
         assert got == {i: (hashlib.sha256(redact(x).encode()).hexdigest(), int(redact(x) != x)) for i, x in docs.items()}
         assert {r.doc_id: r.intent for r in QUERIES["route_rules_whole"](spark, where).collect()} == {i: routed(x) for i, x in docs.items()}
         assert {r.doc_id: (r.area, r.intent) for r in QUERIES["resolve_intent_whole"](spark, where).collect()} == {i: (interest(x), resolved(x)) for i, x in docs.items()}
+
+
+def test_whole_ids(spark):
+    where = "/root/testdata/sf0.001"
+    users = {r.o_custkey for r in spark.read.parquet(f"{where}/orders.parquet").select("o_custkey").collect()}
+    got = {r.user_id for r in QUERIES["user_profile_whole"](spark, where).select("user_id").distinct().collect()}
+    assert len(got) > 3 and got <= users
+    ids = {r.vec_id for r in spark.read.parquet(f"{where}/embeddings.parquet").where("vec_id % 100 = 0").select("vec_id").collect()}
+    assert {r.query_id for r in QUERIES["batch_dense_topk_whole"](spark, where).collect()} == ids

@@ -66,6 +66,16 @@ def batch_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense_topk(vectors, _probes(vectors, "vec_id < 10"), 20).select(F.col("probe_id").alias("query_id"), "vec_id", F.col("rank").cast("int"))
 
 
+@query(f"""
+SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT p.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY p.vec_id ORDER BY {_DISTANCE}, e.vec_id) AS rank
+  FROM embeddings e, embeddings p WHERE p.vec_id % 100 = 0) WHERE rank <= 20""")
+def batch_dense_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``batch_dense_topk``, with a hundredth of the vectors as queries."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return retrieval.dense_topk(vectors, _probes(vectors, "vec_id % 100 = 0"), 20).select(F.col("probe_id").alias("query_id"), "vec_id", F.col("rank").cast("int"))
+
+
 @query("""
 SELECT doc_id, sha256(text) AS digest, length(text) AS n FROM (
   SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
@@ -291,7 +301,18 @@ def recommend_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_custkey AS user_id, p.p_brand AS subject, p.p_partkey AS course FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part p ON l_partkey = p_partkey
 WHERE o_custkey IN (1, 2, 7) GROUP BY ALL""")
 def user_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mine = table(spark, sf_dir, "orders").where(F.col("o_custkey").isin(1, 2, 7)).select(F.col("o_custkey").alias("user_id"), "o_orderkey")
+    return _profiles(spark, sf_dir, table(spark, sf_dir, "orders").where(F.col("o_custkey").isin(1, 2, 7)))
+
+
+@query("""
+SELECT o_custkey AS user_id, p.p_brand AS subject, p.p_partkey AS course FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part p ON l_partkey = p_partkey GROUP BY ALL""")
+def user_profile_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profiles of all customers."""
+    return _profiles(spark, sf_dir, table(spark, sf_dir, "orders"))
+
+
+def _profiles(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    mine = orders.select(F.col("o_custkey").alias("user_id"), "o_orderkey")
     links = table(spark, sf_dir, "lineitem").join(mine, F.col("l_orderkey") == F.col("o_orderkey")).select("user_id", F.col("l_partkey").alias("course")).distinct()
     return links.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("course"), F.col("p_brand").alias("subject")), "course").select("user_id", "subject", "course")
 
