@@ -169,21 +169,6 @@ def test_weak_parts_need_company(spark):
     assert got == {1: "identifier:0:9,key:10:22", 2: "", 3: "", 4: ""}
 
 
-def test_vectors(spark):
-    r = random.Random(1)
-    rows = [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(300)] + [(5, [0.5] * 8), (5, [0.5] * 8), (100, None), (301, [None] * 8), (302, [float("nan")] * 8)]
-    got = {tuple(x) for x in vectors.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect()}
-    import numpy as np
-
-    good = [(i, np.floor(1024 * np.array(v, np.float32).astype(float))) for i, v in rows if v and v[0] is not None and v[0] == v[0]]
-    want = set()
-    for q, v in good:
-        if q % 100 == 0:
-            best = sorted((-int(v @ w), i) for i, w in good if i != q)[:10]
-            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
-    assert got == want
-
-
 def test_packing(docs):
     ids = packing.Ids(tokenizer_path())
     rows = packing.pack(docs, tokenizer_path(), 64).collect()

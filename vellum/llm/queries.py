@@ -138,3 +138,45 @@ scored AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
 """
+
+#: The base counts, and the fences of the sketches, whose buckets grow by 1 %.
+ORACLES["op2_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+starts AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS key FROM w, unnest(range(1, len(words) - 1)) AS t(i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, key) AS n FROM starts) WHERE n > 1),
+again AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS v(k) GROUP BY r),
+c AS (
+  SELECT w.r, doc_id, lang, source, md5(text) AS digest, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words,
+    length(regexp_replace(text, '[\p{L}\p{N}\x20\x09-\x0D]+', '', 'g')) AS n_marks, length(regexp_replace(text, '\P{Lu}+', '', 'g')) AS n_capitals,
+    len(list_filter(words, lambda x: length(x) <= 3)) AS n_short
+  FROM w LEFT JOIN again USING (r)),
+m AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST(word_chars AS DOUBLE) / greatest(n_words, 1) AS word_size,
+    CAST(n_marks AS DOUBLE) / greatest(word_chars, 1) AS marks, CAST(n_capitals AS DOUBLE) / greatest(word_chars, 1) AS capitals, CAST(n_short AS DOUBLE) / greatest(n_words, 1) AS short
+  FROM c),
+texts AS (SELECT lang, source, digest, any_value(word_size) AS word_size, any_value(marks) AS marks, any_value(capitals) AS capitals, any_value(short) AS short FROM m WHERE NOT base_failed GROUP BY ALL),
+rates AS (UNPIVOT texts ON word_size, marks, capitals, short INTO NAME rate VALUE v),
+sketch AS (SELECT lang, source, rate, CASE WHEN v < 0.0001 THEN 0.0 ELSE exp(ceil(ln(v) / ln(1.01)) * ln(1.01)) END AS v, count(*) AS n FROM rates GROUP BY ALL),
+own AS (SELECT lang, source, rate, v, sum(n) OVER (PARTITION BY lang, source, rate ORDER BY v) AS upto, sum(n) OVER (PARTITION BY lang, source, rate) AS n FROM sketch),
+by_lang AS (SELECT DISTINCT lang, rate, v, sum(n) OVER (PARTITION BY lang, rate ORDER BY v) AS upto, sum(n) OVER (PARTITION BY lang, rate) AS n FROM sketch),
+of_all AS (SELECT DISTINCT rate, v, sum(n) OVER (PARTITION BY rate ORDER BY v) AS upto, sum(n) OVER (PARTITION BY rate) AS n FROM sketch),
+q2 AS (SELECT lang, source, rate, min(v) FILTER (upto >= 0.25 * n) AS q1, min(v) FILTER (upto >= 0.75 * n) AS q3, max(n) / (max(n) + 50) AS share FROM own GROUP BY ALL),
+q1 AS (SELECT lang, rate, min(v) FILTER (upto >= 0.25 * n) AS q1, min(v) FILTER (upto >= 0.75 * n) AS q3, max(n) / (max(n) + 50) AS share FROM by_lang GROUP BY ALL),
+q0 AS (SELECT rate, min(v) FILTER (upto >= 0.25 * n) AS q1, min(v) FILTER (upto >= 0.75 * n) AS q3 FROM of_all GROUP BY ALL),
+drawn AS (
+  SELECT q2.lang, q2.source, rate, q2.share * q2.q1 + (1 - q2.share) * (q1.share * q1.q1 + (1 - q1.share) * q0.q1) AS a,
+    q2.share * q2.q3 + (1 - q2.share) * (q1.share * q1.q3 + (1 - q1.share) * q0.q3) AS b, (q0.q3 - q0.q1) / 2 AS least
+  FROM q2 JOIN q1 USING (rate) JOIN q0 USING (rate) WHERE q2.lang IS NOT DISTINCT FROM q1.lang),
+fences AS (SELECT lang, source, rate, a - 4 * greatest(b - a, least) AS low, b + 4 * greatest(b - a, least) AS high FROM drawn WHERE greatest(b - a, least) > 0),
+broken AS (
+  SELECT DISTINCT m.r FROM m JOIN fences f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
+  WHERE CASE f.rate WHEN 'word_size' THEN word_size WHEN 'marks' THEN marks WHEN 'capitals' THEN capitals ELSE short END NOT BETWEEN low AND high)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken.r IS NULL AS kept
+FROM m LEFT JOIN broken USING (r)
+"""
