@@ -6,13 +6,14 @@ language, source or id), a small layer maps it on, and a gated attention unit,
 tanh(hV) * sigmoid(hU), learns from document labels alone which passages matter; the weighted
 sum of passages is scored by a logistic unit (Ilse, Tomczak and Welling 2018).
 
-The model is fitted on the driver, on at most ``TRAIN_DOCS`` labelled documents, chosen by a hash
-of their ids, and at most ``TRAIN_PASSAGES`` evenly spaced passages of each: a bounded sample. Scoring reads every
-passage of every document, passage by passage in parallel slices.
+The model is fitted on the driver, on a bounded sample of labelled documents: the ``TRAIN_DOCS`` with the least hashes
+of their ids and, in that order, those whose passages still fit into ``TRAIN_PASSAGES`` in all. Every passage of a document of
+the sample is in its bag, however long the text. Scoring reads every passage of every document, slice by slice of a partition.
 
 Null, empty and blank texts have no passages and get the score of an empty bag. Labels that are null or
-contradict each other aren't learned from; without any labels, all scores are 0.5. Repeated rows repeat their score; extra columns are
-ignored; an empty table gives no rows.
+contradict each other aren't learned from; without any labels, all scores are 0.5. Of texts that share an id, the one with the
+least hash is learned from. Repeated rows repeat their score; extra columns are
+ignored, whatever their names; an empty table gives no rows. A very long text is encoded at once, in some tens of bytes a byte.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PASSAGE, TRAIN_DOCS, TRAIN_PASSAGES = 64, 4000, 32
+from vellum.llm.common import keep
+
+PASSAGE, TRAIN_DOCS, TRAIN_PASSAGES = 64, 4000, 400_000
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 24, 12, 60, 256, 0.01, 1e-4
 #: Bytes of text that are encoded at a time.
 SLICE = 1 << 20
@@ -156,20 +159,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model |
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.min(label).alias("least"), F.max(label).alias("y")).where("least = y").select("doc_id", "y")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)  # at most TRAIN_DOCS rows: bounded
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").withColumn("digest", F.xxhash64("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in slices(batch, 1):
                 owner, x = passages(texts)
                 bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-                sets = []
-                for a, b in zip(bounds, bounds[1:]):
-                    some = np.unique(np.linspace(a, b - 1, min(b - a, TRAIN_PASSAGES)).astype(int)) if b > a else []
-                    sets.append(x[some].astype(np.float32).tobytes() if len(some) else b"")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), batch.column(2).slice(begin, len(texts)), pa.array(sets, pa.binary())], ["doc_id", "y", "x"])
-
-    got = rows.select("doc_id", "text", F.col("y").cast("int")).mapInArrow(encode, "doc_id long, y int, x binary").where(F.octet_length("x") > 0).dropDuplicates(["doc_id"]).collect()
+                sets = [x[a:b].astype(np.float32).tobytes() for a, b in zip(bounds, bounds[1:])]
+                some = [batch.column(i).slice(begin, len(texts)) for i in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*some, pa.array(np.diff(bounds)), pa.array(sets, pa.binary())], ["doc_id", "y", "digest", "n", "x"])
+
+    bags = rows.select("doc_id", "text", F.col("y").cast("int"), "digest").mapInArrow(encode, "doc_id long, y int, digest long, n long, x binary").where("n > 0")
+    bags, drop = keep(bags.groupBy("doc_id").agg(F.min_by(F.struct("y", "n", "x"), "digest").alias("bag")).select("doc_id", "bag.*"))
+    fitting, room = [], TRAIN_PASSAGES
+    for r in bags.select("doc_id", "n", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect():  # at most TRAIN_DOCS rows
+        if r.n <= room:
+            fitting.append(r.doc_id)
+            room -= r.n
+    got = bags.where(F.col("doc_id").isin(fitting)).collect() if fitting else []  # at most TRAIN_PASSAGES passages
+    drop()
     if not got:
         return None
     got.sort(key=lambda r: r.doc_id)
