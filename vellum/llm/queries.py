@@ -180,3 +180,23 @@ broken AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken.r IS NULL AS kept
 FROM m LEFT JOIN broken USING (r)
 """
+
+#: The strong kinds with their places; weak parts, which no text of the test tables holds, have no SQL.
+ORACLES["op8_secret_scan"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+kinds AS (SELECT * FROM (VALUES (0, 'assign'), (1, 'access'), (2, 'hex')) AS t(rank, kind)),
+cut AS (
+  SELECT r, rank, kind, string_split_regex(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS gaps,
+    regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS said,
+    regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS value FROM d, kinds WHERE rank = 0
+  UNION ALL SELECT r, rank, kind, string_split_regex(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0) FROM d, kinds WHERE rank = 1
+  UNION ALL SELECT r, rank, kind, string_split_regex(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+', 0), regexp_extract_all(text, '[0-9a-f]+', 0) FROM d, kinds WHERE rank = 2),
+one AS (SELECT r, rank, kind, i, length(gaps[i]) AS gap, length(said[i]) AS size, length(value[i]) AS n FROM cut, unnest(range(1, len(said) + 1)) AS t(i)),
+placed AS (SELECT *, CAST(sum(gap + size) OVER (PARTITION BY r, rank ORDER BY i) AS BIGINT) AS stop FROM one),
+kept AS (SELECT r, rank, kind, stop - size AS start, stop FROM placed WHERE n >= CASE rank WHEN 0 THEN 6 WHEN 1 THEN 20 ELSE 24 END),
+told AS (
+  SELECT r, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS spans FROM kept GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, '' AS links
+FROM d LEFT JOIN told USING (r)
+"""

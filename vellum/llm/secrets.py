@@ -3,16 +3,18 @@
 Patterns mark parts of credentials in whole texts: strong ones (assigned passwords and tokens,
 access identifiers, long hex strings), which are always reported, and weak ones: other
 identifiers, short assigned keys and endpoints, which mean little alone. A weak part is reported only
-where complementary parts co-occur in its scope, the interval of ``SCOPE`` code points around its
-start: a secret beside an identifier or endpoint, an identifier beside a secret, an endpoint
-beside both. The interval self-join of a document's parts is a range window over
-their starts, so no pairs are made.
+where complementary parts co-occur in its scope: a secret beside an identifier or endpoint, an identifier beside a secret,
+an endpoint beside both. Two parts are in one scope if the intervals they cover are at most ``SCOPE`` code points apart, from the end of one
+to the start of the other, however long they are. The interval join looks for the nearest partner of each class on either side, as running
+extremes along the text: the greatest end among parts that start before, the least start among those after. It is linear in
+the parts and makes no pairs; a weak part that is reported carries the partners found as its links.
 
 A pattern's matches are split from the text between them; lengths of both, summed up
 along the text, give positions in code points, in linear time. Only built-in functions are used.
 
 Null and empty texts have no parts. Each row is scanned by itself: repeated rows repeat their result. An
-empty table gives no rows. Extra columns stay in ``redacted`` and are ignored elsewhere; names that start with ``sec_`` are reserved.
+empty table gives no rows. A long text is one row and is scanned whole; its parts are sorted in one task. Extra columns stay in ``redacted`` and are ignored
+elsewhere, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from vellum.llm.common import cut
 STRONG = {
     "assign": (r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
-    "hex": (r"[0-9a-f]{24,}", 0, 24),
+    "hex": (r"[0-9a-f]{24,}", 0, 24),  # shorter runs would fail, and none holds a longer one
 }
 _TIE = r"[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?"
 #: Weak parts. A word boundary in front keeps them apart from longer words.
@@ -38,79 +40,87 @@ WEAK = {
 KINDS = {**STRONG, **WEAK}
 SCOPE = 200
 #: Texts without these have no part of the kind; they are cheaper to look for than the patterns.
-HINT = {"access": "AKIA"}
 WEAK_HINT = r"://|(?i:user|name|login|_?id|account|key|pass|phrase|pwd|auth|credentials?|signature|host|endpoint|server|url)[\"']?\x20{0,4}[:=]"
 MASK = "[redacted]"
-
-
-def _has(text: Column, kind: str, weak: Column) -> Column:
-    if kind in WEAK:
-        return weak & text.rlike(WEAK[kind][0])
-    return text.contains(HINT[kind]) if kind in HINT else text.rlike(STRONG[kind][0])
+#: Classes of parts that complement each other.
+CLASSES = {"secret": ("assign", "hex", "key"), "identifier": ("access", "identifier"), "place": ("endpoint",)}
 
 
 def _parts(text: Column) -> Column:
     """array<struct<kind, rank, i, gap, size, ok>>: matches of all kinds, with the length of the text before each since the last."""
     none = F.array().cast("array<struct<kind:string,rank:int,i:int,gap:int,size:int,ok:boolean>>")
-    weak = text.rlike(WEAK_HINT)
+    tied = text.rlike("[:=]")
+    weak = tied & text.rlike(WEAK_HINT)
     found = []
     for rank, (kind, (pattern, group, least)) in enumerate(KINDS.items()):
         whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        judged = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda g: F.length(g) >= least)
-        zipped = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(whole, F.length).alias("size"), judged.alias("ok"))
-        rows = F.transform(F.filter(zipped, lambda x: x["size"].isNotNull()), lambda x, i: F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), i.alias("i"), x["gap"].alias("gap"), x["size"].alias("size"), x["ok"].alias("ok")))
-        found.append(F.when(_has(text, kind, weak), rows).otherwise(none))
+        value = lambda x: F.regexp_extract(x, pattern, group) if group else x  # noqa: E731, B023  a match matches itself whole
+        zipped = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), whole.alias("said"))
+        rows = F.transform(F.filter(zipped, lambda x: x["said"].isNotNull()), lambda x, i: F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), i.alias("i"), x["gap"].alias("gap"), F.length(x["said"]).alias("size"), (F.length(value(x["said"])) >= least).alias("ok")))  # noqa: B023
+        has = text.contains("AKIA") if kind == "access" else weak & text.rlike(pattern) if kind in WEAK else tied & text.rlike(pattern) if kind == "assign" else text.rlike(pattern)
+        found.append(F.when(has, rows).otherwise(none))
     return F.concat(*found)
 
 
-def reported(docs: DataFrame, keys: list[str], parts: Column | None = None) -> DataFrame:
-    """A row per row of ``docs`` (text, or its ``parts``) and reported part: sec_row, ``keys``, kind, rank, start, end; rows without any have one with null kind."""
-    parts = _parts(F.coalesce(F.col("text"), F.lit(""))) if parts is None else parts
-    rows = docs.select(F.monotonically_increasing_id().alias("sec_row"), *keys, parts.alias("parts"))
-    rows = rows.select("sec_row", *keys, F.explode_outer("parts").alias("p"))  # numbered before they multiply
-    rows = rows.select("sec_row", *keys, "p.*").repartition("sec_row")
-    along = Window.partitionBy("sec_row", "kind").orderBy("i")
+def reported(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, kind, rank, start, end and links (array of said partners) of every reported part of ``rows`` (keys, the first of which numbers the rows, and parts); rows without any have one with null kind."""
+    rows = rows.select(*keys, F.explode_outer("parts").alias("p")).select(*keys, "p.*").repartition(keys[0])
+    along = Window.partitionBy(keys[0], "kind").orderBy("i")
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(along)).withColumn("start", F.col("end") - F.col("size"))
     rows = rows.where(F.col("kind").isNull() | F.col("ok") | (F.col("i") == 0)).withColumn("kind", F.when(F.col("ok"), F.col("kind")))
-    near = Window.partitionBy("sec_row").orderBy("start").rangeBetween(-SCOPE, SCOPE)
-    count = lambda *kinds: F.max(F.col("kind").isin(*kinds)).over(near)
-    rows = rows.withColumns({"secret": count("assign", "hex", "key"), "identifier": count("access", "identifier"), "place": count("endpoint")})
+    order = Window.partitionBy(keys[0]).orderBy("start", "rank", "end")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    near: dict[str, tuple[Column, Column]] = {}
+    for name, kinds in CLASSES.items():
+        own = F.col("kind").isin(*kinds)
+        left = F.max(F.when(own, F.struct("end", "start", "kind"))).over(before)
+        right = F.min(F.when(own, F.struct("start", "end", "kind"))).over(after)
+        near[name] = left, right
+    rows = rows.withColumns({f"{side}_{name}": c for name, both in near.items() for side, c in zip(("left", "right"), both)})
+    said = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+    for name in CLASSES:
+        left, right = F.col(f"left_{name}"), F.col(f"right_{name}")
+        rows = rows.withColumn(name, F.array_compact(F.array(F.when(left["end"] >= F.col("start") - SCOPE, said(left)), F.when(right["start"] <= F.col("end") + SCOPE, said(right)))))
+    has = lambda name: F.size(name) > 0
     linked = (
-        F.when(F.col("kind") == "key", F.col("identifier") | F.col("place"))
-        .when(F.col("kind") == "identifier", F.col("secret"))
-        .when(F.col("kind") == "endpoint", F.col("secret") & F.col("identifier"))
+        F.when(F.col("kind") == "key", has("identifier") | has("place"))
+        .when(F.col("kind") == "identifier", has("secret"))
+        .when(F.col("kind") == "endpoint", has("secret") & has("identifier"))
         .otherwise(F.col("kind").isNotNull())
     )
-    return rows.withColumn("kind", F.when(F.coalesce(linked, F.lit(False)), F.col("kind"))).select("sec_row", *keys, "kind", "rank", "start", "end")
+    none = F.array().cast("array<string>")
+    partners = F.when(F.col("kind") == "key", F.concat("identifier", "place")).when(F.col("kind") == "identifier", F.col("secret")).when(F.col("kind") == "endpoint", F.concat("secret", "identifier")).otherwise(none)
+    return rows.withColumns({"kind": F.when(F.coalesce(linked, F.lit(False)), F.col("kind")), "links": partners}).select(*keys, "kind", "rank", "start", "end", "links")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every document (doc_id, text)."""
-    rows = reported(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
-    entry = F.struct("start", "rank", "end", F.concat_ws(":", "kind", "start", "end").alias("said"))
-    some = lambda which: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(which, entry))), lambda x: x["said"]), ",")
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and links (weak spans with their partners) of every document (doc_id, text)."""
+    parts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _parts(F.coalesce(F.col("text"), F.lit(""))).alias("parts"))
+    rows = reported(parts, ["row", "doc_id"])
+    span = F.concat_ws(":", "kind", "start", "end")
+    some = lambda which, said: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(which, F.struct("start", "rank", "end", said.alias("said"))))), lambda x: x["said"]), ",")
     strong = F.col("kind").isin(*STRONG)
     number = lambda k: F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}")
-    return rows.groupBy("sec_row").agg(F.first("doc_id").alias("doc_id"), *[number(k) for k in STRONG], F.sha2(some(strong), 256).alias("base_sha256"), some(F.col("kind").isNotNull()).alias("spans")).drop("sec_row")
+    links = some(F.col("kind").isin(*WEAK), F.concat(span, F.lit(">"), F.array_join("links", "+"))).alias("links")
+    return rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[number(k) for k in STRONG], F.sha2(some(strong, span), 256).alias("base_sha256"), some(F.col("kind").isNotNull(), span).alias("spans"), links).drop("row")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with reported spans masked in text, and n_chars following. Only texts that hold a part are shuffled."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    scanned = cut(docs.withColumn("sec_parts", _parts(text)))
-    held = scanned.where(F.size("sec_parts") > 0).withColumns({"sec_id": F.col("doc_id").cast("long"), "sec_text": F.xxhash64(text)})
-    rows = reported(held.select("sec_parts", "sec_id", "sec_text"), ["sec_id", "sec_text"], F.col("sec_parts")).where("kind is not null")
-    upto = F.max("end").over(Window.partitionBy("sec_row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-    order = Window.partitionBy("sec_row").orderBy("start", "end")
+    scanned = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"), _parts(F.coalesce(F.col("text"), F.lit(""))).alias("parts")))
+    held = scanned.where(F.size("parts") > 0)
+    rows = reported(held.select("row", "parts"), ["row"]).where("kind is not null")
+    order = Window.partitionBy("row").orderBy("start", "end")
+    upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("fresh", F.coalesce(F.col("start") >= upto, F.lit(True)).cast("int")).withColumn("island", F.sum("fresh").over(order))
-    spans = rows.groupBy("sec_row", "sec_id", "sec_text", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    spans = spans.groupBy("sec_row", "sec_id", "sec_text").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("sec_spans")).drop("sec_row").dropDuplicates(["sec_id", "sec_text"])
-    joined = held.alias("h").join(spans.alias("s"), F.col("h.sec_id").eqNullSafe(F.col("s.sec_id")) & (F.col("h.sec_text") == F.col("s.sec_text")), "left").select("h.*", "s.sec_spans")
-    ends = F.element_at("sec_spans", -1)["end"]
-    before = lambda x, i: F.when(i == 0, F.lit(0)).otherwise(F.col("sec_spans")[F.greatest(i - 1, F.lit(0))]["end"])
-    kept = F.transform("sec_spans", lambda x, i: F.concat(F.substr("text", (before(x, i) + 1).cast("int"), (x["start"] - before(x, i)).cast("int")), F.lit(MASK)))
-    masked = F.concat(F.array_join(kept, ""), F.substr("text", (ends + 1).cast("int"), F.length("text")))
-    changed = joined.withColumn("text", F.when(F.col("sec_spans").isNotNull(), masked).otherwise(F.col("text")))
+    spans = rows.groupBy("row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    joined, text = held.join(spans, "row"), F.col("doc.text")
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.col("spans")[F.greatest(i - 1, F.lit(0))]["end"])
+    kept = F.transform("spans", lambda x, i: F.concat(F.substr(text, (before(i) + 1).cast("int"), (x["start"] - before(i)).cast("int")), F.lit(MASK)))
+    masked = F.concat(F.array_join(kept, ""), F.substr(text, (F.element_at("spans", -1)["end"] + 1).cast("int"), F.length(text)))
+    changed = joined.select(F.col("doc").withField("text", masked).alias("doc"))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("sec_spans").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return scanned.where(F.size("sec_parts") == 0).select(*docs.columns).unionByName(changed.select(*docs.columns))
+        changed = changed.select(F.col("doc").withField("n_chars", F.length("doc.text").cast(docs.schema["n_chars"].dataType)).alias("doc"))
+    unchanged = scanned.where(F.size("parts") == 0).unionByName(held.join(spans.select("row"), "row", "left_anti"))
+    return unchanged.select("doc").unionByName(changed).select("doc.*")
