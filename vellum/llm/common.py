@@ -13,6 +13,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.sources import tables
+from vellum.sources.tables import spread
+
 # Workers need no copy of this package on their path: its functions travel by value.
 cloudpickle.register_pickle_by_value(sys.modules["vellum"])
 
@@ -38,11 +41,11 @@ def unit_hash(*parts: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
+    """The folder that driver and executors share, as the session names it; without one, a folder beside the warehouse, which is shared too."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or "checkpoints")
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_vellum")
     return context.getCheckpointDir()
 
 
@@ -89,4 +92,5 @@ def worker_cache() -> dict:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table of the folder, over all cores."""
+    return spread(tables.table(spark, sf_dir, table))
