@@ -33,30 +33,6 @@ def docs(spark, texts):
     return spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("key", "size", "start", "kind", "length", "rank", "label")}).cache()
 
 
-def test_licenses(docs):
-    rows = licenses.scan(docs).collect()
-    by = {r.doc_id: r for r in rows}
-    assert len(rows) == docs.count()
-    for d in docs.collect():
-        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), d.text or ""))
-        at = [i for p in licenses.BASE for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
-        r = by[d.doc_id]
-        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(at), min(at, default=None), max(at, default=None))
-        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
-    assert licenses.postfix("(MIT OR GPL-2.0) AND Apache-2.0 WITH x") == ["mit", "gpl-2.0", "or", "apache-2.0", "x", "with", "and"]
-    assert licenses.evaluate(["mit", "gpl-2.0", "or"])[0] == 0.1 and licenses.evaluate(["mit", "gpl-2.0", "and"])[0] == 0.6
-    assert licenses.postfix("AND") == [] and licenses.postfix("MIT AND") == ["mit"] and licenses.postfix("(MIT") == ["mit"]
-
-
-def test_license_tags_on_one_line(spark):
-    tag = "SPDX-License-Identifier: "
-    long = " AND ".join(["MIT"] * 100 + ["AGPL-3.0"])
-    rows = [(1, f"{tag}MIT some words {tag}GPL-3.0"), (2, tag + long), (3, f"{tag}{tag}ISC\n{tag}\nMIT"), (4, f"{tag}MIT OR {tag}GPL-2.0")]
-    got = {r.doc_id: (r.labels, r.score, r.expressions) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1] == ("gpl-3.0,mit", 0.6, "mit;gpl-3.0") and got[2][:2] == ("agpl-3.0,mit", 0.7)
-    assert got[3] == ("isc", 0.1, "isc") and got[4] == ("gpl-2.0,mit", 0.6, "mit;gpl-2.0")
-
-
 def test_rules(docs):
     got = {r.doc_id: r for r in rules.verdicts(docs).collect()}
     for d in docs.collect():

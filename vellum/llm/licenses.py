@@ -1,16 +1,19 @@
 """License scans: notice phrases and identifier tags in whole texts.
 
-An Aho-Corasick automaton over all phrases and tag names passes once over each text,
+An Aho-Corasick automaton over all phrases passes once over each text,
 reduced to its words (runs of letters, digits and characters beyond ASCII, A-Z
 lower-cased) with single spaces between them, so that a phrase is found wherever
-its words stand consecutively. An SPDX tag is followed by a licence
-expression; a shunting-yard parser turns that into postfix, and evaluation gives
+its words stand consecutively. Where a word of a tag is among them, a second automaton finds the tags in the text itself, with
+their places. A tag is followed by a licence expression, up to the end of its line or the next tag; a shunting-yard parser turns that into postfix, and evaluation gives
 its restriction: ``or`` leaves the choice and takes the least, ``and`` the greatest, ``with``
-loosens what stands before it. A document's score is its greatest
+loosens what stands before it. Operands are known identifiers (those that begin with a label of ``RESTRICTION``, or references to
+a licence of one's own); reading stops at any other word, so prose behind a tag is no licence. What follows ``with`` is an exception, not a licence, and no label.
+A document's score is its greatest
 restriction, from 0 (none found) to 1 (all rights reserved).
 
 Null and empty texts have no words, no labels and score 0. Each row is scanned by
-itself, so repeated rows repeat their result; extra columns are ignored.
+itself, so repeated rows repeat their result; an empty table gives no rows; extra columns are ignored, whatever their names. A very long text is scanned whole, in
+a few bytes a byte; expressions of any length are read whole.
 """
 
 from __future__ import annotations
@@ -42,15 +45,26 @@ RESTRICTION = {
     "cc-by-nd": 0.8, "cc-by-nc": 0.8, "cc-by-nc-sa": 0.8, "cc-by-nc-nd": 0.85, "reserved": 1.0,
 }
 UNKNOWN, LOOSENED = 0.5, 0.75
-TAG = "spdx license identifier"
-#: A tag; its expression ends with the line, or at the next tag.
-TAGGED = re.compile(r"SPDX-License-Identifier:[ \t]*", re.IGNORECASE | re.ASCII)
-ENDS = re.compile(r"[\r\n]|SPDX-License-Identifier:", re.IGNORECASE | re.ASCII)
+#: What an expression stands behind, and the words that say that a text may hold one.
+TAGS = ("spdx-license-identifier:", "license:", "licence:")
+HINTS = ("spdx license identifier", "license", "licence")
+LINE = re.compile(r"[\r\n]")
 TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 BINDS = {"or": 1, "and": 2, "with": 3}
+#: References to licences of one's own, as SPDX writes them.
+REFERENCE = ("licenseref-", "documentref-")
 COLUMNS = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions string"
 
 
+def known(label: str) -> str | None:
+    """The longest label of ``RESTRICTION`` that an identifier begins with."""
+    return max((x for x in RESTRICTION if label == x or label.startswith((f"{x}-", f"{x}+"))), key=len, default=None)
+
+
+def restriction(label: str) -> float:
+    return RESTRICTION.get(known(label), UNKNOWN)
+
+
 def postfix(expression: str, begin: int = 0, end: int | None = None) -> list[str]:
     """Shunting-yard over ``expression[begin:end]``; reading stops where the text is no longer an expression. Empty if there is none."""
     out: list[str] = []
@@ -58,13 +72,12 @@ def postfix(expression: str, begin: int = 0, end: int | None = None) -> list[str
     operand = True  # is one due
     for match in TOKEN.finditer(expression, begin, len(expression) if end is None else end):
         token = match[0]
-        word = token.lower()
-        if operand and word not in BINDS and token != ")":
-            if token == "(":
-                held.append(token)
-            else:
-                out.append(word)
-                operand = False
+        word = token.lower().rstrip(".:-")
+        if operand and token == "(" and (not held or held[-1] != "with"):
+            held.append(token)
+        elif operand and word not in BINDS and ("exception" in word if held and held[-1] == "with" else known(word) or word.startswith(REFERENCE)):
+            out.append(word)
+            operand = False
         elif not operand and word in BINDS:
             while held and held[-1] != "(" and BINDS[held[-1]] >= BINDS[word]:
                 out.append(held.pop())
@@ -75,28 +88,28 @@ def postfix(expression: str, begin: int = 0, end: int | None = None) -> list[str
                 out.append(top)
         else:
             break
-    if operand and held and held[-1] in BINDS:  # an operator without its right side
-        held.pop()
+        if token[-1] in ".:-" and not operand:  # the end of a sentence
+            break
+    while operand and held:  # an operator without its right side
+        if held.pop() in BINDS:
+            break
     return [*out, *(x for x in reversed(held) if x != "(")] if out else []
 
 
-def restriction(label: str) -> float:
-    known = [x for x in RESTRICTION if label == x or label.startswith(f"{x}-") or label.startswith(f"{x}+")]
-    return RESTRICTION[max(known, key=len)] if known else UNKNOWN
-
-
 def evaluate(tokens: list[str]) -> tuple[float, list[str]]:
-    """Restriction of a postfix expression, and its identifiers."""
-    stack: list[float] = []
-    names: list[str] = []
+    """Restriction of a postfix expression, and its licences."""
+    stack: list[tuple[float, list[str]]] = []
     for token in tokens:
         if token not in BINDS:
-            names.append(token)
-            stack.append(restriction(token))
+            stack.append((restriction(token), [token]))
             continue
-        right, left = stack.pop(), stack.pop()
-        stack.append(min(left, right) if token == "or" else max(left, right) if token == "and" else left * LOOSENED)
-    return stack[-1], names
+        (right, more), (left, names) = stack.pop(), stack.pop()
+        bound = min(left, right) if token == "or" else max(left, right) if token == "and" else left * LOOSENED
+        stack.append((bound, names if token == "with" else names + more))
+    return stack[-1]
+
+
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def _word_bytes() -> np.ndarray:
@@ -118,26 +131,45 @@ def words_of(raw: bytes, table: np.ndarray) -> bytes:
     return mapped[stay].tobytes()
 
 
-def automaton(phrases: dict[str, str]):
+def automaton(entries: list[tuple]):
+    """Finds the first of each entry, whose rest is told with its place."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for phrase, label in phrases.items():
-        found.add_word(f" {phrase} ", (len(phrase) + 2, phrase, label))
+    for entry in entries:
+        found.add_word(entry[0], entry)
     found.make_automaton()
     return found
 
 
+def expressions(text: str, tags) -> list[list[str]]:
+    """The postfix expressions behind the tags of a text."""
+    lower = text.translate(_LOWER)
+    spots: list[tuple[int, int]] = []
+    for last, (tag,) in tags.iter(lower):
+        begin = last + 1 - len(tag)
+        if begin == 0 or not (lower[begin - 1].isalnum() or lower[begin - 1] in "-_"):  # else part of a longer name
+            spots.append((begin, last + 1))
+    found = []
+    for i, (_, begin) in enumerate(spots):
+        line = LINE.search(text, begin)
+        end = min(line.start() if line else len(text), spots[i + 1][0] if i + 1 < len(spots) else len(text))
+        if tokens := postfix(text, begin, end):
+            found.append(tokens)
+    return found
+
+
 def scan(docs: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
     """License evidence of each document (doc_id, text). ``extra``: more phrases (lower-case words) with their labels."""
-    phrases = NOTICES | (extra or {}) | BASE | {TAG: ""}
+    phrases = NOTICES | (extra or {}) | BASE
+    entries = [(f" {x} ", len(x) + 2, label, x in BASE) for x, label in {**dict.fromkeys(HINTS, ""), **phrases}.items()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache()
-        key = ("licenses", tuple(sorted(phrases.items())))
+        key = ("licenses", tuple(entries))
         if key not in cache:
-            cache[key] = automaton(phrases), _word_bytes()
-        machine, table = cache[key]
+            cache[key] = automaton(entries), automaton([(x,) for x in TAGS]), _word_bytes()
+        machine, tags, table = cache[key]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string())
         names = [x.split()[0] for x in COLUMNS.split(", ")]
         for batch in batches:
@@ -148,8 +180,8 @@ def scan(docs: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
                 n_words = max(0, reduced.count(b" ") - 1)
                 reduced = reduced.decode()
                 starts, base, labels, worst, tagged = [], set(), set(), 0.0, False
-                for end, (size, phrase, label) in machine.iter(reduced):
-                    if phrase in BASE:
+                for end, (_, size, label, is_base) in machine.iter(reduced):
+                    if is_base:
                         starts.append(end + 1 - size)
                         base.add(label)
                     if label:
@@ -158,13 +190,11 @@ def scan(docs: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
                     else:
                         tagged = True
                 said = []
-                for match in TAGGED.finditer(text) if tagged else ():
-                    stop = ENDS.search(text, match.end())
-                    if tokens := postfix(text, match.end(), stop.start() if stop else len(text)):
-                        bound, ids = evaluate(tokens)
-                        worst = max(worst, bound)
-                        labels.update(ids)
-                        said.append(" ".join(tokens))
+                for tokens in expressions(text, tags) if tagged else ():
+                    bound, ids = evaluate(tokens)
+                    worst = max(worst, bound)
+                    labels.update(ids)
+                    said.append(" ".join(tokens))
                 at = [reduced.count(" ", 0, x) for x in ((min(starts), max(starts)) if starts else ())]
                 out.append((doc, n_words, len(starts), *(at or (None, None)), ",".join(sorted(base)), ",".join(sorted(labels)), worst, ";".join(said)))
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out) if out else [()] * len(kinds), kinds)], names)

@@ -200,3 +200,18 @@ told AS (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, '' AS links
 FROM d LEFT JOIN told USING (r)
 """
+
+_PHRASES = ", ".join(f"('{phrase}', '{label}', {licenses.restriction(label)}, {phrase in licenses.BASE})" for phrase, label in (licenses.NOTICES | licenses.BASE).items())
+#: The phrases; tags with expressions, which no text of the test tables holds, have no SQL.
+ORACLES["op1_license_scan"] = rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+phrases AS (SELECT *, string_split(phrase, ' ') AS parts FROM (VALUES {_PHRASES}) AS t(phrase, label, bound, base)),
+hits AS (SELECT r, label, bound, base, i - 1 AS place FROM w, unnest(range(1, len(words) + 1)) AS t(i) JOIN phrases ON words[i] = parts[1] AND words[i:i + len(parts) - 1] = parts),
+told AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(place) FILTER (base) AS first_word, max(place) FILTER (base) AS last_word,
+    string_agg(DISTINCT CASE WHEN base THEN label END, ',' ORDER BY CASE WHEN base THEN label END) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(bound) AS score FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CAST(coalesce(score, 0) AS DOUBLE) AS score, '' AS expressions
+FROM w LEFT JOIN told USING (r)
+"""
