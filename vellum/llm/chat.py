@@ -7,12 +7,14 @@ framed by the template's markers and joined per conversation; the spans of what
 says, between its markers, are the loss mask.
 
 Escaping puts a backslash after every ``<``, ``[`` and backslash, so no control string of this
-template or of others survives inside a text, and reading back is exact.
+template or of others survives inside a text. A placeholder is the only ``<|`` in a turn's body, so it can't be mistaken for a
+text that spells one: reading back gives texts and placeholders apart, in order, and each text exactly. Text parts side by side are read as one.
 
 Only built-in functions are used. Null texts and roles count as empty; null content or an
-empty array is an empty text. Turns go by turn number (null first), then role, then content, so ties and
-repeated rows have a defined order. A conversation is one row, as it is one text. Empty tables
-give no rows; extra columns are ignored.
+empty array is an empty text. A null part, or one without a type, is a text; types other than lower-case letters leave the placeholder ``other``, and their
+record keeps the type. Turns go by turn number (null first), then role, then content, so ties and
+repeated rows have a defined order. A conversation is one row, as it is one text, however long. Empty tables
+give no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -72,7 +74,7 @@ def _is_text(part: Column) -> Column:
 def visit(content: Column, template: Template) -> tuple[Column, Column]:
     """(flattened text, attachments) of a content array."""
     content = F.coalesce(content, F.array().cast(f"array<{PART}>"))
-    flat = F.transform(content, lambda p, i: F.when(_is_text(p), escape(p["text"])).otherwise(F.concat(F.lit("<|"), escape(p["type"]), F.lit(":"), i.cast("string"), F.lit("|>"))))
+    flat = F.transform(content, lambda p, i: F.when(_is_text(p), escape(p["text"])).otherwise(F.concat(F.lit("<|"), F.when(p["type"].rlike("^[a-z]+$"), p["type"]).otherwise(F.lit("other")), F.lit(":"), i.cast("string"), F.lit("|>"))))
     record = lambda p, i: F.struct(i.alias("part"), p["type"].alias("type"), p["uri"].alias("uri"), expanded(p, template).alias("tokens"))
     attached = F.filter(F.transform(content, lambda p, i: F.when(~_is_text(p), record(p, i))), lambda x: x.isNotNull())
     return F.array_join(flat, ""), attached
@@ -99,15 +101,34 @@ def conversations(turns: DataFrame, template: Template = Template(), trained_rol
     return done.withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"]))
 
 
+#: A placeholder, with its type and number.
+PLACE = r"<\|([a-z]+):([0-9]+)\|>"
+
+
+def read_parts(flat: Column) -> Column:
+    """array<struct<type, text, part>>: the texts (without part) and placeholders (without text) of a turn's body, in order."""
+    none = F.lit(None)
+    marks = lambda group: F.regexp_extract_all(flat, F.lit(PLACE), F.lit(group))
+    zipped = F.arrays_zip(F.split(flat, PLACE, -1).alias("said"), marks(1).alias("type"), marks(2).alias("part"))
+    text = lambda x: F.when(x["said"] != "", F.struct(F.lit("text").alias("type"), unescape(x["said"]).alias("text"), none.cast("int").alias("part")))
+    mark = lambda x: F.when(x["type"].isNotNull(), F.struct(x["type"].alias("type"), none.cast("string").alias("text"), x["part"].cast("int").alias("part")))
+    return F.array_compact(F.flatten(F.transform(zipped, lambda x: F.array(text(x), mark(x)))))
+
+
+def read_text(flat: Column) -> Column:
+    """The texts of a turn's body, without placeholders."""
+    return unescape(F.regexp_replace(flat, PLACE, ""))
+
+
 def read_turns(formatted: Column, template: Template = Template()) -> Column:
-    """The turns (role, text) of a formatted conversation; placeholders stay in the text."""
+    """The turns (role, text, parts) of a formatted conversation; ``text`` is all texts, ``parts`` tell them and placeholders apart."""
     pieces = F.split(formatted, re.escape(template.end), -1)
     pieces = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
     within = lambda p: F.split(F.substr(p, F.lit(len(template.turn) + 1)), re.escape(template.body), 2)
     both = F.transform(pieces, within)
-    return F.transform(both, lambda x: F.struct(unescape(x[0]).alias("role"), unescape(x[1]).alias("text")))
+    return F.transform(both, lambda x: F.struct(unescape(x[0]).alias("role"), read_text(x[1]).alias("text"), read_parts(x[1]).alias("parts")))
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    """All text under the loss mask, unescaped, in order; placeholders there are no text."""
+    return F.array_join(F.transform(spans, lambda s: read_text(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")

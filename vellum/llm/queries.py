@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import chat, licenses, mixing, neardup, packing, quality, repeats, rules, secrets, vectors
@@ -87,6 +87,46 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op10_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of all conversations with parts that its number decides: an image, an audio part, a document, and more text."""
+    turn, none = F.coalesce("turn", F.lit(0)), F.lit(None)
+
+    def part(kind: str, text=none, uri=none, width=none, height=none, seconds=none, pages=none) -> Column:
+        fields = {"type": F.lit(kind), "text": text, "uri": uri, "width": width, "height": height, "seconds": seconds, "pages": pages}
+        return F.struct(*[c.alias(k) for k, c in fields.items()]).cast(chat.PART)
+
+    name = F.concat(F.lit("a/"), F.col("conv_id"), F.lit("-"), turn)
+    parts = [
+        part("text", F.col("text")),
+        F.when(turn % 3 == 0, part("image", uri=name, width=turn * 10 + 100, height=F.lit(60))),
+        F.when(turn % 3 == 1, part("audio", uri=name, seconds=turn * 1.5)),
+        part("text", F.lit("<|image:1|>")),
+        F.when(turn % 5 == 4, part("document", uri=name, pages=turn)),
+    ]
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.array_compact(F.array(*parts)).alias("content"))
+    done = chat.conversations(turns).withColumn("turns", chat.read_turns(F.col("formatted")))
+    said = lambda p: F.concat(p["type"], F.lit(":"), F.coalesce(p["text"], p["part"].cast("string")), F.lit("\n"))
+    return done.select(
+        "conv_id", "attachment_tokens", F.size("attachments").cast("long").alias("n_attachments"), F.array_join(F.transform("attachments", lambda a: a["uri"]), ",").alias("uris"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), F.array_join(F.transform(t["parts"], said), ""))), ""), 256).alias("parts_sha256"),
+    )
+
+
+ORACLES["op10_typed_parts"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, coalesce(turn, 0) AS n, 'a/' || conv_id || '-' || coalesce(turn, 0) AS uri FROM conversations),
+parts AS (
+  SELECT *, CASE WHEN n % 3 = 0 THEN 'image' WHEN n % 3 = 1 THEN 'audio' END AS first, n % 5 = 4 AS document,
+    CASE WHEN n % 3 = 0 THEN CAST(ceil((n * 10 + 100) / 14.0) * 5 AS BIGINT) WHEN n % 3 = 1 THEN CAST(ceil(n * 1.5 * 25) AS BIGINT) ELSE 0 END + CASE WHEN n % 5 = 4 THEN n * 256 ELSE 0 END AS tokens
+  FROM t)
+SELECT conv_id, CAST(sum(tokens) AS BIGINT) AS attachment_tokens, CAST(sum((first IS NOT NULL)::INT + document::INT) AS BIGINT) AS n_attachments,
+  coalesce(string_agg(CASE WHEN first IS NOT NULL AND document THEN uri || ',' || uri WHEN first IS NOT NULL OR document THEN uri END, ',' ORDER BY turn, role, text), '') AS uris,
+  sha256(string_agg(role || chr(10) || CASE WHEN first IS NULL THEN 'text:' || text || '<|image:1|>' || chr(10)
+    ELSE CASE WHEN text = '' THEN '' ELSE 'text:' || text || chr(10) END || first || ':1' || chr(10) || 'text:<|image:1|>' || chr(10) END
+    || CASE WHEN document THEN 'document:' || CASE WHEN first IS NULL THEN 2 ELSE 3 END || chr(10) ELSE '' END, '' ORDER BY turn, role, text)) AS parts_sha256
+FROM parts GROUP BY conv_id
+"""
+
 ORACLES["op10_chat_format"] = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
