@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,33 +145,6 @@ def test_weak_parts_need_company(spark):
     assert got == {1: "identifier:0:9,key:10:22", 2: "", 3: "", 4: ""}
 
 
-def test_packing(docs):
-    ids = packing.Ids(tokenizer_path())
-    rows = packing.pack(docs, tokenizer_path(), 64).collect()
-    length, places = Counter(), defaultdict(list)
-    for r in rows:
-        length[r.doc_id] += r.length
-        places[r.sequence_id].append((r.offset, r.length))
-    assert all(n == len(ids._slow(d.text or "")) + 1 for d in docs.collect() for n in [length[d.doc_id] // (3 if d.doc_id == 0 else 1)])
-    for held in places.values():
-        end = 0
-        for offset, n in sorted(held):
-            assert offset == end
-            end += n
-        assert end <= 64
-    assert all(ids(t) == ids._slow(t) for t in ("a  b\n\n c 123 don't ÉÜ", "<|endoftext|>x", "   ", ""))
-
-
-def test_sweep_is_best_fit():
-    counts = {5: 3, 4: 2, 3: 4, 1: 2}
-    runs = packing.sweep(counts, 8)
-    fill = Counter()
-    for length, _, n, first, per, _ in runs:
-        for i in range(n):
-            fill[first + i // per] += length
-    assert sum(fill.values()) == sum(k * v for k, v in counts.items()) and max(fill.values()) <= 8 and len(fill) == 5
-
-
 def test_chat(spark):
     rows = [(1, 0, "user", "hi <|end|> [x] \\<"), (1, 1, "assistant", None), (1, 2, "assistant", "</s>ok"), (2, 0, None, "")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("content", chat.text_part(F.col("text")))

@@ -2,26 +2,27 @@
 
 A document becomes its token ids and an end id. One longer than the capacity is
 cut into pieces, the first of which takes the remainder, so that all others are
-full. Packing is bulk-synchronous best fit: documents and gaps are ordered by
-size, and in each superstep all pieces of one length, longest first, look up
-the smallest gap that holds them. Pieces that want the same gap are told apart
-by their rank within the length; gaps shrink, and the next length follows.
-
-Lengths and gaps are integers up to the capacity, so a superstep only needs the
-number of pieces per length: the sweep runs over at most ``capacity`` counts,
-whatever the number of documents, and yields runs of ranks with their
-sequences. Ranks are made by distributed prefix counts over (length, slice), so
-that a length that very many documents share is no single task. Each piece
-then finds its run by an equi-join on blocks of ranks.
-
-Null texts count as empty: one end id. Repeated rows are packed once each.
+full. Packing is bulk-synchronous best fit, in rounds over two tables, the pieces that wait and the gaps of open sequences:
+
+1. Pieces longer than any gap open as many new sequences as their tokens fill.
+2. Pieces and gaps are sorted into ranges by size, the largest first.
+3. A sweep over a range gives each piece the successor of its size: the smallest gap that holds it and that no longer piece
+   has taken. What finds no partner in its range, pieces at its head and gaps at its end, is ranked there; the counts of all ranges tell which ranks
+   of which ranges match, as brackets do, and an equi-join on range and rank resolves them.
+4. Gaps shrink by what they took, and the next round takes what waits. A gap that holds several of the longest waiting pieces stands for as many in a
+   round, so that short pieces need few rounds.
+
+No task takes more than a range, and ranges go on by id where many sizes are equal. The driver sees two counts a range. In the end pieces stand in their sequences in the
+order of the rounds.
+
+Null texts count as empty: one end id. Repeated rows are packed once each. A very long text is tokenised whole, in one task.
 Extra columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,27 +39,33 @@ class Ids:
     """Token ids as ``tokenizers`` gives them for the vocabulary file at ``path``.
 
     Byte-level BPE files are also loaded as ranks into ``tiktoken``, which finds
-    the same ids several times faster. A text goes through ``tokenizers`` itself if it
-    holds an added token's string, if the fast way fails, or if the file is of
-    another kind. The first texts of every worker go both ways; one difference
-    turns the fast way off.
+    the same ids several times faster. That holds if every token is made by one merge and later merges make later ids, which
+    is checked for the whole file. A text goes through ``tokenizers`` itself if the file is of another kind, if the text holds an added token's
+    string, characters whose class may depend on an engine's version of Unicode (all beyond Cyrillic and general punctuation), or if the fast way fails.
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    RARE = re.compile("[^\\x00-\u0481\u2010-\u2027\u2030-\u205e]")
 
     def __init__(self, path: str):
         import json
 
         from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
-        self.fast, self.unproven = None, 8
+        self.exact, self.fast = Tokenizer.from_file(path), None
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.added = [x["content"] for x in spec.get("added_tokens") or []]
-        before = spec.get("pre_tokenizer") or {}
-        if spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True):
-            self.fast = self._ranks(spec["model"]["vocab"])
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        if plain and model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")) and self._in_order(model):
+            self.fast = self._ranks(model["vocab"])
+
+    def _in_order(self, model: dict) -> bool:
+        vocab = model["vocab"]
+        made = [vocab.get("".join(x.split(" ") if isinstance(x, str) else x)) for x in model["merges"]]
+        several = {i for t, i in vocab.items() if len(t) > 1 and t not in self.added}
+        return None not in made and all(a < b for a, b in zip(made, made[1:])) and set(made) == several
 
     def _ranks(self, vocab: dict[str, int]):
         try:
@@ -74,20 +81,14 @@ class Ids:
         return self.exact.encode(text, add_special_tokens=False).ids
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is None or any(x in text for x in self.added):
+        if self.fast is None or any(x in text for x in self.added) or (not text.isascii() and self.RARE.search(text)):
             return self._slow(text)
         try:
-            ids = self.fast.encode_ordinary(text)
+            return self.fast.encode_ordinary(text)
         except BaseException as error:  # the engine's panics derive from BaseException
-            if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
+            if type(error).__name__ != "PanicException" and not isinstance(error, ValueError):
                 raise
             return self._slow(text)
-        if self.unproven:
-            self.unproven -= 1
-            if ids != (exact := self._slow(text)):
-                self.fast = None
-                return exact
-        return ids
 
 
 def tokenised(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -118,84 +119,109 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut_texts, PIECES)
 
 
-def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Runs (length, first rank, pieces, first sequence, pieces per sequence, offset) of best fit, longest first.
+#: Rows of a range, and ranges, at most.
+RANGE, RANGES = 100_000, 20_000
+SWEPT = "part int, kind string, at long, pid long, length int, sequence long, gap int"
 
-    A run's r-th piece goes to sequence ``first + r // per`` at ``offset + (r % per) * length``.
-    """
-    gaps: dict[int, list[list[int]]] = {}  # size: runs of sequences [first, number]
-    sizes: list[int] = []
-    runs, opened = [], 0
-
-    def leave(gap: int, first: int, number: int) -> None:
-        if gap and number:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(sizes, gap)
-            gaps[gap].append([first, number])
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(sizes, length)
-            if at < len(sizes):  # the successor: the smallest gap that holds it
-                gap = sizes[at]
-                run = gaps[gap][-1]
-                per = gap // length  # the gap that a piece leaves is the tightest for the next one
-                used = min(run[1], -(-left // per))
-                first = run[0]
-                run[0] += used
-                run[1] -= used
-                if not run[1]:
-                    gaps[gap].pop()
-                    if not gaps[gap]:
-                        del gaps[gap], sizes[at]
-                offset = capacity - gap
-            else:
-                gap, per, offset = capacity, capacity // length, 0
-                used = -(-left // per)
-                first, opened = opened, opened + used
-            taken = min(left, used * per)
-            runs.append((length, rank, taken, first, per, offset))
-            full, rest = divmod(taken, per)
-            leave(gap - per * length, first, full)
-            if rest:
-                leave(gap - rest * length, first + full, 1)
-            rank, left = rank + taken, left - taken
-    return runs
 
+def swept(items: DataFrame, ranges: int) -> DataFrame:
+    """Pieces and gaps (size, piece, id, gap) in ranges of descending size, matched within each: kind ``match``, or what is left, ``piece`` or ``gap``, with its rank."""
 
-def packed(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """``pieces`` with sequence_id and offset."""
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, gaps, waiting = TaskContext.get().partitionId(), [], 0
+        kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], [x.split()[0] for x in SWEPT.split(", ")])
+
+        for batch in batches:
+            rows = []
+            for size, piece, number, gap in zip(*(c.to_pylist() for c in batch.columns)):
+                if not piece:
+                    gaps.append((number, gap))
+                elif gaps:
+                    rows.append((part, "match", 0, number, size, *gaps.pop()))
+                else:
+                    rows.append((part, "piece", waiting, number, size, None, None))
+                    waiting += 1
+            if rows:
+                yield out(rows)
+        for i in range(0, len(gaps), 10_000):
+            yield out([(part, "gap", j, None, None, *gaps[j]) for j in range(i, min(i + 10_000, len(gaps)))])
+
+    order = [F.col("size").desc(), F.col("piece"), F.col("id")]
+    return items.select("size", "piece", "id", "gap").repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(sweep, SWEPT)
+
+
+def brackets(counts: list[tuple[int, int, int]]) -> tuple[list[tuple], dict[int, int]]:
+    """Of (range, pieces, gaps) in order: runs (piece range, first rank, number, gap range, its last rank), and the number of matched pieces of each range."""
+    runs, matched = [], {}
+    stack: list[list[int]] = []  # gaps that are left: range, number
+    for part, pieces, gaps in counts:
+        rank = 0
+        while rank < pieces and stack:
+            held = stack[-1]
+            n = min(pieces - rank, held[1])
+            runs.append((part, rank, n, held[0], held[1] - 1))
+            rank, held[1] = rank + n, held[1] - n
+            if not held[1]:
+                stack.pop()
+        matched[part] = rank
+        if gaps:
+            stack.append([part, gaps])
+    return runs, matched
+
+
+def rounds(pieces: DataFrame, capacity: int) -> DataFrame:
+    """pid, sequence_id, length and turn of the pieces (pid, length)."""
     spark = pieces.sparkSession
-    pieces = cut(pieces)
-    number = pieces.count()
-    slices = max(4, min(1 << 16, int(number**0.5) // 4))
-    dealt = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(slices)).cast("int"))
-    per_slice = dealt.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
-    before = cut(per_slice.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("slice")) - F.col("n")))
-    counts = {r.length: r.n for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    runs = sweep(counts, capacity)
-    # A run is dealt to the blocks of ranks that it meets, so that a piece finds it by an equi-join.
-    block = max(1024, int(number**0.5))
-    plan = spark.createDataFrame(runs or [(0,) * 6], "length long, first_rank long, pieces long, first_sequence long, per long, run_offset long")
-    plan = plan.where("pieces > 0").withColumn("block", F.explode(F.sequence(F.expr(f"first_rank div {block}"), F.expr(f"(first_rank + pieces - 1) div {block}"))))
-    within = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = (
-        dealt.join(before.drop("n"), ["length", "slice"])
-        .withColumn("rank", F.col("before") + F.row_number().over(within) - 1)
-        .withColumn("block", F.expr(f"rank div {block}"))
-    )
-    # The plan has one row per run and block: bounded by lengths and blocks, not by rows. Small, it is broadcast.
-    small = len(runs) + number // block <= 200_000
-    hit = (F.col("p.length") == F.col("r.length")) & (F.col("p.block") == F.col("r.block")) & F.col("p.rank").between(F.col("r.first_rank"), F.col("r.first_rank") + F.col("r.pieces") - 1)
-    joined = ranked.alias("p").join((F.broadcast(plan) if small else plan).alias("r"), hit)
-    turn = F.col("p.rank") - F.col("r.first_rank")
-    return joined.select(
-        "p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32",
-        (F.col("r.first_sequence") + F.floor(turn / F.col("r.per"))).cast("long").alias("sequence_id"),
-        (F.col("r.run_offset") + F.pmod(turn, F.col("r.per")) * F.col("p.length")).cast("long").alias("offset"),
-    )
+    left, gaps = pieces.select("pid", F.col("length").cast("int").alias("length")), None
+    placed, opened, turn, most, n_gaps = [], 0, 0, 0, 0
+    while True:
+        longer = F.when(F.col("length") > most, F.col("length")).otherwise(F.lit(0))
+        n, top, least, tokens = left.agg(F.count(F.lit(1)), F.max("length"), F.min("length"), F.sum(longer)).first()
+        if not n:
+            break
+        # New sequences are as many as their pieces fill; older gaps stand for several only where pieces outnumber them.
+        fresh, several = -(-tokens // capacity), 1 + n // max(1, n_gaps)
+        lanes = F.explode(F.sequence(F.lit(1), F.col("lanes"))).alias("lane")
+        mine = spark.range(opened, opened + fresh).select(F.col("id").alias("sequence"), F.lit(capacity).alias("gap"), F.lit(max(1, capacity // top)).alias("lanes"))
+        if gaps is not None:
+            mine = gaps.where(F.col("gap") >= least).withColumn("lanes", F.greatest(F.lit(1), F.least(F.floor(F.col("gap") / F.lit(top)), F.lit(several))).cast("int")).union(mine)
+        mine = mine.select("sequence", "gap", "lanes", lanes).select(F.floor(F.col("gap") / F.col("lanes")).cast("int").alias("size"), F.lit(False).alias("piece"), F.col("sequence").alias("id"), "gap")
+        items = left.select(F.col("length").alias("size"), F.lit(True).alias("piece"), F.col("pid").alias("id"), F.lit(None).cast("int").alias("gap")).union(mine)
+        opened += fresh
+        done = cut(swept(items, max(1, min(RANGES, -(-(n + n_gaps + fresh) // RANGE)))))
+        found = done.where("kind = 'match'").select("pid", "sequence", "gap", "length")
+        waits, rest = done.where("kind = 'piece'"), done.where("kind = 'gap'").select("sequence", "gap", F.lit(0).alias("length"))
+        counts = done.groupBy("part").agg(F.count(F.when(F.col("kind") == "piece", 1)).alias("pieces"), F.count(F.when(F.col("kind") == "gap", 1)).alias("gaps")).collect()  # a row a range
+        runs, matched = brackets(sorted(map(tuple, counts)))
+        if runs:
+            plan = F.broadcast(spark.createDataFrame(runs, "part int, first long, number long, gap_part int, last long"))  # two a range at most
+            meets = waits.join(plan, "part").where((F.col("at") >= F.col("first")) & (F.col("at") < F.col("first") + F.col("number")))
+            meets = meets.select("pid", "length", F.col("gap_part").alias("part"), (F.col("last") - (F.col("at") - F.col("first"))).alias("at"))
+            found = found.union(cut(meets.join(done.where("kind = 'gap'").select("part", "at", "sequence", "gap"), ["part", "at"]).select("pid", "sequence", "gap", "length")))
+            # Of a range's waiting pieces, the first ones have found a gap.
+            waits = waits.join(F.broadcast(spark.createDataFrame(list(matched.items()), "part int, gone long")), "part").where(F.col("at") >= F.col("gone"))
+        placed.append(found.select("pid", F.col("sequence").alias("sequence_id"), "length", F.lit(turn).alias("turn")))
+        # What a sequence's lanes took is taken from its whole gap; gaps that were too small for the shortest piece stay so.
+        gaps = found.select("sequence", "gap", "length").union(rest).groupBy("sequence").agg((F.max("gap") - F.sum("length")).cast("int").alias("gap")).where("gap > 0")
+        left, turn = waits.select("pid", "length"), turn + 1
+        n_gaps, most = gaps.agg(F.count(F.lit(1)), F.coalesce(F.max("gap"), F.lit(0))).first()
+    every = spark.range(0).select(F.col("id").alias("pid"), F.col("id").alias("sequence_id"), F.lit(0).alias("length"), F.lit(0).alias("turn"))
+    for found in placed:
+        every = every.union(found)
+    return every
+
+
+def packed(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
+    """``pieces`` (their columns, with length) with sequence_id and offset."""
+    rows = cut(pieces.withColumn("pid", F.monotonically_increasing_id()))
+    inside = Window.partitionBy("sequence_id").orderBy("turn", "pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stands = rounds(rows, capacity).select("pid", "sequence_id", (F.sum("length").over(inside) - F.col("length")).cast("long").alias("offset"))
+    return rows.join(stands, "pid").drop("pid")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
