@@ -5,7 +5,10 @@ import math
 import duckdb
 import pytest
 
-from vellum.plans.queries import ORACLES, QUERIES
+from vellum.plans import card_queries, function_queries, queries
+
+QUERIES = queries.QUERIES | function_queries.QUERIES | card_queries.QUERIES
+ORACLES = queries.ORACLES | function_queries.ORACLES | card_queries.ORACLES
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

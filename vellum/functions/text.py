@@ -34,7 +34,9 @@ def _composed(c: Column) -> Column:
     def nfc(text: pd.Series) -> pd.Series:
         return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
-    return nfc(c)
+    # Texts below U+0300 have the normal form already; they stay in the JVM.
+    other = c.rlike("[^\\x00-\\x{2FF}]")
+    return F.coalesce(nfc(F.when(other, c)), c)
 
 
 def clean_text(c: Column, compose: bool = True) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ def split_text(text: str, size: int = 1000, overlap: int = 150, separators: tupl
     else:
         pieces = list(text)
     out: list[str] = []
-    window: list[str] = []
+    window: deque[str] = deque()
 
     def emit() -> None:
         if joined := "".join(window).strip():
@@ -32,13 +34,13 @@ def split_text(text: str, size: int = 1000, overlap: int = 150, separators: tupl
         if len(piece) > size:
             if window:
                 emit()
-            window, held = [], 0
+            window, held = deque(), 0
             out.extend(split_text(piece, size, overlap, finer) if finer else [piece])
             continue
         if held + len(piece) > size and window:
             emit()
             while held > overlap or (held and held + len(piece) > size):
-                held -= len(window.pop(0))
+                held -= len(window.popleft())
         window.append(piece)
         held += len(piece)
     if window:
@@ -47,11 +49,14 @@ def split_text(text: str, size: int = 1000, overlap: int = 150, separators: tupl
 
 
 def split_column(text: Column, size: int = 1000, overlap: int = 150) -> Column:
+    """The pieces of stripped texts. One of at most ``size`` code points is its own piece, and only longer ones leave the JVM."""
+
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: split_text(x or "", size, overlap))
+        return texts.map(lambda x: None if x is None else split_text(x, size, overlap))
 
-    return split(text)
+    short = (F.length(text) <= size) & ~text.rlike("^[\\x1c-\\x1f]|[\\x1c-\\x1f]$")
+    return F.coalesce(F.when(short, F.filter(F.array(text), lambda x: x != "")), split(F.when(~short, text)), F.array().cast("array<string>"))
 
 
 def chunks(records: DataFrame, size: int = 1000, overlap: int = 150, compose: bool = True) -> DataFrame:

@@ -11,6 +11,7 @@ from vellum.functions import text as T
 from vellum.operators import cards, chunking, retrieval, store
 from vellum.plans import answers, catalog, intent, retrieve
 from vellum.sources import documents as sources
+from vellum.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +28,9 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; those of long texts over all cores."""
+    found = tables.table(spark, sf_dir, name)
+    return tables.spread(found) if name in ("documents", "pages", "conversations") else found
 
 
 def _probes(vectors: DataFrame, where: str) -> DataFrame:
@@ -426,7 +429,7 @@ _AREA = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '\\b({'|'.join(n f
 _DETAIL = f"({_words_sql(answers.COURSE_DETAIL)} OR (regexp_matches(text, '(?i)\\b[A-Z]{{2,5}}\\s*\\d{{3,5}}\\b') AND NOT {_words_sql(answers.EXPLICIT_RECOMMENDATION)} AND NOT {_words_sql(answers.GRADUATION_ONLY, True)}))"
 
 
-@query(f"""
+@query(rf"""
 SELECT doc_id, area, CASE WHEN {_words_sql(answers.GRADUATION)} AND NOT {_DETAIL} THEN 'mezuniyet_durumu' WHEN {_DETAIL} THEN 'ders_ayrintisi' WHEN {_words_sql(answers.STUDY_PLAN)} THEN 'calisma_plani'
   WHEN {_words_sql(answers.MAJOR)} THEN 'major_secimi' WHEN {_words_sql(answers.SPECIALIZATION)} THEN 'alanda_ozellesme'
   WHEN {_words_sql(answers.RECOMMENDATION)} OR (area IS NOT NULL AND length(regexp_replace(trim(text), '\s+', ' ', 'g')) <= 120 AND NOT {_words_sql(answers.NOT_RECOMMENDATION, True)}) THEN 'ders_onerisi' ELSE 'diger' END AS intent
