@@ -11,19 +11,23 @@ between two texts doesn't shift the samples of the rest.
 2. Names are refined to the whole context of a sample, the bytes of all windows that have it
    as their anchor; a context that occurs twice is repeated as a whole.
 3. The remaining suffixes, the windows between samples, are only looked at where a name has
-   several contexts: each is named by its own SPAN bytes, once per context, and equal names are merged.
+   several contexts, once per context. They are merged in blocks of ``STEP`` starts, counted back from the sample, so that equal windows are in
+   blocks of one number. A block's core, what all of its windows share, is named first: if it occurs once, none of them repeats. If all
+   contexts with a core agree in its hull, what its windows cover together, all of them repeat. Only the windows of other
+   blocks, at the ends of repeats, are named by their own SPAN bytes, and equal names are merged.
 
 Names are 128-bit fingerprints (64 bits for the K-grams, which only select), so that each step is one
 hash aggregation instead of a sort by ranks. Copies cost what one text costs, plus a row per sample.
 
 Null texts are empty. Texts below SPAN bytes are kept whole. Repeated rows are copies of each other and are removed
-like them. Extra columns are ignored. An empty table gives no rows.
+like them. Extra columns are ignored, whatever their names. An empty table gives no rows. A text is fingerprinted whole, in some 60 bytes a byte;
+one of 256 MB or more is an error, as a place in it has 28 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +42,9 @@ SPAN = 400
 SMALL = 200_000
 _BASES = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 _PLACE = np.uint64((1 << 28) - 1)
-RUNS = "sa_id long, sa_text long, name long, c1 long, c2 long, lo int, hi int"
+RUNS = "sa_id long, sa_text long, name long, c1 long, c2 long, skip int, lo int, hi int"
+#: Starts of a block.
+STEP = 16
 
 
 class Prints:
@@ -61,7 +67,9 @@ class Prints:
 
 
 def runs_of(raw: bytes, span: int, cache: dict) -> tuple[np.ndarray, ...]:
-    """(name, c1, c2, lo, hi) of each run of windows lo..hi that have the same anchor."""
+    """(name, c1, c2, skip, lo, hi) of each run of windows lo..hi that have the same anchor, at lo + skip."""
+    if len(raw) > int(_PLACE):
+        raise ValueError(f"a text of {len(raw)} bytes; texts must stay below 256 MB")
     k = span // 2
     windows, wide = len(raw) - span + 1, span - k + 1
     prints = Prints(raw, cache)
@@ -78,7 +86,7 @@ def runs_of(raw: bytes, span: int, cache: dict) -> tuple[np.ndarray, ...]:
     anchor = (np.minimum(back[:windows], onward[wide - 1 : wide - 1 + windows]) & _PLACE).astype(np.int64)
     lo = np.flatnonzero(np.diff(anchor, prepend=-1))
     hi = np.append(lo[1:], windows) - 1
-    return names[anchor[lo]], prints(lo, hi + span, 0), prints(lo, hi + span, 1), lo, hi
+    return names[anchor[lo]], prints(lo, hi + span, 0), prints(lo, hi + span, 1), anchor[lo] - lo, lo, hi
 
 
 def _raw(text: pa.Scalar) -> bytes:
@@ -109,27 +117,63 @@ def _runs(rows: DataFrame, span: int) -> DataFrame:
     return long_enough.select("sa_id", "sa_text", "text").mapInArrow(made, RUNS)
 
 
-def _windows(rows: DataFrame, span: int) -> DataFrame:
-    """Names of all windows of the contexts in ``rows`` (text, contexts: array of c1, c2, lo, hi)."""
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of groups of n: the group and the place in it of every member."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _named(rows: DataFrame, schema: str, parts) -> DataFrame:
+    """``parts`` (prints, anchor, lo, hi, blocks) -> (context, columns after c1 and c2) over rows (text, contexts: array of c1, c2, skip, lo, hi, blocks)."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32()}[x.split()[1]] for x in schema.split(", ")]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
             for text, contexts in zip(batch.column(0), batch.column(1)):
-                prints = Prints(_raw(text), cache)
-                inner = contexts.values
-                c1, c2, lo, hi = (inner.field(x).to_numpy(zero_copy_only=False) for x in ("c1", "c2", "lo", "hi"))
+                prints, inner = Prints(_raw(text), cache), contexts.values
+                c1, c2, skip, lo, hi = (inner.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("c1", "c2", "skip", "lo", "hi"))
+                blocks = inner.field("blocks")
                 for i in range(0, len(lo), 2000):
                     some = slice(i, i + 2000)
-                    n = hi[some] - lo[some] + 1
-                    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    start = np.repeat(lo[some], n).astype(np.int64) + offset
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(prints(start, start + span, w).view(np.int64)) for w in (0, 1)] + [pa.array(np.repeat(c[some], n)) for c in (c1, c2)] + [pa.array(offset.astype(np.int32))],
-                        ["w1", "w2", "c1", "c2", "offset"],
-                    )
+                    of, *columns = parts(prints, lo[some] + skip[some], lo[some], hi[some], blocks[some])
+                    if len(of):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((c1[some][of], c2[some][of], *columns), kinds)], names)
+
+    return rows.select("text", "contexts").mapInArrow(made, schema)
+
+
+def _blocks(span: int):
+    """Every block b of contexts, which holds the starts that are b * STEP to b * STEP + STEP - 1 before the anchor: b, the core's names, and the hull's, null where it isn't all in the context."""
+
+    def parts(prints, anchor, lo, hi, _) -> tuple:
+        first, last = (anchor - hi) // STEP, (anchor - lo) // STEP
+        of, b = _spread(last - first + 1)
+        b = b + first[of]
+        late = anchor[of] - b * STEP  # the block's last start; its first is early
+        early = late - (STEP - 1)
+        w1, w2 = (prints(late, early + span, i).view(np.int64) for i in (0, 1))
+        whole = (early >= lo[of]) & (late <= hi[of])
+        hull = prints(np.where(whole, early, 0), np.where(whole, late + span, 0), 0).view(np.int64)
+        return of, b.astype(np.int32), w1, w2, pa.array(hull, mask=~whole)
+
+    return parts
+
+
+def _windows(span: int):
+    """The windows of some blocks: offset from the context's first, and names."""
+
+    def parts(prints, anchor, lo, hi, blocks) -> tuple:
+        b = np.asarray(blocks.flatten(), np.int64)
+        context = np.repeat(np.arange(len(lo)), np.diff(blocks.offsets.to_numpy()))
+        of, step = _spread(np.full(len(b), STEP, np.int64))
+        context, start = context[of], (anchor[context] - b * STEP)[of] - step
+        inside = (start >= lo[context]) & (start <= hi[context])
+        context, start = context[inside], start[inside]
+        return context, (start - lo[context]).astype(np.int32), *(prints(start, start + span, i).view(np.int64) for i in (0, 1))
 
-    return rows.select("text", "contexts").mapInArrow(made, "w1 long, w2 long, c1 long, c2 long, offset int")
+    return parts
 
 
 def _of(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -145,25 +189,41 @@ def covered(docs: DataFrame, span: int = SPAN) -> DataFrame:
     candidates, drop_candidates = keep(runs.join(often, "name", "left_semi"))
     drop_runs()
     drop_often()
-    contexts, drop_contexts = keep(candidates.groupBy("name", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("sa_id", "sa_text", "lo", "hi")).alias("at")))
+    contexts, drop_contexts = keep(candidates.groupBy("name", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("sa_id", "sa_text", "skip", "lo", "hi")).alias("at")))
     unclear = contexts.groupBy("name").agg(F.count(F.lit(1)).alias("n_contexts")).where("n_contexts > 1").select("name")
-    places = contexts.join(cut(unclear), "name", "left_semi").groupBy("at.sa_id", "at.sa_text").agg(F.collect_list(F.struct("c1", "c2", "at.lo", "at.hi")).alias("contexts"))
-    places, drop_places = keep(places)
-    named = _of(rows, places.select("sa_id", "sa_text"), "left_semi").dropDuplicates(["sa_id", "sa_text"]).join(places, ["sa_id", "sa_text"])
-    windows, drop_windows = keep(_windows(named, span))
+    several, drop_several = keep(contexts.join(unclear, "name", "left_semi").select("c1", "c2", "at.*").dropDuplicates(["c1", "c2"]))
+
+    def texts(of: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+        """text and contexts of the first place of each context of ``of``."""
+        places, drop = keep(of.groupBy("sa_id", "sa_text").agg(F.collect_list(F.struct("c1", "c2", "skip", "lo", "hi", "blocks")).alias("contexts")))
+        return _of(rows, places.select("sa_id", "sa_text"), "left_semi").dropDuplicates(["sa_id", "sa_text"]).join(places, ["sa_id", "sa_text"]), drop
+
+    named, drop_named = texts(several.withColumn("blocks", F.array().cast("array<int>")))
+    blocks, drop_blocks = keep(_named(named, "c1 long, c2 long, b int, w1 long, w2 long, hull long", _blocks(span)))
+    drop_named()
+    agree = (F.count("hull") == F.count(F.lit(1))) & (F.min("hull") == F.max("hull"))
+    cores, drop_cores = keep(blocks.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.coalesce(agree, F.lit(False)).alias("agree")).where("n > 1").select("w1", "w2", "agree"))
+    met, drop_met = keep(blocks.join(cores, ["w1", "w2"]).groupBy("c1", "c2").agg(F.collect_list(F.when(F.col("agree"), F.col("b"))).alias("whole"), F.collect_list(F.when(~F.col("agree"), F.col("b"))).alias("blocks")))
+    drop_blocks()
+    drop_cores()
+    named, drop_named = texts(several.join(met.where(F.size("blocks") > 0).select("c1", "c2", "blocks"), ["c1", "c2"]))
+    windows, drop_windows = keep(_named(named, "c1 long, c2 long, offset int, w1 long, w2 long", _windows(span)))
+    drop_named()
+    drop_several()
     again, drop_again = keep(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"))
-    parts = windows.join(again, ["w1", "w2"], "left_semi").groupBy("c1", "c2").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
-    # Of a context's windows (a few hundred at most), islands of consecutive ones.
-    ends = F.filter("offsets", lambda x, i: ~F.coalesce(F.try_element_at("offsets", i + 2) == x + 1, F.lit(False)))
-    starts = F.filter("offsets", lambda x, i: (i == 0) | ~F.coalesce(F.try_element_at("offsets", F.greatest(i, F.lit(1))) == x - 1, F.lit(False)))
-    parts = parts.select("c1", "c2", F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("islands"))
-    hits = contexts.select("c1", "c2", "n").join(parts, ["c1", "c2"], "left").where((F.col("n") > 1) | F.col("islands").isNotNull())
-    hits, drop_hits = keep(hits.dropDuplicates(["c1", "c2"]))
+    parts = windows.join(again, ["w1", "w2"], "left_semi").groupBy("c1", "c2").agg(F.collect_list("offset").alias("offsets"))
+    hits = contexts.select("c1", "c2", "n").dropDuplicates(["c1", "c2"]).join(met.select("c1", "c2", "whole"), ["c1", "c2"], "left").join(parts, ["c1", "c2"], "left")
+    hits, drop_hits = keep(hits.where((F.col("n") > 1) | (F.size("whole") > 0) | F.col("offsets").isNotNull()))
     whole = F.array(F.struct(F.col("lo").alias("start"), (F.col("hi") + span).alias("end")))
-    inside = F.transform("islands", lambda x: F.struct((F.col("lo") + x["a"]).alias("start"), (F.col("lo") + x["b"] + span).alias("end")))
+    span_of = lambda first, last: F.struct(first.alias("start"), (last + span).alias("end"))
+    late = F.col("lo") + F.col("skip")
+    in_blocks = F.transform("whole", lambda b: span_of(late - b * STEP - (STEP - 1), late - b * STEP))
+    alone = F.transform("offsets", lambda x: span_of(F.col("lo") + x, F.col("lo") + x))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    inside = F.concat(F.coalesce(in_blocks, none), F.coalesce(alone, none))
     found = candidates.join(hits, ["c1", "c2"]).select("sa_id", "sa_text", F.when(F.col("n") > 1, whole).otherwise(inside).alias("spans"))
     found = cut(found.groupBy("sa_id", "sa_text").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    for drop in (drop_candidates, drop_contexts, drop_places, drop_windows, drop_again, drop_hits):
+    for drop in (drop_candidates, drop_contexts, drop_met, drop_windows, drop_again, drop_hits):
         drop()
     return found
 
@@ -200,7 +260,7 @@ def kept_pieces(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]
 
 
 def removed(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document (doc_id, text)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept and repeated (is anything removed) of every document (doc_id, text)."""
     found, rows = covered(docs, span), keyed(docs)
     ids = found.select("sa_id", "sa_text")
     plain = _of(rows, ids, "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
@@ -212,7 +272,8 @@ def removed(docs: DataFrame, span: int = SPAN) -> DataFrame:
         return len(raw), int((ends - starts).sum()), len(starts), whole.hexdigest()
 
     hit = _of(rows, ids, "left_semi").join(found, ["sa_id", "sa_text"])
-    return plain.unionByName(_cut_out(hit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", digest))
+    done = plain.unionByName(_cut_out(hit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", digest))
+    return done.withColumns({"n_kept": F.col("n_bytes") - F.col("n_removed"), "repeated": F.col("n_removed") > 0})
 
 
 def cleaned(docs: DataFrame, span: int = SPAN) -> DataFrame:
