@@ -171,10 +171,3 @@ def test_empty_tables(spark, docs):
     assert packing.pack(none, tokenizer_path()).count() == 0
     assert quality.classified(none, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
     assert vectors.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).count() == 0
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    assert rows and len({r.sequence_id for r in rows}) <= len(rows) and all(0 < r.length <= 2048 for r in rows)

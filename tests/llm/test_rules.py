@@ -47,7 +47,8 @@ def fails(text):
     return len(w) < 50 or 100 * len(seen) > 50 * len(w)
 
 
-def test_kept(spark, rows):
+def verdicts(rows):
+    """Row number to whether rows (id, text, lang, source) are kept, in plain Python."""
     good = [(lang, source, text) for lang, source, text in {(lang, source, text or "") for _, text, lang, source in rows} if not fails(text)]
 
     def quartiles(values):
@@ -70,12 +71,17 @@ def test_kept(spark, rows):
         return (now[0] - apart, now[1] + apart) if apart > 0 else (-math.inf, math.inf)
 
     want = {}
-    for i, text, lang, source in rows:
+    for n, (_, text, lang, source) in enumerate(rows):
         ok = not fails(text or "")
         for k, v in rates(text or "").items() if ok else ():
             low, high = limits(k, lang, source)
             ok = ok and low <= v <= high
-        want[i] = ok
+        want[n] = ok
+    return want
+
+
+def test_kept(spark, rows):
+    want = verdicts(rows)
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r.kept for r in rules.verdicts(table).collect()}
     assert got == want and 8 < sum(not v for v in want.values()) < 40

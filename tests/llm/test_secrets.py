@@ -65,6 +65,18 @@ def test_links(spark):
     assert sum(map(bool, said)) > 100 and said[255].startswith("endpoint") is False and said[255].count(">endpoint:0:") == 1 and said[256] == ""
 
 
+def masked(text):
+    """A text with its reported spans masked."""
+    out, at = "", 0
+    spans = sorted(tuple(map(int, x.split(":")[1:])) for x in filter(None, linked(text or "")[0].split(",")))
+    while spans:
+        start, end = spans.pop(0)
+        while spans and spans[0][0] < end:
+            end = max(end, spans.pop(0)[1])
+        out, at = out + text[at:start] + secrets.MASK, end
+    return None if text is None else out + text[at:]
+
+
 def test_redaction(spark):
     texts = [*made(120), "", None, "plain", "pwd=hunter2x alone"]
     docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)] + [(0, texts[0], 7)], SCHEMA).withColumns({c: F.lit(c) for c in ("row", "doc", "parts", "spans", "sec_id", "sec_text", "end")})
@@ -73,13 +85,6 @@ def test_redaction(spark):
     rows = done.collect()
     assert len(rows) == len(texts) + 1 and all((r.row, r.doc, r.end, r.sec_id) == ("row", "doc", "end", "sec_id") for r in rows)
     for r in rows:
-        text, out, at = texts[r.doc_id], "", 0
-        spans = sorted(tuple(map(int, x.split(":")[1:])) for x in filter(None, linked(text or "")[0].split(",")))
-        while spans:
-            start, end = spans.pop(0)
-            while spans and spans[0][0] < end:
-                end = max(end, spans.pop(0)[1])
-            out, at = out + text[at:start] + secrets.MASK, end
-        want = None if text is None else out + text[at:]
+        text, want = texts[r.doc_id], masked(texts[r.doc_id])
         assert r.text == want and r.n_chars == (7 if want == text else len(want))
     assert secrets.redacted(docs.limit(0)).count() == 0

@@ -15,7 +15,8 @@ sums are accumulated per source, and only within a slice are rows
 sorted. No task holds a source, however large; slices grow as the square root of the row count.
 
 Null texts have size 0 and take 0. A null source is a source. Repeated rows are documents of
-their own: they tie, and whichever is taken the rows are the same. Extra columns are kept by ``mix``.
+their own: they tie, and whichever is taken the rows are the same. An empty table gives no rows. A very long text is one row of its size. Extra columns are kept by ``mix``,
+whatever their names, and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -51,9 +52,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 
 
 def drawn(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
-    """``rows`` (doc_id, source, size, quality, other columns) with source_size, target and taken; no row is lost.
+    """``rows`` (doc_id, source, size and quality, and columns whose names don't start with ``mix_``) with source_size, target and taken; no row is lost.
 
-    Read more than once: give it a table. Names that start with ``mix_`` are reserved.
+    Read more than once: give it a table.
     """
     total = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("mix_n"))
     total = cut(total)
@@ -88,13 +89,14 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     # One of two equal rows may be taken once more than the other; each gets its share by number.
-    same = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", key.alias("mix_text"), word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("quality"))
-    counts = drawn(cut(same), **how).withColumn("mix_times", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(F.lit(0)))
-    counts = counts.groupBy("doc_id", "source", "mix_text").agg(F.sum("mix_times").alias("mix_times"), F.count(F.lit(1)).alias("mix_rows"))
-    counts = counts.where("mix_times > 0")
-    keyed = docs.withColumn("mix_text", key)
-    on = (F.col("d.mix_text") == F.col("c.mix_text")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source"))
-    joined = keyed.alias("d").join(counts.alias("c"), on).select("d.*", "c.mix_times", "c.mix_rows")
-    nth = F.when(F.col("mix_rows") > 1, F.row_number().over(Window.partitionBy("doc_id", "source", "mix_text").orderBy("doc_id"))).otherwise(F.lit(1))
-    times = F.expr("cast(mix_times div mix_rows + if(mix_nth <= mix_times % mix_rows, 1, 0) as int)")
-    return joined.withColumn("mix_nth", nth).withColumn("mix_times", times).where("mix_times > 0").withColumn("mix_nth", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*docs.columns)
+    keys = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), key.alias("digest")]
+    same = docs.select(*keys, word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("quality"))
+    counts = drawn(cut(same), **how).withColumn("times", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(F.lit(0)))
+    counts = counts.groupBy("doc_id", "source", "digest").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows"))
+    counts = counts.where("times > 0")
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), *keys)
+    on = (F.col("d.digest") == F.col("c.digest")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source"))
+    joined = keyed.alias("d").join(counts.alias("c"), on).select("d.*", "c.times", "c.rows")
+    nth = F.when(F.col("rows") > 1, F.row_number().over(Window.partitionBy("doc_id", "source", "digest").orderBy("doc_id"))).otherwise(F.lit(1))
+    times = F.expr("cast(times div rows + if(nth <= times % rows, 1, 0) as int)")
+    return joined.withColumn("nth", nth).withColumn("times", times).where("times > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")

@@ -19,7 +19,8 @@ the most central texts of random parts, until a round finds no link. In larger g
 even then, all pairs between components are compared, block by block, but for those whose sizes exclude them.
 
 Rows without words (null, empty or blank texts) are each a class of their own. Repeated rows are copies of
-each other. Extra columns are ignored, or kept by ``distinct``; names that start with ``near_`` are reserved. An empty table gives no rows.
+each other. Extra columns are ignored, or kept by ``distinct``, whatever their names. An empty table gives no rows. A very long text is shingled at once, in some
+tens of bytes a byte, and its shingle set (8 bytes a word) is one row.
 """
 
 from __future__ import annotations
@@ -395,8 +396,8 @@ def assign(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def distinct(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, and all without words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns({"near_id": F.col("doc_id").cast("long"), "near_a": F.xxhash64(text), "near_b": F.xxhash64(F.lit(7), text), "near_words": text.rlike(r"[^\x20\x09-\x0D]")})
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("near_a"), F.xxhash64(F.lit(7), text).alias("near_b"), text.rlike(r"[^\x20\x09-\x0D]").alias("words"))
     first = classes(docs, similarity).where((F.col("near_a") == F.col("first.near_a")) & (F.col("near_b") == F.col("first.near_b"))).select(F.col("class_id").alias("c_id"), F.col("near_a").alias("c_a"), F.col("near_b").alias("c_b"))
-    kept = rows.where("near_words").join(first, (F.col("near_a") == F.col("c_a")) & (F.col("near_b") == F.col("c_b")) & F.col("near_id").eqNullSafe(F.col("c_id")), "left_semi")
-    again = F.row_number().over(Window.partitionBy("near_a", "near_b", "near_id").orderBy("near_id"))
-    return kept.withColumn("near_nth", again).where("near_nth = 1").select(*docs.columns).unionByName(rows.where(~F.col("near_words")).select(*docs.columns))
+    kept = rows.where("words").join(first, (F.col("near_a") == F.col("c_a")) & (F.col("near_b") == F.col("c_b")) & F.col("id").eqNullSafe(F.col("c_id")), "left_semi")
+    again = F.row_number().over(Window.partitionBy("near_a", "near_b", "id").orderBy("id"))
+    return kept.withColumn("nth", again).where("nth = 1").select("doc").unionByName(rows.where(~F.col("words")).select("doc")).select("doc.*")
