@@ -211,3 +211,8 @@ def slices(items: Column, size: int) -> Column:
     """Fixed-size slices of an array; none of an empty one."""
     starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(size))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.slice(items, i, F.lit(size)))
+
+
+def embedding_cache_key(provider: Column, model: Column, text: Column) -> Column:
+    safe = lambda c: F.replace(strip(or_else(c, F.lit("unknown"))), F.lit(":"), F.lit("_"))
+    return F.concat_ws("_", safe(provider), safe(model), content_hash(text))

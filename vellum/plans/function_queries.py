@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.plans import answers
+from vellum.plans import answers, courses
 from vellum.sources import documents as sources
 from vellum.sources.tables import table
 
@@ -102,9 +102,44 @@ def notebook_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH items AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
-SELECT p_brand AS path, CAST(i // 25 AS INTEGER) AS ord, 'items ' || (i // 25 * 25 + 1) || '-' || least((i // 25 + 1) * 25, any_value(n)) AS section, string_agg('{"k":' || p_partkey || '}', chr(10) ORDER BY i) AS text FROM items GROUP BY p_brand, i // 25""")
+SELECT p_brand AS path, CAST(i // 25 AS INTEGER) AS ord, 'items ' || (i // 25 * 25 + 1) || '-' || least((i // 25 + 1) * 25, any_value(n)) AS section, '[' || chr(10) || string_agg('  {' || chr(10) || '    "k": ' || p_partkey || chr(10) || '  }', ',' || chr(10) ORDER BY i) || chr(10) || ']' AS text FROM items GROUP BY p_brand, i // 25""")
 def json_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON list a brand, 25 items a record."""
     items = F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("k"))))
     docs = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("path")).agg(F.to_json(items).alias("text"))
     return sources.json_groups(docs).select("path", F.col("ord").cast("int").alias("ord"), "section", "text")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Course page records of the parts: every tenth repeats the course before it, and every seventh has no title."""
+    k = F.col("p_partkey")
+    page = F.struct(
+        F.when(k % 3 == 0, F.concat(F.lit("cs"), k + 1000)).alias("course_id"), F.when(k % 3 > 0, F.when(k % 10 == 0, F.lit("EE ")).otherwise("MATH")).alias("subj_code"), F.when(k % 10 == 0, k - 1).otherwise(k).alias("crse_numb"),
+        F.when(k % 7 > 0, F.concat(F.lit(" "), "p_name", F.lit("\n x"))).alias("title"), F.col("p_size").alias("su_credits"), F.when(k % 2 == 0, F.col("p_size") / 2).alias("engineering"), F.col("p_brand").alias("description"),
+    )
+    return table(spark, sf_dir, "part").select(k.alias("line_no"), F.parse_json(F.to_json(page)).alias("v"))
+
+
+_SEEDS = """
+WITH p AS (SELECT p_partkey AS k, p_name || ' x' AS title, p_size AS s, p_brand AS b, CASE WHEN p_partkey % 3 = 0 THEN 'CS ' || (p_partkey + 1000) WHEN p_partkey % 10 = 0 THEN 'EE ' || (p_partkey - 1) ELSE 'MATH ' || p_partkey END AS code FROM part WHERE p_partkey % 7 > 0),
+c AS (
+  SELECT code, CASE WHEN k % 3 = 0 THEN 'CS' ELSE string_split(code, ' ')[1] END AS subject, CASE WHEN k % 10 = 0 THEN CAST(k - 1 AS VARCHAR) ELSE CAST(k AS VARCHAR) END AS number, title, '' || s AS su_credits, CAST(NULL AS VARCHAR) AS ects,
+    CASE WHEN k % 2 = 0 THEN (s // 2) || CASE WHEN s % 2 = 1 THEN '.5' ELSE '' END END AS engineering_ects, CAST(NULL AS VARCHAR) AS basic_science_ects, b AS description, '' AS prerequisites, '' AS corequisites, '' AS source_url,
+    row_number() OVER (PARTITION BY code ORDER BY k DESC) AS rn FROM p)
+SELECT * EXCLUDE (rn) FROM c WHERE rn = 1"""
+
+
+@query(_SEEDS)
+def course_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return courses.seeds(_pages(spark, sf_dir))
+
+
+@query(f"SELECT * FROM ({_SEEDS}) WHERE contains(lower(code || chr(10) || title || chr(10) || subject), 'ee') ORDER BY subject, number, code LIMIT 200")
+def course_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the first 200 courses that a search finds."""
+    return courses.shown(courses.seeds(_pages(spark, sf_dir)), " EE ")
+
+
+@query("SELECT c_custkey AS k, 'a_b_unknown_' || sha256(c_name) AS cache_key FROM customer")
+def embedding_cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), T.embedding_cache_key(F.lit(" a:b "), F.lit(""), F.col("c_name")).alias("cache_key"))

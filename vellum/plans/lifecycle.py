@@ -6,6 +6,7 @@ executor lost meanwhile repeats its tasks, and a failed write leaves the old ver
 
 from __future__ import annotations
 
+import re
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ SCHEMAS = {
     "batches": f"batchId string, sourceId string, type string, status string, storageKey string, fileName string, contentHash string, uploadedBy string, messageCount long, preview array<string>, approvedBy string, approvedAt timestamp, chunksCreated long, {_STAMPS}",
     "reviews": f"reviewId string, sourceId string, uploadBatchId string, text string, author string, messageDate string, status string, {_STAMPS}",
     "exams": f"examId string, sourceId string, courseCode string, year string, semester string, examType string, fileName string, storageKey string, contentHash string, status string, chunksCreated long, {_STAMPS}",
-    "chunks": "chunk_id string, sourceId string, chunkIndex long, text string, documentType string, document_type string, source string, location string, page int, slide int, section string, source_collection string",
+    "chunks": "chunk_id string, sourceId string, chunkIndex long, text string, documentType string, document_type string, source string, location string, page int, slide int, section string, source_collection string, source_path string, module string",
 }
 KEYS = {"sources": "sourceId", "jobs": "jobId", "batches": "batchId", "reviews": "reviewId", "exams": "examId", "chunks": "chunk_id"}
 KEPT_VERSIONS, PREVIEW = 2, 8
@@ -103,9 +104,10 @@ class Store:
 
     def _add(self, records: DataFrame, collection: str = "") -> None:
         """Chunks of records (text, source_hash, document_type, page, slide, section, ord, source)."""
+        told = [F.col(c) if c in records.columns else F.lit(None).cast("string").alias(c) for c in ("source_path", "module")]
         made = chunking.chunks(records).select(
             F.col("chunkId").alias("chunk_id"), "sourceId", "chunkIndex", F.col("chunk").alias("text"), T.document_type(F.col("document_type")).alias("documentType"), "document_type", "source", "location", "page", "slide", "section",
-            F.nullif(F.lit(collection), F.lit("")).alias("source_collection"),
+            F.nullif(F.lit(collection), F.lit("")).alias("source_collection"), *told,
         )
         self.upsert("chunks", made)
 
@@ -144,11 +146,16 @@ class Store:
 
     def ingest_text(self, text: str, source_name: str, document_type: str, source_id: str, storage_key: str = "", created_by: str = "system") -> int:
         """One text as one source of the given id (``type:hash``)."""
+        return self._ingest(self.spark.createDataFrame([(text,)], "text string"), source_name, source_id, storage_key, created_by)
+
+    def _ingest(self, text: DataFrame, source_name: str, source_id: str, storage_key: str, created_by: str) -> int:
+        """The one row of ``text`` as one source; it stays a DataFrame."""
         kind, short = source_id.split(":", 1)
-        self.put("sources", sourceId=source_id, type=kind, fileName=source_name, storageKey=storage_key, contentHash=self._digest(text), status="uploaded", createdBy=created_by)
+        digest = text.select(F.sha2("text", 256).alias("d")).first().d
+        self.put("sources", sourceId=source_id, type=kind, fileName=source_name, storageKey=storage_key, contentHash=digest, status="uploaded", createdBy=created_by)
         job = self.start_job(source_id)
         try:
-            records = self.spark.createDataFrame([(text, short, kind, source_name)], "text string, source_hash string, document_type string, source string")
+            records = text.withColumns({"source_hash": F.lit(short), "document_type": F.lit(kind), "source": F.lit(source_name)})
             none = {"page": F.lit(None).cast("int"), "slide": F.lit(None).cast("int"), "section": F.lit(None).cast("string"), "ord": F.lit(0)}
             self._add(records.withColumns(none))
             n = self.read("chunks").where(F.col("sourceId") == source_id).count()
@@ -158,15 +165,14 @@ class Store:
         self.finish_job(job, source_id, "indexed", n)
         return n
 
-    def _digest(self, text: str) -> str:
-        return self.spark.range(1).select(F.sha2(F.lit(text), 256).alias("d")).first().d
-
     def index_folder(self, root: str) -> int:
-        """A folder's files as the collection ``sources``, each section a source of its own; nothing if the collection has chunks."""
+        """A folder's files as the collection ``sources``, each section a source of its own, told by paths below the folder; the first folder of a path is its module. Nothing if the collection has chunks."""
         if not self.read("chunks").where("source_collection = 'sources'").limit(1).isEmpty():
             return 0
         found = documents.files(self.spark, root)
-        records = documents.load(found).withColumns({"source_hash": F.lit(None).cast("string"), "document_type": F.lit("course"), "source": F.regexp_extract("path", "([^/]*)$", 1)})
+        below = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), f"^.*?/{re.escape(re.sub(r'^[A-Za-z0-9+.-]+://[^/]*', '', root).strip('/'))}/+", "")
+        module = F.when(below.contains("/"), F.substring_index(below, "/", 1)).otherwise("sources")
+        records = documents.load(found).withColumns({"source_hash": F.lit(None).cast("string"), "document_type": F.lit("course"), "source": below, "source_path": below, "module": module})
         self._add(records, "sources")
         return self.read("chunks").where("source_collection = 'sources'").count()
 
@@ -212,8 +218,7 @@ class Store:
         at = F.lit(now())
         self.upsert("reviews", messages.select(F.concat(F.lit("review:"), F.substring(named, 1, 24)).alias("reviewId"), F.lit(batch.sourceId).alias("sourceId"), F.lit(batch_id).alias("uploadBatchId"), "text", "author", F.col("date").alias("messageDate"), F.lit("approved").alias("status"), at.alias("updatedAt"), at.alias("createdAt")))
         whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda x: x["text"]), "\n")
-        text = messages.agg(whole.alias("text")).first().text  # one uploaded file
-        n = self.ingest_text(text, batch.fileName, "review", batch.sourceId, batch.storageKey, approved_by)
+        n = self._ingest(messages.agg(whole.alias("text")), batch.fileName, batch.sourceId, batch.storageKey, approved_by)
         self.put("batches", batchId=batch_id, status="indexed", approvedBy=approved_by, approvedAt=now(), chunksCreated=n)
         return known | {"status": "indexed", "chunks": n}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -75,13 +76,23 @@ def notebook(docs: DataFrame) -> DataFrame:
     return rows.groupBy("path", "ord", "section").agg(body.alias("text"))
 
 
+def json_records(text: str, size: int = 25) -> list[tuple[str | None, str]]:
+    """(section, text) of a JSON document, pretty-printed: ``size`` items of a list, one field of an object, or another value whole."""
+    told, said = json.loads(text), lambda x: json.dumps(x, ensure_ascii=False, indent=2)
+    if isinstance(told, list):
+        return [(f"items {i + 1}-{min(i + size, len(told))}", said(told[i : i + size])) for i in range(0, len(told), size)]
+    return [(str(k), said(v)) for k, v in told.items()] if isinstance(told, dict) else [(None, said(told))]
+
+
 def json_groups(docs: DataFrame, size: int = 25) -> DataFrame:
-    """path, ord, section and items (raw JSON) of JSON lists (path, text): ``size`` items a record."""
-    items = docs.select("path", F.posexplode(F.from_json("text", "array<string>")).alias("i", "item"), F.size(F.from_json("text", "array<string>")).alias("n"))
-    rows = items.withColumn("ord", F.floor(F.col("i") / size))
-    name = F.concat(F.lit("items "), (F.col("ord") * size + 1).cast("string"), F.lit("-"), F.least((F.col("ord") + 1) * size, F.col("n")).cast("string"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "item"))), lambda x: x["item"]), "\n")
-    return rows.groupBy("path", "ord", "n").agg(body.alias("text")).select("path", "ord", name.alias("section"), "text")
+    """path, ord, section and text of JSON documents (path, text); malformed JSON fails."""
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(p, i, s, t) for p, text in zip(frame["path"], frame["text"]) for i, (s, t) in enumerate(json_records(text, size))]
+            yield pd.DataFrame(rows, columns=["path", "ord", "section", "text"])
+
+    return docs.select("path", "text").mapInPandas(parse, "path string, ord int, section string, text string")
 
 
 class _Sections(HTMLParser):
