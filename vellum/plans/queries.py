@@ -91,6 +91,16 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("n"))
 
 
+#: Java's Unicode classes of word characters and white space, as DuckDB's patterns write them.
+_W, _S = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}", r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _begins(words: str, closed: bool = False, column: str = "text") -> str:
+    """SQL for: one of the words begins in the text, and with ``closed`` ends there too."""
+    pattern = words.replace(r"\w", f"[{_W}]").replace(r"\s", f"[{_S}]").replace(r"\d", r"\p{Nd}").replace("'", "''")
+    return f"regexp_matches({column}, '(?i)(^|[^{_W}])({pattern})" + (f"($|[^{_W}])" if closed else "") + "')"
+
+
 @query(r"""
 SELECT doc_id, sha256(said) AS digest, CAST(said <> text AS INTEGER) AS changed FROM (
   SELECT doc_id, text, regexp_replace(regexp_replace(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+|\+?[0-9][0-9\s().-]{7,}[0-9]', '[redacted]', 'g'), '^\s+|\s+$', '', 'g') AS said
@@ -100,9 +110,12 @@ def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _redacted(docs)
 
 
-@query()
+@query(rf"""
+SELECT doc_id, sha256(said) AS digest, CAST(said <> text AS INTEGER) AS changed FROM (
+  SELECT doc_id, text, regexp_replace(regexp_replace(text, '[{_W}.+-]+@[{_W}-]+\.[{_W}.-]+|\+?\p{{Nd}}[\p{{Nd}}{_S}().-]{{7,}}\p{{Nd}}', '[redacted]', 'g'), '^[{_S}]+|[{_S}]+$', '', 'g') AS said
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))""")
 def pii_redact_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents; DuckDB's classes are ASCII, so there is no SQL."""
+    """All documents."""
     return _redacted(table(spark, sf_dir, "documents"))
 
 
@@ -376,9 +389,9 @@ def route_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _routed(docs)
 
 
-@query()
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN {_begins(words, True)} THEN '{name}'" for name, _, words in intent.ROUTES) + " ELSE 'diger' END AS intent FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def route_rules_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents; DuckDB's classes are ASCII, so there is no SQL."""
+    """All documents."""
     return _routed(table(spark, sf_dir, "documents"))
 
 
@@ -439,9 +452,18 @@ def resolve_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resolved(docs)
 
 
-@query()
+_ALIASES = [(key, [n.replace("'", "''") for n in names]) for key, (_, names) in answers.INTERESTS.items()]
+_WHOLE_AREA = "CASE " + " ".join(f"WHEN plain IN ({', '.join(chr(39) + n + chr(39) for n in names)}) THEN '{key}'" for key, names in _ALIASES) + " " + " ".join(f"WHEN {_begins('|'.join(names), True, 'plain').replace('(?i)', '')} THEN '{key}'" for key, names in _ALIASES) + " END"
+_WHOLE_DETAIL = f"({_begins(answers.COURSE_DETAIL)} OR ({_begins(answers.COURSE_CODE, True)} AND NOT {_begins(answers.EXPLICIT_RECOMMENDATION)} AND NOT {_begins(answers.GRADUATION_ONLY, True)}))"
+
+
+@query(rf"""
+SELECT doc_id, area, CASE WHEN {_begins(answers.GRADUATION)} AND NOT {_WHOLE_DETAIL} THEN 'mezuniyet_durumu' WHEN {_WHOLE_DETAIL} THEN 'ders_ayrintisi' WHEN {_begins(answers.STUDY_PLAN)} THEN 'calisma_plani'
+  WHEN {_begins(answers.MAJOR)} THEN 'major_secimi' WHEN {_begins(answers.SPECIALIZATION)} THEN 'alanda_ozellesme'
+  WHEN {_begins(answers.RECOMMENDATION)} OR (area IS NOT NULL AND length(plain) <= 120 AND NOT {_begins(answers.NOT_RECOMMENDATION, True, "plain")}) THEN 'ders_onerisi' ELSE 'diger' END AS intent
+FROM (SELECT *, {_WHOLE_AREA} AS area FROM (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(regexp_replace(lower(coalesce(text, '')), '^[{_S}]+|[{_S}]+$', '', 'g'), '[{_S}]+', ' ', 'g') AS plain FROM documents))""")
 def resolve_intent_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents; DuckDB's classes are ASCII, so there is no SQL."""
+    """All documents."""
     return _resolved(table(spark, sf_dir, "documents"))
 
 
