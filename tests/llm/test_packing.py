@@ -43,8 +43,8 @@ def valid(rows, capacity):
 def test_rounds(spark, monkeypatch, size):
     monkeypatch.setattr(packing, "RANGE", size)
     r = random.Random(3)
-    cases = [[r.randrange(1, 65) for _ in range(400)], [r.choice([1, 2, 3]) for _ in range(500)], [64] * 30 + [22] * 40 + [1] * 70, [r.choice([1, 31, 32, 33, 63]) for _ in range(300)]]
-    for lengths in cases if size > 40 else cases[:2]:
+    cases = [[r.randrange(1, 65) for _ in range(400)], [64] * 30 + [22] * 40 + [1] * 70 + [r.choice([31, 32, 33, 63]) for _ in range(100)]]
+    for lengths in cases if size > 40 else cases[:1]:
         pieces = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long").withColumns({c: F.lit(1) for c in ("size", "id", "gap", "turn", "sequence", "part")}).repartition(5)
         done = packing.packed(pieces, 64)
         rows = done.collect()

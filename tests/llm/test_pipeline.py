@@ -140,8 +140,6 @@ def test_empty_and_clashing(spark, folder, tmp_path):
         assert made.columns == clash.columns and made.where(" or ".join(f"{c} is null or {c} <> '{c}'" for c in named)).count() == 0
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
-    docs.where("text is null").union(docs.where("text = ''")).write.parquet(f"{tmp_path}/blank/documents.parquet")
-    assert corpus_pipeline.run(spark, f"{tmp_path}/blank").count() == 0
 
 
 def test_run(spark):
