@@ -150,8 +150,8 @@ def test_chat(spark):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("content", chat.text_part(F.col("text")))
     done = chat.conversations(turns)
     got = {r.conv_id: r for r in done.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
-    assert [tuple(t) for t in got[1].turns] == [("user", "hi <|end|> [x] \\<"), ("assistant", ""), ("assistant", "</s>ok")] and got[1].loss == "</s>ok"
-    assert [tuple(t) for t in got[2].turns] == [("", "")] and "</s>" not in got[1].formatted
+    assert [(t.role, t.text) for t in got[1].turns] == [("user", "hi <|end|> [x] \\<"), ("assistant", ""), ("assistant", "</s>ok")] and got[1].loss == "</s>ok"
+    assert [(t.role, t.text) for t in got[2].turns] == [("", "")] and "</s>" not in got[1].formatted
     parts = [(1, 0, "user", [("text", "see", None, None, None, None, None), ("image", None, "i.png", 28, 15, None, None), ("audio", None, "a.wav", None, None, 1.5, None)])]
     done = chat.conversations(spark.createDataFrame(parts, f"conv_id long, turn long, role string, content array<{chat.PART}>")).first()
     assert "see<|image:1|><|audio:2|>" in done.formatted and done.attachment_tokens == 4 + 38 and [a.uri for a in done.attachments] == ["i.png", "a.wav"]
