@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, licenses, mixing, neardup, packing, quality, repeats, rules, secrets, vectors
+from vellum.llm import alignment, chat, licenses, mixing, neardup, packing, periods, quality, repeats, rules, secrets, shards, vectors
 from vellum.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,23 @@ def op10_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.sharded(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(read(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.detected(read(spark, sf_dir, "documents"), plant=True)
+
+
 ORACLES["op10_typed_parts"] = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, coalesce(turn, 0) AS n, 'a/' || conv_id || '-' || coalesce(turn, 0) AS uri FROM conversations),
 parts AS (
