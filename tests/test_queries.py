@@ -5,10 +5,10 @@ import math
 import duckdb
 import pytest
 
-from vellum.plans import card_queries, function_queries, queries
+from vellum.plans import card_queries, function_queries, queries, retrieval_queries
 
-QUERIES = queries.QUERIES | function_queries.QUERIES | card_queries.QUERIES
-ORACLES = queries.ORACLES | function_queries.ORACLES | card_queries.ORACLES
+QUERIES = queries.QUERIES | function_queries.QUERIES | card_queries.QUERIES | retrieval_queries.QUERIES
+ORACLES = queries.ORACLES | function_queries.ORACLES | card_queries.ORACLES | retrieval_queries.ORACLES
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -8,8 +8,10 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Probe vectors up to this number are broadcast.
-SMALL = 10_000
+from vellum.operators import cells
+
+#: Probes up to this number, and of up to so many elements in all, are broadcast.
+SMALL, ELEMENTS = 16, 200_000
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -19,11 +21,22 @@ def l2(a: Column, b: Column) -> Column:
 
 
 def dense_topk(vectors: DataFrame, probes: DataFrame, k: int, per: list[str] | None = None) -> DataFrame:
-    """The ``k`` nearest rows (vec_id, embedding, ...) of each probe (probe_id, probe), or of each probe and ``per`` columns; rank from 1."""
-    near = probes if probes.limit(SMALL + 1).count() > SMALL else F.broadcast(probes)
-    scored = vectors.join(near, F.lit(True)).withColumn("distance", l2(F.col("embedding"), F.col("probe")))
-    own = Window.partitionBy("probe_id", *(per or [])).orderBy("distance", "vec_id")
-    return scored.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).drop("embedding", "probe")
+    """The ``k`` nearest rows (vec_id, embedding, ...) of each probe (probe_id, probe), or of each probe and ``per`` columns; rank from 1.
+
+    A few probes (up to ``SMALL``, one of which an application asks at a time) are compared with each vector in one pass. More are searched by cells; ``per`` columns are parts then, and are told as such.
+    """
+    few = probes.limit(SMALL + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("probe")).alias("elements")).first()
+    if few.n <= SMALL and (few.elements or 0) <= ELEMENTS:
+        scored = vectors.join(F.broadcast(probes), F.lit(True)).withColumn("distance", l2(F.col("embedding"), F.col("probe")))
+        own = Window.partitionBy("probe_id", *(per or [])).orderBy("distance", "vec_id")
+        return scored.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).drop("embedding", "probe")
+    if per:
+        told = F.to_json(F.struct(*per))
+        vectors = vectors.withColumn("part", told)
+        probes = probes.join(vectors.select("part").distinct(), F.lit(True))  # a probe a part, as asked
+    found = cells.nearest(vectors, probes, k)
+    rest = [c for c in vectors.columns if c not in ("embedding", "part")]
+    return found.drop("part").join(vectors.select(rest), "vec_id")
 
 
 def terms(query: Column) -> Column:
@@ -47,6 +60,17 @@ def structured_score(course: Column, term: Column, program: Column, requirement:
     )
 
 
+def structured_scores() -> Column:
+    """`structured_score` where a row holds both a chunk's metadata and what its question asks (courses, terms, programs, requirements, graduation)."""
+    worth = lambda c, asked, w: F.when(F.coalesce(F.array_contains(asked, F.col(c)), F.lit(False)), F.lit(w)).otherwise(F.lit(0.0))
+    graded, authority = F.col("graduation"), F.col("source_authority")
+    return (
+        worth("course_id", "courses", 20.0) + worth("term_code", "terms", 8.0) + worth("program", "programs", 6.0) + worth("requirement_type", "requirements", 4.0)
+        + F.when(graded & (authority == "official_degree_evaluation"), 14.0).when(graded & (authority == "official_degree_requirements"), 6.0).otherwise(0.0)
+        + F.when(F.coalesce("aggregate", F.lit(False)) & (F.size("courses") == 0), 1.0).otherwise(0.0)
+    )
+
+
 def conjunction(parts: dict[str, object]) -> Column:
     """Equality or membership of each key; absent (null) values don't match. No parts match all."""
     each = [F.col(k).isin(*v) if isinstance(v, (list, tuple, set)) else F.col(k) == F.lit(v) for k, v in parts.items()]

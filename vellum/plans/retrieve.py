@@ -1,7 +1,10 @@
-"""Retrieval for one question: filter steps, exact rows and nearest vectors of each, dedupe, scores, and re-ranking.
+"""Retrieval: filter steps, exact rows and nearest vectors of each, dedupe, scores, and re-ranking.
 
-All steps share one scan: a chunk is kept if any step takes it, and top rows of each step come from
+For one question, all steps share one scan: a chunk is kept if any step takes it, and top rows of each step come from
 group-limited windows, which cut rows within tasks before the shuffle.
+
+For a table of questions, steps are rows. Questions repeat conditions, so each different condition is matched once, by an equi-join on one of its values; its exact rows are shared by all questions that have
+it, and its matches are a part of the search by cells.
 """
 
 from __future__ import annotations
@@ -12,8 +15,9 @@ import operator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.operators import retrieval, store
+from vellum.operators import cells, retrieval, store
 from vellum.plans import catalog, intent
+from vellum.sources.shared import keep
 
 # Fixed values.
 LIST_TYPES = ("program_requirement_list", "schedule_course_list", "graduation_requirement_course_list")
@@ -81,6 +85,101 @@ def retrieve(chunks: DataFrame, question: str, vector: list[float], k: int = CAN
     return ranked.select(*chunks.columns, "score", "rank")
 
 
+#: A condition of a step: values of which a chunk's must be one, or null.
+CONDITION = "course string, requirements array<string>, types array<string>, terms array<string>, programs array<string>, collection string, aggregate boolean, route string"
+_SETS = {"types": "document_type", "terms": "term_code", "programs": "program", "requirements": "requirement_type"}
+_SINGLE = {"course": "course_id", "collection": "source_collection", "route": "documentType"}
+#: Values by which conditions meet chunks, the most selective first.
+_KEYS = ("course", "programs", "terms", "types", "requirements", "route", "collection")
+
+
+def _steps(route: Column) -> Column:
+    """The steps of a row (courses, terms, programs, requirements, types, collection) in order, as conditions; the route's alone if there are none."""
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    no_text, no_list = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+
+    def step(course: Column = no_text, requirements: Column | None = None, aggregate: bool = False) -> Column:
+        fields = [course, some("requirements") if requirements is None else requirements, some("types"), some("terms"), some("programs"), F.nullif("collection", F.lit("")), F.when(F.lit(aggregate), F.lit(True)), route]
+        return F.struct(*fields).cast(f"struct<{CONDITION.replace(' ', ':').replace(',:', ',')}>")
+
+    listed = F.size(F.array_intersect("types", F.array(*[F.lit(t) for t in LIST_TYPES]))) > 0
+    base = (F.size("types") + F.size("terms") + F.size("programs") + F.size("requirements") > 0) | (F.col("collection") != "")
+    course = F.flatten(F.transform("courses", lambda c: F.array_compact(F.array(step(c), F.when(F.size("requirements") > 0, step(c, no_list))))))
+    rest = F.array_compact(F.array(F.when(base & (F.size("courses") == 0) & listed, step(aggregate=True)), F.when(base, step())))
+    every = F.concat(course, rest)
+    only = F.array(F.struct(no_text, no_list, no_list, no_list, no_list, no_text, F.lit(None).cast("boolean"), route).cast(f"struct<{CONDITION.replace(' ', ':').replace(',:', ',')}>"))
+    return F.when((F.size(every) == 0) & route.isNotNull(), only).otherwise(every)
+
+
+def matches(chunks: DataFrame, conditions: DataFrame) -> DataFrame:
+    """condition and chunk_id of all chunks (with ``COLUMNS``) that fulfil a condition (condition, c): an equi-join on its most selective value, then the others."""
+    value = lambda name: F.col("c")[name] if name in _SETS else F.when(F.col("c")[name].isNotNull(), F.array(F.col("c")[name]))
+    told = lambda name: lambda v: F.concat(F.lit(name + "="), v)
+    keyed = F.coalesce(*[F.transform(value(n), told(n)) for n in _KEYS])
+    asked = conditions.select("condition", "c", F.explode(F.array_distinct(keyed)).alias("key"))
+    names = _SETS | _SINGLE
+    rows = chunks.select("chunk_id", "aggregate", *names.values(), F.explode(F.array_compact(F.array(*[told(n)(F.col(names[n])) for n in _KEYS]))).alias("key"))
+    fits = F.lit(True)
+    for name, column in names.items():
+        held = F.array_contains(F.col("c")[name], F.col(column)) if name in _SETS else F.col("c")[name] == F.col(column)
+        fits = fits & (F.col("c")[name].isNull() | F.coalesce(held, F.lit(False)))
+    fits = fits & (F.col("c")["aggregate"].isNull() | F.coalesce(F.col("aggregate"), F.lit(False)))
+    return rows.join(asked, "key").where(fits).select("condition", "chunk_id")
+
+
+def named(questions: DataFrame) -> DataFrame:
+    """``questions`` with what each names."""
+    q = F.coalesce("question", F.lit(""))
+    return questions.withColumns({
+        "courses": intent.course_ids(q), "terms": intent.term_codes(q), "programs": intent.programs(q), "requirements": intent.requirement_types(q), "types": intent.document_types(q),
+        "collection": intent.source_collection(q), "graduation": intent.is_graduation(q),
+    })
+
+
+def retrieve_many(chunks: DataFrame, questions: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """For each of the questions (question_id, question, vector; route, a documentType, may be absent): chunk_id, score and rank of its ``k`` best chunks, as `retrieve` finds them.
+
+    chunk_id is unique and not null. The driver reads no question and no hit.
+    """
+    rows = chunks.withColumns({c: F.lit(None).cast(t) for c, t in COLUMNS.items() if c not in chunks.columns})
+    route = F.col("route") if "route" in questions.columns else F.lit(None).cast("string")
+    found, _ = keep(named(questions.select("question_id", "question", "vector", route.alias("route"))))
+    tried = found.select("question_id", "vector", "route", F.posexplode(_steps(F.col("route"))).alias("branch", "c"))
+    tried, _ = keep(tried.withColumn("condition", F.md5(F.to_json("c"))))
+    conditions = tried.groupBy("condition").agg(F.first("c").alias("c"))  # of equal ones
+    hits, _ = keep(matches(rows, conditions))
+    vectors = rows.where("embedding is not null").select("chunk_id", F.col("embedding"))
+
+    # Exact: the first rows of each condition, then of each step that has it.
+    texts = rows.where(F.coalesce("text", F.lit("")) != "").select("chunk_id")
+    first = Window.partitionBy("condition").orderBy("chunk_id")
+    exact = hits.join(texts, "chunk_id").withColumn("position", F.row_number().over(first)).where(F.col("position") <= max(3 * k, LEAST_EXACT))
+    exact = exact.join(tried.select("question_id", "branch", "condition"), "condition").select("question_id", "chunk_id", "branch", F.lit(0).alias("way"), "position")
+
+    def dense(asked: DataFrame, points: DataFrame, n: int) -> DataFrame:
+        """Hits of ``asked`` (question_id, branch, vector, part) among ``points`` (chunk_id, embedding, part)."""
+        probes = asked.select(F.struct("question_id", "branch").alias("probe_id"), F.col("vector").alias("probe"), "part")
+        near = cells.nearest(points.withColumnRenamed("chunk_id", "vec_id"), probes, n)
+        return near.select("probe_id.question_id", F.col("vec_id").alias("chunk_id"), "probe_id.branch", F.lit(1).alias("way"), F.col("rank").alias("position"))
+
+    points = hits.join(vectors, "chunk_id").withColumnRenamed("condition", "part")
+    stepped, _ = keep(exact.union(dense(tried.withColumnRenamed("condition", "part"), points, max(k, LEAST_DENSE))))
+    # Without a hit, a question takes the nearest of its route, or of all.
+    left = found.join(stepped.select("question_id").distinct(), "question_id", "left_anti").select("question_id", "vector", F.lit(0).alias("branch"), F.coalesce(F.concat(F.lit("="), "route"), F.lit("")).alias("part"))
+    left, _ = keep(left)
+    routes = left.select("part").distinct()
+    routed = rows.where("embedding is not null").select("chunk_id", "embedding", F.explode(F.array_compact(F.array(F.lit(""), F.concat(F.lit("="), F.col("documentType"))))).alias("part"))
+    every = stepped.union(dense(left, routed.join(routes, "part", "left_semi"), k))
+
+    single = every.groupBy("question_id", "chunk_id").agg(F.min(F.struct("branch", "way", "position")).alias("at"))
+    asked = found.select("question_id", "question", "courses", "terms", "programs", "requirements", "graduation")
+    pairs = single.join(asked, "question_id").join(rows.select("chunk_id", "text", "course_id", "term_code", "program", "requirement_type", "source_authority", "aggregate"), "chunk_id")
+    score = F.round(retrieval.structured_scores() + retrieval.lexical_score(F.coalesce("question", F.lit("")), F.coalesce("text", F.lit(""))), 6)
+    own = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "at")
+    best = pairs.select("question_id", "chunk_id", "at", score.alias("score")).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= max(k, 1))
+    return best.select("question_id", "chunk_id", "score", "rank")
+
+
 def _branches(rows: DataFrame, conditions: list[dict[str, object]], n: int, order: list[str]) -> DataFrame:
     each = [retrieval.conjunction(c) for c in conditions]
     return retrieval.ladder(rows.where(functools.reduce(operator.or_, each)), each, n, order)
