@@ -5,10 +5,11 @@ import math
 import duckdb
 import pytest
 
-from vellum.plans import card_queries, function_queries, queries, retrieval_queries
+from vellum.plans import card_queries, function_queries, queries, retrieval_queries, store_queries
 
-QUERIES = queries.QUERIES | function_queries.QUERIES | card_queries.QUERIES | retrieval_queries.QUERIES
-ORACLES = queries.ORACLES | function_queries.ORACLES | card_queries.ORACLES | retrieval_queries.ORACLES
+MODULES = (queries, function_queries, card_queries, retrieval_queries, store_queries)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

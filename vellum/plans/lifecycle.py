@@ -1,7 +1,7 @@
-"""Sources, jobs, chat batches, reviews, exams and chunks as versioned Parquet tables below one shared folder.
+"""Sources, jobs, chat batches, reviews, exams and chunks as keyed tables of hash buckets below one shared folder.
 
-A change writes a whole new version of a table beside the old one; readers take the newest complete version. An
-executor lost meanwhile repeats its tasks, and a failed write leaves the old version current. One writer at a time.
+A change rewrites the buckets of the keys that it touches, as the next version of its table; see ``vellum.operators.buckets``. An
+executor lost meanwhile repeats its tasks, and a failed write leaves the old version current.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vellum.functions import text as T
-from vellum.operators import chunking, store
+from vellum.operators import buckets, chunking, store
 from vellum.plans import catalog
 from vellum.sources import documents
 
@@ -28,7 +28,7 @@ SCHEMAS = {
     "chunks": "chunk_id string, sourceId string, chunkIndex long, text string, documentType string, document_type string, source string, location string, page int, slide int, section string, source_collection string, source_path string, module string",
 }
 KEYS = {"sources": "sourceId", "jobs": "jobId", "batches": "batchId", "reviews": "reviewId", "exams": "examId", "chunks": "chunk_id"}
-KEPT_VERSIONS, PREVIEW = 2, 8
+PREVIEW = 8
 
 
 def now() -> datetime:
@@ -36,48 +36,24 @@ def now() -> datetime:
 
 
 class Store:
+    """The tables below ``root``. One writer at a time a table; a second one's change is refused."""
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _path(self, path: str):
-        made = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return made, made.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _versions(self, name: str) -> list[int]:
-        """Complete versions of a table; a handful of folder names."""
-        path, fs = self._path(f"{self.root}/{name}")
-        if not fs.exists(path):
-            return []
-        found = [s.getPath() for s in fs.listStatus(path)]
-        whole = lambda p: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-        return sorted(int(p.getName()) for p in found if p.getName().isdigit() and whole(p))
+    def table(self, name: str) -> buckets.Buckets:
+        return buckets.Buckets(self.spark, f"{self.root}/{name}", SCHEMAS[name], KEYS[name], ("createdAt",) if "createdAt" in SCHEMAS[name] else ())
 
     def read(self, name: str) -> DataFrame:
-        versions = self._versions(name)
-        if not versions:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/{versions[-1]}")
-
-    def write(self, name: str, rows: DataFrame) -> None:
-        """A new version; the one before stays for readers that have begun."""
-        versions = self._versions(name)
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/{versions[-1] + 1 if versions else 1}")
-        for old in versions[: -KEPT_VERSIONS + 1]:
-            path, fs = self._path(f"{self.root}/{name}/{old}")
-            fs.delete(path, True)
+        return self.table(name).read()
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        """Rows by key. A column that ``rows`` lack keeps its value, as does createdAt."""
-        key, old = KEYS[name], self.read(name)
+        """Rows by key, into the buckets of their keys. A column that ``rows`` lack keeps its value, as does createdAt; chunks are replaced whole, and of equal ids the first one counts."""
+        if name == "chunks":
+            rows = store.first_per_key(rows, [KEYS[name]], ["sourceId", "chunkIndex"])
+        self.table(name).merge(rows, whole=name == "chunks")
         if name == "chunks":
-            fresh = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns])
-            fresh = store.first_per_key(fresh, [key], ["sourceId", "chunkIndex"])
-            self.write(name, old.join(fresh.select(key), key, "left_anti").unionByName(fresh))
-            return
-        given = [c for c in rows.columns if c != key]
-        both = old.alias("o").join(rows.select(key, *given, F.lit(True).alias("_new")).alias("n"), key, "full")
-        take = lambda c: F.col(f"o.{c}") if c not in given else F.coalesce(f"o.{c}", f"n.{c}") if c == "createdAt" else F.when(F.col("_new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
-        self.write(name, both.select(*[F.col(c) if c == key else take(c).cast(old.schema[c].dataType).alias(c) for c in old.columns]))
+            self.table(name).grow()
 
     def put(self, name: str, **values: object) -> None:
         """One row, updated at this moment."""
@@ -233,17 +209,13 @@ class Store:
     def delete_source(self, source_id: str, hard: bool = False) -> dict:
         """Marks a source deleted, or removes it; its chunks go, and its reviews, exams and batches are marked."""
         mine = F.col("sourceId") == source_id
-        sources, chunks = self.read("sources"), self.read("chunks")
-        if sources.where(mine).limit(1).isEmpty():
+        if self.read("sources").where(mine).limit(1).isEmpty():
             raise ValueError(f"Source not found: {source_id}")
-        n = chunks.where(mine).count()
-        at = {"status": F.lit("deleted"), "updatedAt": F.lit(now())}
-        self.write("sources", sources.where(~mine) if hard else store.update_where(sources, mine, at | {"deletedAt": F.lit(now())}))
-        self.write("chunks", chunks.where(~mine))
-        report = {"sourceId": source_id, "deletedChunks": n, "hard": hard}
+        if hard:
+            self.table("sources").remove(mine)
+        else:
+            self.table("sources").update(mine, status="deleted", updatedAt=now(), deletedAt=now())
+        report = {"sourceId": source_id, "deletedChunks": self.table("chunks").remove(mine), "hard": hard}
         for name in ("reviews", "exams", "batches"):
-            rows = self.read(name)
-            report[name] = rows.where(mine).count()
-            if report[name]:
-                self.write(name, store.update_where(rows, mine, at))
+            report[name] = self.table(name).update(mine, status="deleted", updatedAt=now())
         return report
