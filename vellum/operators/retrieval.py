@@ -45,8 +45,12 @@ def terms(query: Column) -> Column:
 
 
 def lexical_score(query: Column, text: Column, weight: float = 0.25) -> Column:
-    low = F.lower(text)
-    return F.size(F.filter(terms(query), lambda t: F.contains(low, t))) * F.lit(weight)
+    return term_score(terms(query), text, weight)
+
+
+def term_score(asked: Column, text: Column, weight: float = 0.25) -> Column:
+    """``weight`` for each of the lower-case terms that the text holds; the text is lowered once."""
+    return F.element_at(F.transform(F.array(F.lower(text)), lambda low: F.size(F.filter(asked, lambda t: F.contains(low, t)))), 1) * F.lit(weight)
 
 
 def structured_score(course: Column, term: Column, program: Column, requirement: Column, authority: Column, aggregate: Column, asked: dict) -> Column:

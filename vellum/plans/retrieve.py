@@ -132,7 +132,7 @@ def named(questions: DataFrame) -> DataFrame:
     q = F.coalesce("question", F.lit(""))
     return questions.withColumns({
         "courses": intent.course_ids(q), "terms": intent.term_codes(q), "programs": intent.programs(q), "requirements": intent.requirement_types(q), "types": intent.document_types(q),
-        "collection": intent.source_collection(q), "graduation": intent.is_graduation(q),
+        "collection": intent.source_collection(q), "graduation": intent.is_graduation(q), "words": retrieval.terms(q),
     })
 
 
@@ -172,9 +172,9 @@ def retrieve_many(chunks: DataFrame, questions: DataFrame, k: int = CANDIDATES)
     every = stepped.union(dense(left, routed.join(routes, "part", "left_semi"), k))
 
     single = every.groupBy("question_id", "chunk_id").agg(F.min(F.struct("branch", "way", "position")).alias("at"))
-    asked = found.select("question_id", "question", "courses", "terms", "programs", "requirements", "graduation")
+    asked = found.select("question_id", "words", "courses", "terms", "programs", "requirements", "graduation")
     pairs = single.join(asked, "question_id").join(rows.select("chunk_id", "text", "course_id", "term_code", "program", "requirement_type", "source_authority", "aggregate"), "chunk_id")
-    score = F.round(retrieval.structured_scores() + retrieval.lexical_score(F.coalesce("question", F.lit("")), F.coalesce("text", F.lit(""))), 6)
+    score = F.round(retrieval.structured_scores() + retrieval.term_score(F.col("words"), F.coalesce("text", F.lit(""))), 6)
     own = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "at")
     best = pairs.select("question_id", "chunk_id", "at", score.alias("score")).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= max(k, 1))
     return best.select("question_id", "chunk_id", "score", "rank")
