@@ -88,6 +88,21 @@ def ladder(rows: DataFrame, steps: list[Column], limit: int, order: list[str]) -
     return spread.withColumn("position", F.row_number().over(Window.partitionBy("branch").orderBy(*order))).where(F.col("position") <= limit)
 
 
+def token_vectors(text: Column, most: int | None = None) -> Column:
+    """The distinct tokens of a text as vectors, each the set of three-letter pieces of the token between its marks of beginning and end; the first ``most`` of them."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
+    found = F.slice(found, 1, most) if most else found
+    pieces = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(F.concat(F.lit("^"), t, F.lit("$")), i, F.lit(3)))
+    return F.transform(found, lambda t: F.array_distinct(pieces(t)))
+
+
+def late_interaction(question: Column, text: Column) -> Column:
+    """Mean over the question's token vectors of the greatest cosine with any of the text's (both columns of `token_vectors`); 0 if either has none."""
+    cosine = lambda a, b: F.size(F.array_intersect(a, b)) / F.sqrt(F.size(a) * F.size(b).cast("double"))
+    best = F.transform(question, lambda a: F.coalesce(F.array_max(F.transform(text, lambda b: cosine(a, b))), F.lit(0.0)))
+    return F.coalesce(F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(question), F.lit(0)), F.lit(0.0))
+
+
 def rerank(candidates: DataFrame, score: Column, k: int, arrival: list[str]) -> DataFrame:
     """The ``k`` best by score; ties keep the order of arrival."""
     scored = candidates.withColumn("score", score)

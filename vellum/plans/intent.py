@@ -5,8 +5,8 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, NGram, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,6 +127,36 @@ class IntentModel:
         norm = F.sqrt(F.aggregate("weighed", F.lit(0.0), lambda s, x: s + x * x))
         return counted.withColumn("weighed", weighed).withColumn("norm", norm).withColumn("features", array_to_vector(F.transform("weighed", lambda x: x / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)))).drop("words", "pairs", "grams", "tf", "weighed", "norm")
 
+    # Stored models. A version is a folder of vocabulary, weights and facts; facts are written last and make it whole.
+
+    @staticmethod
+    def _versions(spark: SparkSession, path: str) -> list[int]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(where):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(where)]
+        whole = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/facts/_SUCCESS"))
+        return sorted(int(n) for n in names if n.isdigit() and whole(n))
+
+    def save(self, spark: SparkSession, path: str) -> int:
+        """The model as the next version below ``path``."""
+        version = (self._versions(spark, path) or [0])[-1] + 1
+        self.counts.write().overwrite().save(f"{path}/{version}/counts")
+        self.model.write().overwrite().save(f"{path}/{version}/weights")
+        spark.createDataFrame([(self.idf, self.classes)], "idf array<double>, classes array<string>").write.mode("overwrite").parquet(f"{path}/{version}/facts")
+        return version
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> "IntentModel":
+        """A stored version, the last if none is named. Nothing is fitted."""
+        known = cls._versions(spark, path)
+        if not known:
+            raise FileNotFoundError(f"no model below {path}")
+        at = f"{path}/{version or known[-1]}"
+        facts = spark.read.parquet(f"{at}/facts").first()
+        return cls(CountVectorizerModel.load(f"{at}/counts"), list(facts.idf), LogisticRegressionModel.load(f"{at}/weights"), list(facts.classes))
+
     def predict(self, rows: DataFrame, threshold: float = 0.3) -> DataFrame:
         """``rows`` with intent and confidence; below the threshold the intent is ``diger``."""
         done = self.model.transform(self._features(rows)).withColumn("p", vector_to_array("probability"))
@@ -139,3 +169,21 @@ def training_rows(spark: SparkSession) -> DataFrame:
     from vellum.plans.intent_rows import ROWS
 
     return spark.createDataFrame([(q, intent) for intent, queries in ROWS.items() for q in queries], "query string, intent string")
+
+
+_LOADED: dict[tuple[str, str], IntentModel] = {}
+
+
+def intent_model(spark: SparkSession, path: str) -> IntentModel:
+    """The model below ``path``, loaded once a session; the first caller of an empty folder fits it on the built-in rows and stores it."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _LOADED:
+        if not IntentModel._versions(spark, path):
+            IntentModel.fit(training_rows(spark)).save(spark, path)
+        _LOADED[key] = IntentModel.load(spark, path)
+    return _LOADED[key]
+
+
+def detect(spark: SparkSession, path: str, questions: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """``questions`` (query, ...) with intent and confidence, by the stored model."""
+    return intent_model(spark, path).predict(questions, threshold)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vellum.functions import text as T
-from vellum.operators import buckets, chunking, store
+from vellum.operators import buckets, cache, chunking, retrieval, store
 from vellum.plans import catalog
 from vellum.sources import documents
 
@@ -25,7 +25,7 @@ SCHEMAS = {
     "batches": f"batchId string, sourceId string, type string, status string, storageKey string, fileName string, contentHash string, uploadedBy string, messageCount long, preview array<string>, approvedBy string, approvedAt timestamp, chunksCreated long, {_STAMPS}",
     "reviews": f"reviewId string, sourceId string, uploadBatchId string, text string, author string, messageDate string, status string, {_STAMPS}",
     "exams": f"examId string, sourceId string, courseCode string, year string, semester string, examType string, fileName string, storageKey string, contentHash string, status string, chunksCreated long, {_STAMPS}",
-    "chunks": "chunk_id string, sourceId string, chunkIndex long, text string, documentType string, document_type string, source string, location string, page int, slide int, section string, source_collection string, source_path string, module string",
+    "chunks": "chunk_id string, sourceId string, chunkIndex long, text string, documentType string, document_type string, source string, location string, page int, slide int, section string, source_collection string, source_path string, module string, embedding array<double>",
 }
 KEYS = {"sources": "sourceId", "jobs": "jobId", "batches": "batchId", "reviews": "reviewId", "exams": "examId", "chunks": "chunk_id"}
 PREVIEW = 8
@@ -47,10 +47,20 @@ class Store:
     def read(self, name: str) -> DataFrame:
         return self.table(name).read()
 
+    def vectors(self) -> cache.Vectors:
+        """The vectors of chunks and questions, each computed once."""
+        return cache.Vectors(self.spark, f"{self.root}/embeddings")
+
+    def nearest(self, question: str, k: int = 20) -> DataFrame:
+        """The ``k`` chunks nearest to a question, with distance and rank."""
+        probe = self.vectors().add(self.spark.createDataFrame([("question", question)], "probe_id string, text string")).select("probe_id", F.col("embedding").alias("probe"))
+        points = self.read("chunks").where("embedding is not null").withColumnRenamed("chunk_id", "vec_id")
+        return retrieval.dense_topk(points, probe.where("probe is not null"), k).drop("probe_id").withColumnRenamed("vec_id", "chunk_id")
+
     def upsert(self, name: str, rows: DataFrame) -> None:
-        """Rows by key, into the buckets of their keys. A column that ``rows`` lack keeps its value, as does createdAt; chunks are replaced whole, and of equal ids the first one counts."""
+        """Rows by key, into the buckets of their keys. A column that ``rows`` lack keeps its value, as does createdAt; chunks are replaced whole, and of equal ids the first one counts. Chunks get their vectors here."""
         if name == "chunks":
-            rows = store.first_per_key(rows, [KEYS[name]], ["sourceId", "chunkIndex"])
+            rows = self.vectors().add(store.first_per_key(rows, [KEYS[name]], ["sourceId", "chunkIndex"]))
         self.table(name).merge(rows, whole=name == "chunks")
         if name == "chunks":
             self.table(name).grow()

@@ -97,3 +97,31 @@ def hybrid_retrieve_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["hybrid_retrieve_many"] = hybrid_retrieve_many
+
+
+_PIECES = "list_transform(list_filter({tokens}, lambda t, i: list_position({tokens}, t) = i), lambda t: list_distinct(list_transform(range(1, length(t) + 1), lambda i: substr('^' || t || '$', CAST(i AS BIGINT), 3))))"
+ORACLES["late_interaction"] = f"""
+WITH q AS (
+  SELECT conv_id * 1000 + turn AS qid, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS tokens, (conv_id * 7 + turn) % 50 % 5 AS part FROM conversations WHERE role = 'user'),
+c AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS tokens FROM benchmark),
+asked AS (SELECT qid, part, {_PIECES.format(tokens="tokens")} AS a FROM q),
+told AS (SELECT item_id, {_PIECES.format(tokens="tokens")} AS b FROM c),
+met AS (
+  SELECT qid, item_id, a, b FROM asked JOIN told ON item_id % 5 = part),
+best AS (SELECT qid, item_id, list_transform(a, lambda x: coalesce(list_max(list_transform(b, lambda y: len(list_intersect(x, y)) / sqrt(len(x) * CAST(len(y) AS DOUBLE)))), 0.0)) AS s FROM met),
+scored AS (SELECT qid, item_id, round(CASE WHEN len(s) > 0 THEN list_sum(s) / len(s) ELSE 0 END, 6) AS score FROM best)
+SELECT qid AS question_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id) AS rank FROM scored) WHERE rank <= 6
+"""
+
+
+def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the benchmark's items as candidates of each user turn, re-ranked by late interaction."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    questions = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"), ((F.col("conv_id") * 7 + F.col("turn")) % 50 % 5).alias("part"))
+    chunks = table(spark, sf_dir, "benchmark").select(F.lpad(F.col("item_id").cast("string"), 20, "0").alias("chunk_id"), "text", (F.col("item_id") % 5).alias("part"))
+    found = questions.join(chunks, "part").select("question_id", "chunk_id", F.col("chunk_id").cast("long").alias("rank"))
+    best = retrieve.rerank_many(chunks.drop("part"), questions, found, blend=0.0)
+    return best.select("question_id", F.col("chunk_id").cast("long").alias("item_id"), F.col("rerank_score").alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+QUERIES["late_interaction"] = late_interaction

@@ -206,3 +206,20 @@ def rerank(candidates: DataFrame, question: str, scorer: Column, k: int = RERANK
     both = rows.withColumn("rerank_score", scorer.cast("double")).withColumn("combined_rerank_score", F.col("rerank_score") + scores(asked(candidates.sparkSession, question)))
     best = both.orderBy(F.col("combined_rerank_score").desc(), arrival).limit(k)
     return best.select(*candidates.columns, "rerank_score", "combined_rerank_score")
+
+
+def rerank_many(chunks: DataFrame, questions: DataFrame, found: DataFrame, k: int = RERANKED, blend: float = 1.0) -> DataFrame:
+    """The ``k`` best of each question's candidates (of `retrieve_many`) by late interaction plus ``blend`` times the metadata's score: question_id, chunk_id, rerank_score, combined_rerank_score and rank.
+
+    Token vectors are made once a question and once a chunk that is a candidate, before they meet.
+    """
+    rows = chunks.withColumns({c: F.lit(None).cast(t) for c, t in COLUMNS.items() if c not in chunks.columns})
+    asked = named(questions.select("question_id", "question")).withColumn("asked", retrieval.token_vectors(F.coalesce("question", F.lit(""))))
+    told = rows.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi").withColumn("told", retrieval.token_vectors(F.coalesce("text", F.lit(""))))
+    told, _ = keep(told.select("chunk_id", "told", "course_id", "term_code", "program", "requirement_type", "source_authority", "aggregate"))
+    asked, _ = keep(asked.select("question_id", "asked", "courses", "terms", "programs", "requirements", "graduation"))
+    pairs = found.select("question_id", "chunk_id", F.col("rank").alias("arrival")).join(asked, "question_id").join(told, "chunk_id")
+    scored = pairs.select("question_id", "chunk_id", "arrival", F.round(retrieval.late_interaction(F.col("asked"), F.col("told")), 6).alias("rerank_score"), retrieval.structured_scores().alias("metadata"))
+    both = scored.withColumn("combined_rerank_score", F.round(F.col("rerank_score") + F.lit(blend) * F.col("metadata"), 6))
+    own = Window.partitionBy("question_id").orderBy(F.col("combined_rerank_score").desc(), "arrival")
+    return both.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("question_id", "chunk_id", "rerank_score", "combined_rerank_score", "rank")

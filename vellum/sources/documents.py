@@ -20,11 +20,24 @@ RECORD = "path string, ord int, text string, page int, slide int, section string
 SUFFIXES = {".pdf", ".pptx", ".docx", ".md", ".markdown", ".txt", ".html", ".htm", ".ipynb", ".json"}
 
 
+#: Splits whose numbers of lines may be broadcast.
+SPLITS = 100_000
+
+
 def json_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """path, line_no (from 1; blank lines count, but make no row) and line of files of JSON lines."""
-    raw = spark.read.options(**options).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    numbered = raw.select("path", F.posexplode(F.split("value", "\r?\n")).alias("i", "line")).where(T.strip(F.col("line")) != "")
-    return numbered.select("path", (F.col("i") + 1).alias("line_no"), "line")
+    """path, line_no (from 1; blank lines count, but make no row) and line of files of JSON lines.
+
+    Files are read by splits, many tasks a file. A first pass counts the lines of each split; sums over a file's splits in order tell the number before each, and the second pass
+    adds a line's place in its split, which is its distance from the split's first row.
+    """
+    raw = spark.read.options(**options).text(path, lineSep="\n")
+    rows = raw.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    splits = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("lines"), F.min("row").alias("first"))
+    ahead = F.sum("lines").over(Window.partitionBy("path").orderBy("block")) - F.col("lines")
+    starts = splits.select("path", "block", (ahead - F.col("first") + 1).alias("offset"))
+    near = F.broadcast(starts) if starts.limit(SPLITS + 1).count() <= SPLITS else starts
+    line = F.regexp_replace("value", "\r$", "")
+    return rows.join(near, ["path", "block"]).select("path", (F.col("offset") + F.col("row")).alias("line_no"), line.alias("line")).where(T.strip(F.col("line")) != "")
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
