@@ -154,9 +154,17 @@ def su_credit(c: Column) -> Column:
 
 
 def format_credit(c: Column) -> Column:
-    """Integral values without a fraction, others with one digit (half to even, as binary fractions demand)."""
-    rounded = F.bround(c.cast("double"), 1)
-    return F.when(c == F.floor(c), c.cast("long").cast("string")).otherwise(rounded.cast("string"))
+    """Integral values without a fraction, others with one digit: the nearest to the exact binary value, half to even. Ten times the value is taken as a product and its rounding error."""
+    x = c.cast("double")
+    product = x * 10.0
+    split = x * 134217729.0  # 2^27 + 1 parts a double in two halves, whose products are exact
+    high = split - (split - x)
+    error = (high * 10.0 - product) + (x - high) * 10.0
+    low = F.floor(product).cast("double")
+    over = (product - low - 0.5) + error
+    tenths = F.when(over > 0, low + 1).when(over < 0, low).otherwise(low + F.abs(low % 2)).cast("long")
+    shown = F.concat(F.when(tenths < 0, "-").when((tenths == 0) & (x < 0), "-").otherwise(""), F.floor(F.abs(tenths) / 10).cast("string"), F.lit("."), (F.abs(tenths) % 10).cast("string"))
+    return F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(shown)
 
 
 def safe_filename(c: Column) -> Column:

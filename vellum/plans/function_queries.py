@@ -143,3 +143,10 @@ def course_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey AS k, 'a_b_unknown_' || sha256(c_name) AS cache_key FROM customer")
 def embedding_cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), T.embedding_cache_key(F.lit(" a:b "), F.lit(""), F.col("c_name")).alias("cache_key"))
+
+
+@query("SELECT event_id, CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE printf('%.1f', v) END AS credit FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value ELSE event_id / 20.0::DOUBLE END AS v FROM events)")
+def credit_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of all events, and multiples of 0.05, half of which lie beside or at a border of rounding."""
+    value = F.when(F.col("event_id") % 2 == 0, F.col("value")).otherwise(F.col("event_id") / 20.0)
+    return table(spark, sf_dir, "events").select("event_id", T.format_credit(value).alias("credit"))

@@ -15,8 +15,10 @@ from pyspark.sql.types import StructType
 
 from vellum.functions import text as T
 from vellum.operators import buckets, cache, chunking, retrieval, store
-from vellum.plans import catalog
+from vellum.plans import catalog, courses
 from vellum.sources import documents
+from vellum.sources.documents import json_lines
+from vellum.sources.shared import keep
 
 _STAMPS = "updatedAt timestamp, createdAt timestamp"
 SCHEMAS = {
@@ -27,7 +29,8 @@ SCHEMAS = {
     "exams": f"examId string, sourceId string, courseCode string, year string, semester string, examType string, fileName string, storageKey string, contentHash string, status string, chunksCreated long, {_STAMPS}",
     "chunks": "chunk_id string, sourceId string, chunkIndex long, text string, documentType string, document_type string, source string, location string, page int, slide int, section string, source_collection string, source_path string, module string, embedding array<double>",
 }
-KEYS = {"sources": "sourceId", "jobs": "jobId", "batches": "batchId", "reviews": "reviewId", "exams": "examId", "chunks": "chunk_id"}
+SCHEMAS["courses"] = ", ".join(f"{c} string" for c in (*courses.TEXTS, *courses.CREDITS))
+KEYS = {"courses": "code", "sources": "sourceId", "jobs": "jobId", "batches": "batchId", "reviews": "reviewId", "exams": "examId", "chunks": "chunk_id"}
 PREVIEW = 8
 
 
@@ -99,11 +102,14 @@ class Store:
 
     def ingest_files(self, root: str, document_type: str, created_by: str = "system", excluded: set[str] = frozenset()) -> int:
         """All supported files below a folder, by one distributed job; sources and jobs get a row a file. On an error they are marked failed and it is raised."""
-        found = documents.files(self.spark, root, excluded=excluded)
-        kind = self.spark.range(1).select(T.document_type(F.lit(document_type)).alias("k")).first().k
         name = F.url_decode(F.replace(F.regexp_extract("path", "([^/]*)$", 1), F.lit("+"), F.lit("%2B")))
+        return self._ingest_found(documents.files(self.spark, root, excluded=excluded).withColumn("fileName", name), document_type, created_by)
+
+    def _ingest_found(self, found: DataFrame, document_type: str, created_by: str) -> int:
+        """Files (path, suffix, content, fileName) as sources."""
+        kind = self.spark.range(1).select(T.document_type(F.lit(document_type)).alias("k")).first().k
         digest = F.sha2("content", 256)
-        known = found.select("path", digest.alias("contentHash"), name.alias("fileName"))
+        known = found.select("path", digest.alias("contentHash"), "fileName")
         known = store.first_per_key(known.withColumn("sourceId", T.source_id(F.lit(kind), F.col("contentHash"))), ["sourceId"], ["path"])
         at = F.lit(now())
         stamp = f"{now():%Y%m%d%H%M%S%f}"
@@ -120,7 +126,7 @@ class Store:
         mark("processing")
         try:
             # A file under two names is one source, and read once.
-            single = found.join(known.select("path", F.col("contentHash").alias("source_hash"), F.col("fileName").alias("source")), "path")
+            single = found.drop("fileName").dropDuplicates(["path"]).join(known.select("path", F.col("contentHash").alias("source_hash"), F.col("fileName").alias("source")), "path")
             records = documents.load(single).join(single.select("path", "source_hash", "source"), "path").withColumn("document_type", F.lit(document_type))
             self._add(records)
         except Exception as error:
@@ -171,6 +177,48 @@ class Store:
         self.upsert("sources", files.select("sourceId", F.lit("course").alias("type"), F.col("source_path").alias("fileName"), F.lit(root).alias("storageKey"), T.content_hash(F.col("source_path")).alias("contentHash"), F.lit("indexed").alias("status"), F.lit("bulk-script").alias("createdBy"), "chunksCreated", at.alias("lastIndexedAt"), at.alias("updatedAt"), at.alias("createdAt")))
         return files.agg(F.coalesce(F.sum("chunksCreated"), F.lit(0)).alias("n")).first().n
 
+    def seed_courses(self, root: str) -> int:
+        """Courses from the pages of a catalog folder, or a few built-in ones without them; 0 if there are courses already."""
+        if not self.read("courses").limit(1).isEmpty():
+            return 0
+        path, fs = self.table("courses")._fs(f"{root.rstrip('/')}/all_coursepage_info.jsonl")
+        pages = json_lines(self.spark, str(path.toString())) if fs.exists(path) else None
+        found = courses.fallback(self.spark) if pages is None else courses.seeds(pages.select("line_no", F.parse_json("line").alias("v")))
+        return self.table("courses").merge(found.where("code <> '' and title <> ''"))
+
+    # Uploads.
+
+    def save_raw(self, files: DataFrame) -> DataFrame:
+        """``files`` (name, content) with contentHash and storageKey; contents that aren't stored yet are, once each.
+
+        Contents are rows of an append-only table, told by their SHA-256. A retried task's file is committed once, and equal contents, of one upload or of two, are one row.
+        """
+        named = files.select("name", "content", F.sha2("content", 256).alias("contentHash"))
+        path, fs = self.table("sources")._fs(f"{self.root}/files")
+        stored = self.spark.read.schema("contentHash string").parquet(f"{self.root}/files") if fs.exists(path) else self.spark.createDataFrame([], "contentHash string")
+        fresh = named.join(stored, "contentHash", "left_anti").groupBy("contentHash").agg(F.first("content").alias("content"))
+        fresh.write.mode("append").parquet(f"{self.root}/files")
+        return named.withColumn("storageKey", F.concat(F.lit("files/"), "contentHash"))
+
+    def raw(self, *keys: str) -> DataFrame:
+        """storageKey and content of stored files."""
+        wanted = [k.removeprefix("files/") for k in keys]
+        held = self.spark.read.schema("contentHash string, content binary").parquet(f"{self.root}/files")
+        return held.where(F.col("contentHash").isin(wanted)).select(F.concat(F.lit("files/"), "contentHash").alias("storageKey"), "content")
+
+    def upload(self, files: DataFrame, document_type: str = "course", created_by: str = "system") -> tuple[int, DataFrame]:
+        """Saves and ingests uploaded files (name, content) of supported kinds: the number of chunks, and each file's name, whether it was accepted, and its storageKey."""
+        suffix = F.lower(F.regexp_extract("name", r"(\.[^./]+)$", 1))
+        judged = files.withColumn("suffix", suffix).withColumn("accepted", F.col("suffix").isin(*documents.SUFFIXES))
+        kept, drop = keep(self.save_raw(judged.where("accepted")))
+        n = 0
+        if not kept.limit(1).isEmpty():
+            n = self._ingest_found(kept.select(F.col("storageKey").alias("path"), F.lower(F.regexp_extract("name", r"(\.[^./]+)$", 1)).alias("suffix"), "content", T.safe_filename(F.col("name")).alias("fileName")), document_type, created_by)
+        report = kept.select("name", F.lit(True).alias("accepted"), "storageKey").union(judged.where(~F.col("accepted")).select("name", "accepted", F.lit(None).cast("string")))
+        told, _ = keep(report)
+        drop()
+        return n, told
+
     # Chat exports: pending, then approved or rejected.
 
     def _messages(self, path: str) -> tuple[DataFrame, dict]:

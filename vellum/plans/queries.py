@@ -60,21 +60,12 @@ def dense_topk_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense_topk(vectors, _probes(vectors, "vec_id = 1"), 8, ["label"]).select("vec_id", "label", F.col("rank").cast("int"))
 
 
-@query(f"""
-SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT p.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY p.vec_id ORDER BY {_DISTANCE}, e.vec_id) AS rank
-  FROM embeddings e, embeddings p WHERE p.vec_id < 10) WHERE rank <= 20""")
-def batch_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return retrieval.dense_topk(vectors, _probes(vectors, "vec_id < 10"), 20).select(F.col("probe_id").alias("query_id"), "vec_id", F.col("rank").cast("int"))
-
-
 @query(f"""
 SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (
   SELECT p.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY p.vec_id ORDER BY {_DISTANCE}, e.vec_id) AS rank
   FROM embeddings e, embeddings p WHERE p.vec_id % 100 = 0) WHERE rank <= 20""")
 def batch_dense_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``batch_dense_topk``, with a hundredth of the vectors as queries."""
+    """A hundredth of the vectors as queries, against all."""
     vectors = table(spark, sf_dir, "embeddings")
     return retrieval.dense_topk(vectors, _probes(vectors, "vec_id % 100 = 0"), 20).select(F.col("probe_id").alias("query_id"), "vec_id", F.col("rank").cast("int"))
 
@@ -101,15 +92,6 @@ def _begins(words: str, closed: bool = False, column: str = "text") -> str:
     return f"regexp_matches({column}, '(?i)(^|[^{_W}])({pattern})" + (f"($|[^{_W}])" if closed else "") + "')"
 
 
-@query(r"""
-SELECT doc_id, sha256(said) AS digest, CAST(said <> text AS INTEGER) AS changed FROM (
-  SELECT doc_id, text, regexp_replace(regexp_replace(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+|\+?[0-9][0-9\s().-]{7,}[0-9]', '[redacted]', 'g'), '^\s+|\s+$', '', 'g') AS said
-  FROM documents) WHERE regexp_full_match(text, '[\x00-\x7F]*')""")
-def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return _redacted(docs)
-
-
 @query(rf"""
 SELECT doc_id, sha256(said) AS digest, CAST(said <> text AS INTEGER) AS changed FROM (
   SELECT doc_id, text, regexp_replace(regexp_replace(text, '[{_W}.+-]+@[{_W}-]+\.[{_W}.-]+|\+?\p{{Nd}}[\p{{Nd}}{_S}().-]{{7,}}\p{{Nd}}', '[redacted]', 'g'), '^[{_S}]+|[{_S}]+$', '', 'g') AS said
@@ -123,20 +105,9 @@ def _redacted(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("digest"), (T.redact(F.col("text")) != F.coalesce("text", F.lit(""))).cast("int").alias("changed"))
 
 
-@query("""
-WITH turns AS (SELECT conv_id, turn, role, replace(text, chr(10), ' ') AS text FROM conversations)
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS index, role AS author,
-  CAST(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS BIGINT) AS n_chars, '1.2.2024' AS date
-FROM turns WHERE regexp_full_match(text, '(?s)[^0-9@:\\[]*') AND conv_id % 2 = 0""")
-def chat_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as chat exports, every second in the bracket form, with their lines as continuations, parsed back."""
-    rows = table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"^(?s)[^0-9@:\[]*$") & (F.col("conv_id") % 2 == 0))
-    return _reparsed(rows)
-
-
 @query()
 def chat_parse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``chat_parse``, with all turns of all conversations; DuckDB can't express it, as texts hold lines that look like heads."""
+    """All turns of all conversations as chat exports, every second turn in the bracket form, with their lines as continuations, parsed back; DuckDB can't express it, as texts hold lines that look like heads."""
     return _reparsed(table(spark, sf_dir, "conversations"))
 
 
@@ -313,13 +284,6 @@ def recommend_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pos", "part", "title", "sections", F.when(F.col("taken"), "already_taken_do_not_recommend").otherwise("eligible_candidate").alias("status"))
 
 
-@query("""
-SELECT o_custkey AS user_id, p.p_brand AS subject, p.p_partkey AS course FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part p ON l_partkey = p_partkey
-WHERE o_custkey IN (1, 2, 7) GROUP BY ALL""")
-def user_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profiles(spark, sf_dir, table(spark, sf_dir, "orders").where(F.col("o_custkey").isin(1, 2, 7)))
-
-
 @query("""
 SELECT o_custkey AS user_id, p.p_brand AS subject, p.p_partkey AS course FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part p ON l_partkey = p_partkey GROUP BY ALL""")
 def user_profile_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,17 +342,6 @@ def intent_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(asked).select("conv_id", "turn", "intent", F.round("confidence", 6).alias("confidence"))
 
 
-@query("""
-SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\\b(prof|professor|instructor|review|solak|ercan|hoca|yorum)\\b') THEN 'review'
-  WHEN regexp_matches(lower(text), '\\b(final|midterm|quiz|exam|past paper)\\b') THEN 'exam'
-  WHEN regexp_matches(lower(text), '\\b(mezun\\w*|kredi\\w*|credit\\w*|audit|requirements?|degree evaluation)\\b') THEN 'mezuniyet_durumu'
-  WHEN regexp_matches(lower(text), '\\b(schedule|next semester|nlp|web|data|ai|security|systems)\\b') THEN 'ders_onerisi' ELSE 'diger' END AS intent
-FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')""")
-def route_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return _routed(docs)
-
-
 @query("SELECT doc_id, CASE " + " ".join(f"WHEN {_begins(words, True)} THEN '{name}'" for name, _, words in intent.ROUTES) + " ELSE 'diger' END AS intent FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def route_rules_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents."""
@@ -433,25 +386,6 @@ def curriculum_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("source_path", "requirement_type", "part", "course_count", F.sha2("text", 256).alias("digest"))
 
 
-def _words_sql(words: str, closed: bool = False) -> str:
-    ascii_only = "|".join(w for w in words.split("|") if w.isascii()).lower()
-    return f"regexp_matches(lower(text), '\\b({ascii_only})" + ("\\b" if closed else "") + "')"
-
-
-_AREA = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '\\b({'|'.join(n for n in names if n.isascii())})\\b') THEN '{key}'" for key, (_, names) in answers.INTERESTS.items()) + " END"
-_DETAIL = f"({_words_sql(answers.COURSE_DETAIL)} OR (regexp_matches(text, '(?i)\\b[A-Z]{{2,5}}\\s*\\d{{3,5}}\\b') AND NOT {_words_sql(answers.EXPLICIT_RECOMMENDATION)} AND NOT {_words_sql(answers.GRADUATION_ONLY, True)}))"
-
-
-@query(rf"""
-SELECT doc_id, area, CASE WHEN {_words_sql(answers.GRADUATION)} AND NOT {_DETAIL} THEN 'mezuniyet_durumu' WHEN {_DETAIL} THEN 'ders_ayrintisi' WHEN {_words_sql(answers.STUDY_PLAN)} THEN 'calisma_plani'
-  WHEN {_words_sql(answers.MAJOR)} THEN 'major_secimi' WHEN {_words_sql(answers.SPECIALIZATION)} THEN 'alanda_ozellesme'
-  WHEN {_words_sql(answers.RECOMMENDATION)} OR (area IS NOT NULL AND length(regexp_replace(trim(text), '\s+', ' ', 'g')) <= 120 AND NOT {_words_sql(answers.NOT_RECOMMENDATION, True)}) THEN 'ders_onerisi' ELSE 'diger' END AS intent
-FROM (SELECT doc_id, text, {_AREA} AS area FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*'))""")
-def resolve_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return _resolved(docs)
-
-
 _ALIASES = [(key, [n.replace("'", "''") for n in names]) for key, (_, names) in answers.INTERESTS.items()]
 _WHOLE_AREA = "CASE " + " ".join(f"WHEN plain IN ({', '.join(chr(39) + n + chr(39) for n in names)}) THEN '{key}'" for key, names in _ALIASES) + " " + " ".join(f"WHEN {_begins('|'.join(names), True, 'plain').replace('(?i)', '')} THEN '{key}'" for key, names in _ALIASES) + " END"
 _WHOLE_DETAIL = f"({_begins(answers.COURSE_DETAIL)} OR ({_begins(answers.COURSE_CODE, True)} AND NOT {_begins(answers.EXPLICIT_RECOMMENDATION)} AND NOT {_begins(answers.GRADUATION_ONLY, True)}))"

@@ -108,34 +108,36 @@ def json_groups(docs: DataFrame, size: int = 25) -> DataFrame:
     return docs.select("path", "text").mapInPandas(parse, "path string, ord int, section string, text string")
 
 
+# Elements without an end.
+VOID = frozenset("area base br col embed hr img input keygen link menuitem meta param source track wbr basefont bgsound command frame image isindex nextid spacer".split())
+
+
 class _Sections(HTMLParser):
-    """Headings h1 to h4 open sections; p, li, pre and code are its parts, nested ones also on their own."""
+    """Headings h1 to h4 open sections; p, li, pre and code are its parts, nested ones also on their own. An element without an end tag ends with the one around it."""
 
     def __init__(self):
         super().__init__()
         self.skipped, self.open, self.parts, self.text, self.heading = 0, [], [], [], None
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style", "noscript"):
-            self.skipped += 1
-        elif tag in ("h1", "h2", "h3", "h4", "p", "li", "pre", "code"):
-            entry = [tag, []]
+        entry = [tag, []] if tag in ("h1", "h2", "h3", "h4", "p", "li", "pre", "code") and not self.skipped else None
+        if entry:
             self.parts.append(entry)
-            self.open.append(entry)
+        if tag not in VOID:
+            self.skipped += tag in ("script", "style", "noscript")
+            self.open.append((tag, entry))
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style", "noscript"):
-            self.skipped = max(0, self.skipped - 1)
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i]
-                break
+        at = max((i for i, (name, _) in enumerate(self.open) if name == tag), default=len(self.open))
+        self.skipped -= sum(name in ("script", "style", "noscript") for name, _ in self.open[at:])
+        del self.open[at:]
 
     def handle_data(self, data):
         if not self.skipped:
             self.text.append(data)
-            for entry in self.open:
-                entry[1].append(data)
+            for _, entry in self.open:
+                if entry:
+                    entry[1].append(data)
 
 
 def html_records(html: str) -> list[tuple[str | None, str]]:
@@ -154,7 +156,7 @@ def html_records(html: str) -> list[tuple[str | None, str]]:
             body.append(said)
     if body:
         out.append((name, "\n".join(body)))
-    return out or ([(None, whole)] if (whole := join(parser.text)) else [])
+    return out or ([(None, whole)] if (whole := "\n".join(x.strip() for x in parser.text if x.strip())) else [])
 
 
 def html(docs: DataFrame, key: str) -> DataFrame:
