@@ -32,3 +32,10 @@ def test_placeholders_are_not_texts(spark):
     assert parts(2) == [[("other", None, 0), ("text", "typeless", None)], [], []] and [a.type for a in got[2].attachments] == ["we|rd:1|>"]
     assert [(t.role, t.text) for t in got[3].turns] == [("a", "1"), ("a", "2"), ("a", ""), ("b", "same"), ("b", "same")] and [a.tokens for a in got[3].attachments] == [0, 256]
     assert chat.conversations(turns.limit(0)).count() == 0
+
+
+def test_a_type_with_a_line_end_is_no_name_of_a_placeholder(spark):
+    rows = [(1, 0, "assistant", [text("a"), ("image\n", None, "u", 20, 20, None, None), text("b")])]
+    done = chat.conversations(spark.createDataFrame(rows, SCHEMA))
+    got = done.select(chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("said")).first()
+    assert [tuple(p) for p in got.turns[0].parts] == [("text", "a", None), ("other", None, 1), ("text", "b", None)] and got.said == "ab"

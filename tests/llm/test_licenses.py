@@ -91,3 +91,16 @@ def test_odd_tags(spark):
     }
     got = scanned(spark, list(cases))
     assert {t: (got[i].labels, round(got[i].score, 9)) for i, t in enumerate(cases)} == {t: (a, round(b, 9)) for t, (a, b) in cases.items()}
+
+
+def test_identifiers_of_the_list_and_what_stays_unread(spark):
+    cases = {
+        TAG + "MIT AND EUPL-1.2": ("eupl-1.2,mit", 0.5), TAG + "MIT AND CDDL-1.0": ("cddl-1.0,mit", 0.5), TAG + "EUPL-1.2": ("eupl-1.2", 0.5), TAG + "BSL-1.0 OR MIT": ("bsl-1.0,mit", 0.1),
+        TAG + "Artistic-2.0 AND GPL-3.0": ("artistic-2.0,gpl-3.0", 0.6), "License: GPLv3": ("gplv3", 0.6), '{"license": "GPL-3.0", "name": "x"}': ("gpl-3.0", 0.6), TAG + "MIT/GPL-2.0": ("gpl-2.0,mit", 0.1),
+        TAG + "MIT AND something else": ("mit", 0.5), TAG + "MIT OR something else": ("mit", 0.1), TAG + "MIT OR ISC AND (what": ("isc,mit", 0.1), TAG + "GPL-2.0 WITH Linux-syscall-note": ("gpl-2.0", 0.6 * 0.75),
+        "License: see section-3 of the Terms": ("", 0.0), "license: curl": ("curl", 0.5), "licence': 'X11'": ("x11", 0.5), TAG + "Foo-Bar-2.1-only": ("foo-bar-2.1-only", 0.5),
+    }
+    got = scanned(spark, list(cases))
+    for i, (text, (labels, score)) in enumerate(cases.items()):
+        assert (got[i].labels, round(got[i].score, 9)) == (labels, round(score, 9)), text
+    assert [got[i].expressions for i in (0, 8)] == ["mit eupl-1.2 and", "mit ? and"]

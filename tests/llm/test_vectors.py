@@ -77,3 +77,20 @@ def test_elimination(spark, monkeypatch):
 def test_products_beyond_doubles(size):
     x, q = np.full((2, size), 2.0**30 + 1), np.full(size, 2.0**30 + 3)
     assert [int(v) for v in vectors.products(x, q)] == [size * (2**30 + 1) * (2**30 + 3)] * 2
+
+
+@pytest.mark.parametrize("lengths,elements", [(2, 8_000_000), (1000, 40), (1, 1)])
+def test_more_lengths_than_have_pivots(spark, monkeypatch, lengths, elements):
+    monkeypatch.setattr(vectors, "LENGTHS", lengths)
+    monkeypatch.setattr(vectors, "ELEMENTS", elements)
+    r = random.Random(4)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(1 + i % 7 + i // 100)]) for i in range(420)]
+    assert found(vectors.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), asks())) == list(brute_doubles(rows))
+
+
+def brute_doubles(rows, k=10):
+    whole = [(i, np.floor(1024 * np.array(v))) for i, v in rows]
+    for q, v in whole:
+        if q % 100 == 0:
+            best = sorted((-int(v @ w), i) for i, w in whole if i != q and len(w) == len(v))[:k]
+            yield from ((q, n + 1, i, -s) for n, (s, i) in enumerate(best))

@@ -74,7 +74,7 @@ def _is_text(part: Column) -> Column:
 def visit(content: Column, template: Template) -> tuple[Column, Column]:
     """(flattened text, attachments) of a content array."""
     content = F.coalesce(content, F.array().cast(f"array<{PART}>"))
-    flat = F.transform(content, lambda p, i: F.when(_is_text(p), escape(p["text"])).otherwise(F.concat(F.lit("<|"), F.when(p["type"].rlike("^[a-z]+$"), p["type"]).otherwise(F.lit("other")), F.lit(":"), i.cast("string"), F.lit("|>"))))
+    flat = F.transform(content, lambda p, i: F.when(_is_text(p), escape(p["text"])).otherwise(F.concat(F.lit("<|"), F.when(p["type"].rlike(r"\A[a-z]+\z"), p["type"]).otherwise(F.lit("other")), F.lit(":"), i.cast("string"), F.lit("|>"))))
     record = lambda p, i: F.struct(i.alias("part"), p["type"].alias("type"), p["uri"].alias("uri"), expanded(p, template).alias("tokens"))
     attached = F.filter(F.transform(content, lambda p, i: F.when(~_is_text(p), record(p, i))), lambda x: x.isNotNull())
     return F.array_join(flat, ""), attached

@@ -5,9 +5,10 @@ reduced to its words (runs of letters, digits and characters beyond ASCII, A-Z
 lower-cased) with single spaces between them, so that a phrase is found wherever
 its words stand consecutively. Where a word of a tag is among them, a second automaton finds the tags in the text itself, with
 their places. A tag is followed by a licence expression, up to the end of its line or the next tag; a shunting-yard parser turns that into postfix, and evaluation gives
-its restriction: ``or`` leaves the choice and takes the least, ``and`` the greatest, ``with``
-loosens what stands before it. Operands are known identifiers (those that begin with a label of ``RESTRICTION``, or references to
-a licence of one's own); reading stops at any other word, so prose behind a tag is no licence. What follows ``with`` is an exception, not a licence, and no label.
+its restriction: ``or`` (or a slash) leaves the choice and takes the least, ``and`` the greatest, ``with``
+loosens what stands before it. Operands are identifiers: those that begin with a label of ``RESTRICTION`` or a name of ``FAMILIES``, those of SPDX's form (a capital first, a version
+behind a hyphen), and references to a licence of one's own. One without a rank counts as ``UNKNOWN``. Reading stops at any other word, so prose behind a tag is no licence; what it leaves unread behind ``and`` is an operand
+``?`` of ``UNKNOWN``, so nothing is called freer for what wasn't read. What follows ``with`` is an exception, not a licence, and no label.
 A document's score is its greatest
 restriction, from 0 (none found) to 1 (all rights reserved).
 
@@ -44,12 +45,21 @@ RESTRICTION = {
     "cc-by": 0.2, "cc-by-sa": 0.45, "mpl": 0.4, "epl": 0.4, "lgpl": 0.5, "gpl": 0.6, "agpl": 0.7,
     "cc-by-nd": 0.8, "cc-by-nc": 0.8, "cc-by-nc-sa": 0.8, "cc-by-nc-nd": 0.85, "reserved": 1.0,
 }
+# Names of licences without a rank here, and exceptions whose names don't say so, as SPDX lists them.
+FAMILIES = frozenset(
+    "aal afl aladdin antlr-pd apsl artistic beerware blessing bsl busl bzip2 cc-pddc cddl cecill clartistic condor cpal cpl cpol crystalstacker curl d-fsl dsdp ecl efl egenix elastic entessa erlpl eudatagrid eupl "
+    "fair frameworx freetype ftl gfdl giftware gl2ps glide glulxe gnuplot hpnd icu ijg imagemagick imatix info-zip intel ipa ipl jasper json lal latex2e leptonica libpng libtiff liliq linux-openib lppl "
+    "mirros motosoto mpich2 ms-pl ms-rl mulanpsl multics naist nasa ncsa netcdf ngpl nlpl nokia nosl noweb nposl nrl ntp oclc ocsl odbl ofl ogc ogtsl oldap openssl osl php plexus postgresql psf python qhull "
+    "qpl rpl rpsl rscpl ruby saxpath sgi-b simpl sissl sleepycat smlnj snia spencer sspl sugarcrm tcl tcp-wrappers tmate torque tosl ucl unicode upl vim vostrom vsl w3c watcom wtfpl wxwindows x11 xerox xfree86 xinetd xnet xpp ypl zend zimbra zpl".split()
+)
+EXCEPTIONS = frozenset(("gpl-cc-1.0", "linux-syscall-note", "llgpl", "shl-2.0", "shl-2.1"))
 UNKNOWN, LOOSENED = 0.5, 0.75
 #: What an expression stands behind, and the words that say that a text may hold one.
-TAGS = ("spdx-license-identifier:", "license:", "licence:")
+TAGS = tuple(f"{name}{quote}:" for name in ("spdx-license-identifier", "license", "licence") for quote in ("", '"', "'"))
 HINTS = ("spdx license identifier", "license", "licence")
 LINE = re.compile(r"[\r\n]")
-TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+TOKEN = re.compile(r"[()/]|[A-Za-z0-9.+:-]+")
+VERSIONED = re.compile(r"[A-Z][A-Za-z0-9]*(-[A-Za-z][A-Za-z0-9]*)*-v?\d+(\.\d+)*\+?(-[A-Za-z0-9.]+)*\+?")
 BINDS = {"or": 1, "and": 2, "with": 3}
 #: References to licences of one's own, as SPDX writes them.
 REFERENCE = ("licenseref-", "documentref-")
@@ -57,7 +67,8 @@ COLUMNS = "doc_id long, n_words long, n_base long, first_word long, last_word lo
 
 
 def known(label: str) -> str | None:
-    """The longest label of ``RESTRICTION`` that an identifier begins with."""
+    """The longest label of ``RESTRICTION`` that an identifier begins with, also one like ``gplv3``."""
+    label = re.sub(r"^(a?l?gpl)v?(?=\d)", r"\1-", label)
     return max((x for x in RESTRICTION if label == x or label.startswith((f"{x}-", f"{x}+"))), key=len, default=None)
 
 
@@ -65,17 +76,24 @@ def restriction(label: str) -> float:
     return RESTRICTION.get(known(label), UNKNOWN)
 
 
+def identifier(token: str) -> bool:
+    """Is it a licence's name, as it is written?"""
+    word = token.lower()
+    return bool(known(word) or word.startswith(REFERENCE) or VERSIONED.fullmatch(token)) or any(word[:i] in FAMILIES for i in [k for k, c in enumerate(word) if c in "-+"] + [len(word)])
+
+
 def postfix(expression: str, begin: int = 0, end: int | None = None) -> list[str]:
     """Shunting-yard over ``expression[begin:end]``; reading stops where the text is no longer an expression. Empty if there is none."""
     out: list[str] = []
     held: list[str] = []
-    operand = True  # is one due
+    operand, unread = True, False  # is an operand due; is there a word that can't be read
     for match in TOKEN.finditer(expression, begin, len(expression) if end is None else end):
         token = match[0]
-        word = token.lower().rstrip(".:-")
+        name = token.rstrip(".:-")
+        word = "or" if token == "/" else name.lower()
         if operand and token == "(" and (not held or held[-1] != "with"):
             held.append(token)
-        elif operand and word not in BINDS and ("exception" in word if held and held[-1] == "with" else known(word) or word.startswith(REFERENCE)):
+        elif operand and word not in BINDS and ("exception" in word or word in EXCEPTIONS if held and held[-1] == "with" else identifier(name)):
             out.append(word)
             operand = False
         elif not operand and word in BINDS:
@@ -87,12 +105,17 @@ def postfix(expression: str, begin: int = 0, end: int | None = None) -> list[str
             while (top := held.pop()) != "(":
                 out.append(top)
         else:
+            unread = True
             break
         if token[-1] in ".:-" and not operand:  # the end of a sentence
             break
-    while operand and held:  # an operator without its right side
-        if held.pop() in BINDS:
-            break
+    while operand and held and held[-1] == "(":
+        held.pop()
+    if operand and held:  # an operator without its right side
+        if held[-1] == "and" and unread:
+            out.append("?")
+        else:
+            held.pop()
     return [*out, *(x for x in reversed(held) if x != "(")] if out else []
 
 
@@ -101,7 +124,7 @@ def evaluate(tokens: list[str]) -> tuple[float, list[str]]:
     stack: list[tuple[float, list[str]]] = []
     for token in tokens:
         if token not in BINDS:
-            stack.append((restriction(token), [token]))
+            stack.append((restriction(token), [token] if token != "?" else []))
             continue
         (right, more), (left, names) = stack.pop(), stack.pop()
         bound = min(left, right) if token == "or" else max(left, right) if token == "and" else left * LOOSENED

@@ -14,11 +14,12 @@ distances to each pivot and its largest norm. Packs of blocks are the unit that
 2. With these scores the summaries tell which other packs can still hold a better row; only those are shipped and evaluated, from the carried
    score on.
 
-A final ranking per query merges both. Memory is bounded by the sizes of packs. No window or task takes all queries or all rows of a
+A final ranking per query merges both. Memory is bounded by the sizes of packs; a small table's packs are smaller, so that all cores have some. No window or task takes all queries or all rows of a
 pivot: ranges go on by distance and id, so equal vectors are split too.
 
 Null vectors, and vectors with a null or non-finite component, take no part. Vectors of each length are a space of their own: a
-query meets the rows of its length. More than ``LENGTHS`` different lengths are an error. Null ids take no part. Repeated rows are candidates of their own; a
+query meets the rows of its length. The ``LENGTHS`` most frequent lengths have pivots, of ``ELEMENTS`` components in all; in others, and where one vector is wider than its share, the origin stands for them, which bounds less
+and costs no result. Null ids take no part. Repeated rows are candidates of their own; a
 query skips all rows of its own id, and repeated queries share one ranking. Ties go to the smaller id. Empty arrays score 0; a score beyond a long is an error. An empty table gives no rows. Extra columns are
 ignored, whatever their names.
 """
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import cut, keep
 
-#: Vectors of a block, blocks of a pack, pivots a length, and lengths at most (their pivots pass through the driver).
-BLOCK, PACK, PIVOTS, LENGTHS = 512, 16, 64, 1000
+#: Vectors of a block at least and at most, blocks of a pack, pivots a length, and lengths with pivots and their components (they pass through the driver, 64 MB at most).
+LEAST, BLOCK, PACK, PIVOTS, LENGTHS, ELEMENTS = 16, 512, 16, 64, 1000, 8_000_000
 #: Summaries of either side that are compared at a time.
 QUERY_SIDE, ROW_SIDE = 64, 2048
 PLACED = "vec_id long, width int, cell int, near double, vector binary, dist binary, asks boolean"
@@ -112,7 +113,7 @@ def placed(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
             for width in np.unique(sizes):
                 at = np.flatnonzero(sizes == width)
                 x = np.asarray(vectors.take(pa.array(at)).flatten(), float).reshape(len(at), width)
-                dist = distances(x, pivots[int(width)])
+                dist = distances(x, pivots.get(int(width), np.zeros((1, width))))
                 flat = [pa.array([r.tobytes() for r in m], pa.binary()) for m in (x, dist)]
                 cells = [pa.array(np.full(len(at), width, np.int32)), pa.array(dist.argmin(1).astype(np.int32)), pa.array(dist.min(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *cells, *flat, batch.column(2).take(pa.array(at))], [c.split()[0] for c in PLACED.split(", ")])
@@ -120,8 +121,8 @@ def placed(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     return rows.select("vec_id", "embedding", "asks").mapInArrow(made, PLACED)
 
 
-def packs(rows: DataFrame) -> DataFrame:
-    """Placed rows in ranges of pivots, distances and ids, as blocks of packs."""
+def packs(rows: DataFrame, block: int) -> DataFrame:
+    """Placed rows in ranges of pivots, distances and ids, as blocks, of ``block`` at most, of packs."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -143,7 +144,7 @@ def packs(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if held and (len(held) == BLOCK or held[0][1] != row[1]):
+                if held and (len(held) == block or held[0][1] != row[1]):
                     if held[0][1] != row[1]:
                         done = out()
                         number = (number // PACK + 1) * PACK  # a pack has one length
@@ -222,18 +223,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = rows.withColumn("embedding", integers(F.col("embedding"), scale))
     # Pivots: of each length, the rows with the smallest hashes; any pivots give right results.
-    own = Window.partitionBy("width").orderBy("h", "vec_id")
-    first = rows.select("embedding", F.size("embedding").alias("width"), "vec_id", F.xxhash64("vec_id", F.lit(seed)).alias("h")).withColumn("n", F.row_number().over(own)).where(F.col("n") <= PIVOTS)
+    sized = rows.select("embedding", F.size("embedding").alias("width"), "vec_id", F.xxhash64("vec_id", F.lit(seed)).alias("h"))
+    number: dict[int, int] = {}
+    widths = dict(map(tuple, sized.groupBy("width").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "width").limit(LENGTHS).collect()))
+    if not widths:
+        return vectors.sparkSession.createDataFrame([], RESULT)
+    for width in widths:
+        number[width] = min(PIVOTS, ELEMENTS // len(widths) // max(1, width))
+    wanted = F.broadcast(vectors.sparkSession.createDataFrame(sorted(number.items()), "width int, most int"))  # at most LENGTHS
+    first = sized.join(wanted, "width").withColumn("n", F.row_number().over(Window.partitionBy("width").orderBy("h", "vec_id"))).where((F.col("n") <= PIVOTS) & (F.col("n") <= F.col("most")))
     chosen: dict[int, list] = {}
-    for r in first.select("width", "embedding").limit(PIVOTS * LENGTHS + 1).collect():
+    for r in first.select("width", "embedding").collect():  # at most ELEMENTS components
         chosen.setdefault(r.width, []).append(r.embedding)
-    if len(chosen) > LENGTHS:
-        raise ValueError(f"vectors of more than {LENGTHS} different lengths")
-    if not chosen:
-        return vectors.sparkSession.createDataFrame([], RESULT)
+    block = max(LEAST, min(BLOCK, sum(widths.values()) // (2 * PACK * vectors.sparkSession.sparkContext.defaultParallelism)))
     every, drop_every = keep(placed(rows, {w: np.array(x, float).reshape(len(x), w) for w, x in chosen.items()}))
-    candidates, drop_candidates = keep(packs(every.drop("asks")))
-    asked, drop_asked = keep(packs(every.where("asks").drop("asks")))
+    candidates, drop_candidates = keep(packs(every.drop("asks"), block))
+    asked, drop_asked = keep(packs(every.where("asks").drop("asks"), BLOCK))
     drop_every()
     n_asked, n_rows = asked.count(), candidates.count()
     if not n_asked:
