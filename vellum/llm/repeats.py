@@ -20,8 +20,10 @@ Names are 128-bit fingerprints (64 bits for the K-grams, which only select), so
 hash aggregation instead of a sort by ranks. Copies cost what one text costs, plus a row per sample.
 
 Null texts are empty. Texts below SPAN bytes are kept whole. Repeated rows are copies of each other and are removed
-like them. Extra columns are ignored, whatever their names. An empty table gives no rows. A text is fingerprinted whole, in some 60 bytes a byte;
-one of 256 MB or more is an error, as a place in it has 28 bits.
+like them. Extra columns are ignored, whatever their names. An empty table gives no rows. A text of any length is fingerprinted in slices of ``SLICE`` starts, which go on SPAN - 1 bytes,
+in some 60 bytes a byte of a slice. A window's anchor doesn't depend on its slice; a context that a border cuts is two contexts, which step 3 tells apart as it does all others.
+
+Sums modulo 2^64 are weak on Thue-Morse words, which take 1,024 bytes to be so; a context has less than 2 * SPAN.
 """
 
 from __future__ import annotations
@@ -43,8 +45,8 @@ SMALL = 200_000
 _BASES = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 _PLACE = np.uint64((1 << 28) - 1)
 RUNS = "sa_id long, sa_text long, name long, c1 long, c2 long, skip int, lo int, hi int"
-#: Starts of a block.
-STEP = 16
+#: Starts of a block, and of a slice.
+STEP, SLICE = 16, 4 << 20
 
 
 class Prints:
@@ -66,10 +68,15 @@ class Prints:
         return mixed((sums[end] - sums[start]) * self.down[which][start] + (end - start).astype(np.uint64))
 
 
+def slices(raw: bytes, span: int, cache: dict) -> Iterator[tuple[np.ndarray, ...]]:
+    """`runs_of` the slices of a text, with places in the text."""
+    for start in range(0, len(raw) - span + 1, SLICE):
+        name, c1, c2, skip, lo, hi = runs_of(raw[start : start + SLICE + span - 1], span, cache)
+        yield name, c1, c2, skip, lo + start, hi + start
+
+
 def runs_of(raw: bytes, span: int, cache: dict) -> tuple[np.ndarray, ...]:
-    """(name, c1, c2, skip, lo, hi) of each run of windows lo..hi that have the same anchor, at lo + skip."""
-    if len(raw) > int(_PLACE):
-        raise ValueError(f"a text of {len(raw)} bytes; texts must stay below 256 MB")
+    """(name, c1, c2, skip, lo, hi) of each run of windows lo..hi that have the same anchor, at lo + skip. ``raw`` is shorter than 2 ** 28."""
     k = span // 2
     windows, wide = len(raw) - span + 1, span - k + 1
     prints = Prints(raw, cache)
@@ -104,8 +111,9 @@ def _runs(rows: DataFrame, span: int) -> DataFrame:
             parts, owners = [], []
             for i, text in enumerate(batch.column(2)):
                 if len(raw := _raw(text)) >= span:
-                    parts.append(runs_of(raw, span, cache))
-                    owners += [i] * len(parts[-1][0])
+                    for found in slices(raw, span, cache):
+                        parts.append(found)
+                        owners += [i] * len(found[0])
                 if owners and (len(owners) > 100_000 or i == batch.num_rows - 1):
                     of = pa.array(owners)
                     flat = [np.concatenate(x) for x in zip(*parts)]
@@ -123,7 +131,7 @@ def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _named(rows: DataFrame, schema: str, parts) -> DataFrame:
+def _named(rows: DataFrame, span: int, schema: str, parts) -> DataFrame:
     """``parts`` (prints, anchor, lo, hi, blocks) -> (context, columns after c1 and c2) over rows (text, contexts: array of c1, c2, skip, lo, hi, blocks)."""
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [{"long": pa.int64(), "int": pa.int32()}[x.split()[1]] for x in schema.split(", ")]
@@ -132,14 +140,18 @@ def _named(rows: DataFrame, schema: str, parts) -> DataFrame:
         cache: dict = {}
         for batch in batches:
             for text, contexts in zip(batch.column(0), batch.column(1)):
-                prints, inner = Prints(_raw(text), cache), contexts.values
+                raw, inner = _raw(text), contexts.values
                 c1, c2, skip, lo, hi = (inner.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("c1", "c2", "skip", "lo", "hi"))
-                blocks = inner.field("blocks")
-                for i in range(0, len(lo), 2000):
-                    some = slice(i, i + 2000)
-                    of, *columns = parts(prints, lo[some] + skip[some], lo[some], hi[some], blocks[some])
-                    if len(of):
-                        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((c1[some][of], c2[some][of], *columns), kinds)], names)
+                order = np.argsort(lo, kind="stable")
+                # Contexts of a slice, all of which it holds, some at a time.
+                for of_slice in np.split(order, np.flatnonzero(np.diff(lo[order] // SLICE)) + 1):
+                    base = int(lo[of_slice[0]])
+                    prints = Prints(raw[base : int(hi[of_slice].max()) + span], cache)
+                    for i in range(0, len(of_slice), 2000):
+                        some = of_slice[i : i + 2000]
+                        of, *columns = parts(prints, lo[some] + skip[some] - base, lo[some] - base, hi[some] - base, inner.field("blocks").take(pa.array(some)))
+                        if len(of):
+                            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((c1[some][of], c2[some][of], *columns), kinds)], names)
 
     return rows.select("text", "contexts").mapInArrow(made, schema)
 
@@ -199,7 +211,7 @@ def covered(docs: DataFrame, span: int = SPAN) -> DataFrame:
         return _of(rows, places.select("sa_id", "sa_text"), "left_semi").dropDuplicates(["sa_id", "sa_text"]).join(places, ["sa_id", "sa_text"]), drop
 
     named, drop_named = texts(several.withColumn("blocks", F.array().cast("array<int>")))
-    blocks, drop_blocks = keep(_named(named, "c1 long, c2 long, b int, w1 long, w2 long, hull long", _blocks(span)))
+    blocks, drop_blocks = keep(_named(named, span, "c1 long, c2 long, b int, w1 long, w2 long, hull long", _blocks(span)))
     drop_named()
     agree = (F.count("hull") == F.count(F.lit(1))) & (F.min("hull") == F.max("hull"))
     cores, drop_cores = keep(blocks.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.coalesce(agree, F.lit(False)).alias("agree")).where("n > 1").select("w1", "w2", "agree"))
@@ -207,7 +219,7 @@ def covered(docs: DataFrame, span: int = SPAN) -> DataFrame:
     drop_blocks()
     drop_cores()
     named, drop_named = texts(several.join(met.where(F.size("blocks") > 0).select("c1", "c2", "blocks"), ["c1", "c2"]))
-    windows, drop_windows = keep(_named(named, "c1 long, c2 long, offset int, w1 long, w2 long", _windows(span)))
+    windows, drop_windows = keep(_named(named, span, "c1 long, c2 long, offset int, w1 long, w2 long", _windows(span)))
     drop_named()
     drop_several()
     again, drop_again = keep(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"))
