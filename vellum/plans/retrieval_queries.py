@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellum.operators.trigrams import Index, scores
 from vellum.plans import intent, retrieve
 from vellum.plans.queries import _W, table
+from vellum.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +128,29 @@ def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["late_interaction"] = late_interaction
+
+
+_SOUGHT = ("license", "secret", "Password", "tion ", "the", "zz", "ß", "rights reserved", "nowhere to be found", "%_")
+ORACLES["indexed_search"] = f"SELECT term, doc_id, sha256(text) AS digest FROM documents JOIN (SELECT unnest({_strings(_SOUGHT)}) AS term) ON contains(lower(text), lower(term))"
+
+
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in a trigram index, searched for rare, common, short and absent terms."""
+    index = Index(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}").build(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return index.search(*_SOUGHT).select("term", F.col("id").alias("doc_id"), F.sha2("text", 256).alias("digest"))
+
+
+ORACLES["indexed_lexical_score"] = """
+SELECT doc_id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (
+    SELECT doc_id, 0.25 * len(list_filter(['password', 'secret', 'license', 'reserved'], lambda t: contains(lower(text), t))) AS score FROM documents) WHERE score > 0) WHERE rank <= 100"""
+
+
+def indexed_lexical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the 100 documents with most of a query's terms, by the index."""
+    index = Index(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}").build(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    best = scores(index, ["password", "secret", "license", "reserved"]).orderBy(F.col("score").desc(), "id").limit(100)
+    return best.select(F.col("id").alias("doc_id"), "score", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")).cast("int").alias("rank"))
+
+
+QUERIES |= {"indexed_search": indexed_search, "indexed_lexical_score": indexed_lexical_score}
