@@ -170,3 +170,13 @@ def test_course_seed_is_for_an_empty_table(spark, tmp_path):
     (tmp_path / "pages" / "all_coursepage_info.jsonl").write_text('{"course_id": "CS101", "title": "Intro"}\n{"course_id": "", "title": "x"}\n')
     other = Store(spark, f"{tmp_path}/other")
     assert other.seed_courses(f"{tmp_path}/pages") == 1 and other.read("courses").first().code == "CS 101"
+
+
+def test_a_users_courses_are_replaced(spark, tmp_path):
+    held = Store(spark, f"{tmp_path}/store")
+    held.seed_courses(f"{tmp_path}/none")
+    asked = lambda *codes: spark.createDataFrame([(c,) for c in codes], "code string")
+    assert held.set_courses("a", asked("CS 300", "CS 302", "CS 300", "XX 1")) == 2 and held.set_courses("b", asked("CS 300")) == 1
+    assert held.set_courses("a", asked("CS 455")) == 1
+    assert sorted((r.username, r.code) for r in held.read("user_courses").collect()) == [("a", "CS 455"), ("b", "CS 300")]
+    assert held.set_courses("a", asked()) == 0 and held.read("user_courses").count() == 1

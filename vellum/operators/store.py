@@ -41,6 +41,16 @@ def replace_links(links: DataFrame, owner: str, owner_id: object, wanted: DataFr
     return links.where(F.col(owner) != F.lit(owner_id)).unionByName(wanted)
 
 
+def requested(asked: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The distinct requested keys that are known."""
+    return asked.select(key).distinct().join(known, key, "left_semi")
+
+
+def totals(rows: DataFrame, source: str, name: str, order: str) -> DataFrame:
+    """chunks, the number of rows of each source, and name, that of its last row; combined before the shuffle."""
+    return rows.groupBy(source).agg(F.count(F.lit(1)).alias("chunks"), F.max_by(name, order).alias("name"))
+
+
 def update_where(rows: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
     hit = F.coalesce(condition, F.lit(False))
     return rows.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})

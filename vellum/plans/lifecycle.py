@@ -30,7 +30,8 @@ SCHEMAS = {
     "chunks": "chunk_id string, sourceId string, chunkIndex long, text string, documentType string, document_type string, source string, location string, page int, slide int, section string, source_collection string, source_path string, module string, embedding array<double>",
 }
 SCHEMAS["courses"] = ", ".join(f"{c} string" for c in (*courses.TEXTS, *courses.CREDITS))
-KEYS = {"courses": "code", "sources": "sourceId", "jobs": "jobId", "batches": "batchId", "reviews": "reviewId", "exams": "examId", "chunks": "chunk_id"}
+SCHEMAS["user_courses"] = "linkId string, username string, code string"
+KEYS = {"user_courses": "linkId", "courses": "code", "sources": "sourceId", "jobs": "jobId", "batches": "batchId", "reviews": "reviewId", "exams": "examId", "chunks": "chunk_id"}
 PREVIEW = 8
 
 
@@ -186,6 +187,12 @@ class Store:
         found = courses.fallback(self.spark) if pages is None else courses.seeds(pages.select("line_no", F.parse_json("line").alias("v")))
         return self.table("courses").merge(found.where("code <> '' and title <> ''"))
 
+    def set_courses(self, username: str, asked: DataFrame) -> int:
+        """A user's courses, all replaced by those of ``asked`` (code) that exist; their number."""
+        known = store.requested(asked, self.read("courses"), "code")
+        rows = known.select(F.concat_ws("\x1f", F.lit(username), "code").alias("linkId"), F.lit(username).alias("username"), "code")
+        return self.table("user_courses").replace(F.col("username") == username, rows)
+
     # Uploads.
 
     def save_raw(self, files: DataFrame) -> DataFrame:

@@ -209,6 +209,24 @@ def count_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.counts(table(spark, sf_dir, "documents"), ["lang", "source"], "doc_id").select("lang", "source", "n", "first_seen", F.col("rank").cast("int"))
 
 
+@query("SELECT source, count(*) AS chunks, arg_max(lang, doc_id) AS name FROM documents GROUP BY source")
+def per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a source's chunks: their number, and the last one's name."""
+    return store.totals(table(spark, sf_dir, "documents").withColumnRenamed("lang", "name"), "source", "name", "doc_id")
+
+
+@query("""
+SELECT p_brand AS owner, p_partkey AS id, 'kept' AS origin FROM part WHERE p_brand <> (SELECT min(p_brand) FROM part)
+UNION ALL SELECT (SELECT min(p_brand) FROM part), p_partkey, 'requested' FROM part WHERE p_partkey IN (SELECT l_suppkey * 3 FROM lineitem)""")
+def requested_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as links of their brand; the first brand's are replaced by requested ids, of which those that are parts count."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("owner"), F.col("p_partkey").alias("id"), F.lit("kept").alias("origin"))
+    first = parts.agg(F.min("owner")).first()[0]
+    asked = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 3).alias("id"))
+    wanted = store.requested(asked, parts, "id").select(F.lit(first).alias("owner"), "id", F.lit("requested").alias("origin"))
+    return store.replace_links(parts, "owner", first, wanted)
+
+
 @query("""
 SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'an') OR contains(lower(p_brand), 'an') OR contains(lower(p_type), 'an')
 ORDER BY p_brand, p_name, p_partkey LIMIT 200""")
@@ -330,9 +348,10 @@ UNION ALL SELECT CAST(r AS INTEGER), source, sha256('[Source: ' || source || ',
 def context_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("n", F.length("text"))
     best = docs.orderBy(F.col("n").desc(), "doc_id").limit(6).withColumn("position", F.row_number().over(Window.orderBy(F.col("n").desc(), "doc_id")))
-    first = spark.createDataFrame([(0, "Request intent", "intent: ders_onerisi", None)], "position int, source string, text string, doc_id long")
-    rows = first.unionByName(best.select("position", "source", "text", "doc_id"))
-    return rows.select("position", F.col("source").alias("label"), F.sha2(T.with_header(F.col("text"), F.col("source"), F.col("doc_id")), 256).alias("digest"))
+    shown = T.with_header(F.col("text"), F.col("source"), F.col("doc_id")).alias("text")
+    first = spark.createDataFrame([(1, "Request intent", "intent: ders_onerisi", None)], "position int, source string, text string, doc_id long")
+    rows = answers.assemble(first.select("position", "source", shown), best.select("position", "source", shown))
+    return rows.select("position", F.col("source").alias("label"), F.sha2("text", 256).alias("digest"))
 
 
 @query()
