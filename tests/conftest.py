@@ -10,8 +10,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
-    conf = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g", "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1 -XX:+UseParallelGC", "spark.checkpoint.dir": shared.as_uri()}
+    conf = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g", "spark.checkpoint.dir": shared.as_uri()}
     session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    # Few rows lie in few folders.
+    from vellum.operators import buckets, trigrams
+
+    buckets.BUCKETS, trigrams.FOLDERS = 2, 4
     yield session
     session.stop()

@@ -90,8 +90,7 @@ def test_stored_models_predict_as_fitted_ones(spark, tmp_path, monkeypatch):
 def test_many_questions_as_one_by_one(spark):
     rows = [(f"c{i:02}", f"text {i} about {'required' if i % 2 else 'core'} courses", [float(i % 7), float(i % 3)], ["CS 101", "EE 204", None][i % 3], ["required", "core"][i % 2], ["CS", "EE"][i % 4 // 2], ["exam", "course"][i % 2]) for i in range(40)]
     chunks = spark.createDataFrame(rows, "chunk_id string, text string, embedding array<double>, course_id string, requirement_type string, program string, documentType string")
-    asked = ["required CS 101 or EE 204", "core courses in EE", "what is this about", "CS 999 required", ""]
-    for route in (None, "exam"):
+    for route, asked in ((None, ["required CS 101 or EE 204", "what is this about", "CS 999 required"]), ("exam", ["core courses in EE", ""])):
         questions = spark.createDataFrame([(i, q, [1.0, 2.0], route) for i, q in enumerate(asked)], "question_id long, question string, vector array<double>, route string")
         many = {(r.question_id, r["rank"]): (r.chunk_id, r.score) for r in retrieve.retrieve_many(chunks, questions, 5).collect()}
         one = {}

@@ -30,8 +30,8 @@ class Conflict(RuntimeError):
 class Buckets:
     """The table at ``path``, with ``schema`` and its unique ``key``; ``insert_only`` columns keep their first value."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str | StructType, key: str, insert_only: tuple[str, ...] = (), buckets: int = BUCKETS):
-        self.spark, self.path, self.key, self.insert_only, self.first = spark, path.rstrip("/"), key, insert_only, buckets
+    def __init__(self, spark: SparkSession, path: str, schema: str | StructType, key: str, insert_only: tuple[str, ...] = (), buckets: int | None = None):
+        self.spark, self.path, self.key, self.insert_only, self.first = spark, path.rstrip("/"), key, insert_only, buckets or BUCKETS
         self.schema = _parse_datatype_string(schema) if isinstance(schema, str) else schema
 
     # The manifest.
