@@ -49,7 +49,8 @@ def test_rounds(spark, monkeypatch, size):
         done = packing.packed(pieces, 64)
         rows = done.collect()
         assert sorted((x.doc_id, x.length) for x in rows) == list(enumerate(lengths)) and set(done.columns) == {*pieces.columns, "sequence_id", "offset"}
-        assert valid(rows, 64) <= 1.03 * best_fit(lengths, 64) + 1
+        # One range is plain best fit, but for the sequences that open between two rounds.
+        assert valid(rows, 64) <= best_fit(lengths, 64) * (1 if size > 40 else 1.03) + 1
 
 
 def test_brackets():

@@ -6,11 +6,11 @@ full. Packing is bulk-synchronous best fit, in rounds over two tables, the piece
 
 1. Pieces longer than any gap open as many new sequences as their tokens fill.
 2. Pieces and gaps are sorted into ranges by size, the largest first.
-3. A sweep over a range gives each piece the successor of its size: the smallest gap that holds it and that no longer piece
-   has taken. What finds no partner in its range, pieces at its head and gaps at its end, is ranked there; the counts of all ranges tell which ranks
-   of which ranges match, as brackets do, and an equi-join on range and rank resolves them.
-4. Gaps shrink by what they took, and the next round takes what waits. A gap that holds several of the longest waiting pieces stands for as many in a
-   round, so that short pieces need few rounds.
+3. A sweep over a range gives each piece the successor of its size: the smallest gap of its range that holds it. What is left of that gap is a gap of
+   the range again. What finds no partner in its range, pieces at its head and gaps that hold all that follows it, is ranked there; the counts of all ranges tell which
+   ranks of which ranges match, as brackets do, and an equi-join on range and rank resolves them.
+4. Gaps shrink by what they took, and the next round takes what waits. With several ranges, a gap that holds several of the longest waiting pieces stands for as
+   many in a round, so that short pieces need few rounds.
 
 No task takes more than a range, and ranges go on by id where many sizes are equal. The driver sees two counts a range. In the end pieces stand in their sequences in the
 order of the rounds.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,12 +126,13 @@ SWEPT = "part int, kind string, at long, pid long, length int, sequence long, ga
 
 
 def swept(items: DataFrame, ranges: int) -> DataFrame:
-    """Pieces and gaps (size, piece, id, gap) in ranges of descending size, matched within each: kind ``match``, or what is left, ``piece`` or ``gap``, with its rank."""
+    """Pieces and gaps (size, piece, id, gap) in ranges of descending size, by best fit within each: kind ``match``, or what is left: ``piece`` or ``gap``, with its rank, or ``rest``, a gap too small for what follows its range."""
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, gaps, waiting = TaskContext.get().partitionId(), [], 0
+        part, waiting, size = TaskContext.get().partitionId(), 0, 0
+        gaps: list[tuple[int, int, int]] = []  # size (negative, so the largest first), sequence, its whole gap
         kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -140,16 +142,21 @@ def swept(items: DataFrame, ranges: int) -> DataFrame:
             rows = []
             for size, piece, number, gap in zip(*(c.to_pylist() for c in batch.columns)):
                 if not piece:
-                    gaps.append((number, gap))
-                elif gaps:
-                    rows.append((part, "match", 0, number, size, *gaps.pop()))
-                else:
+                    insort(gaps, (-size, number, gap))
+                    continue
+                at = bisect_left(gaps, (1 - size,)) - 1
+                if at < 0:
                     rows.append((part, "piece", waiting, number, size, None, None))
                     waiting += 1
+                    continue
+                room, sequence, whole = gaps.pop(at)
+                rows.append((part, "match", 0, number, size, sequence, whole))
+                if room + size:
+                    insort(gaps, (room + size, sequence, whole))
             if rows:
                 yield out(rows)
         for i in range(0, len(gaps), 10_000):
-            yield out([(part, "gap", j, None, None, *gaps[j]) for j in range(i, min(i + 10_000, len(gaps)))])
+            yield out([(part, "gap" if -room >= size else "rest", j, None, None, sequence, whole) for j, (room, sequence, whole) in enumerate(gaps[i : i + 10_000], i)])
 
     order = [F.col("size").desc(), F.col("piece"), F.col("id")]
     return items.select("size", "piece", "id", "gap").repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(sweep, SWEPT)
@@ -186,16 +193,18 @@ def rounds(pieces: DataFrame, capacity: int) -> DataFrame:
             break
         # New sequences are as many as their pieces fill; older gaps stand for several only where pieces outnumber them.
         fresh, several = -(-tokens // capacity), 1 + n // max(1, n_gaps)
+        ranges = max(1, min(RANGES, -(-(n + n_gaps + fresh) // RANGE)))
+        most_lanes = several if ranges > 1 else 1  # within a range, what is left of a gap is a gap again
         lanes = F.explode(F.sequence(F.lit(1), F.col("lanes"))).alias("lane")
-        mine = spark.range(opened, opened + fresh).select(F.col("id").alias("sequence"), F.lit(capacity).alias("gap"), F.lit(max(1, capacity // top)).alias("lanes"))
+        mine = spark.range(opened, opened + fresh).select(F.col("id").alias("sequence"), F.lit(capacity).alias("gap"), F.lit(max(1, capacity // top) if ranges > 1 else 1).alias("lanes"))
         if gaps is not None:
-            mine = gaps.where(F.col("gap") >= least).withColumn("lanes", F.greatest(F.lit(1), F.least(F.floor(F.col("gap") / F.lit(top)), F.lit(several))).cast("int")).union(mine)
+            mine = gaps.where(F.col("gap") >= least).withColumn("lanes", F.greatest(F.lit(1), F.least(F.floor(F.col("gap") / F.lit(top)), F.lit(most_lanes))).cast("int")).union(mine)
         mine = mine.select("sequence", "gap", "lanes", lanes).select(F.floor(F.col("gap") / F.col("lanes")).cast("int").alias("size"), F.lit(False).alias("piece"), F.col("sequence").alias("id"), "gap")
         items = left.select(F.col("length").alias("size"), F.lit(True).alias("piece"), F.col("pid").alias("id"), F.lit(None).cast("int").alias("gap")).union(mine)
         opened += fresh
-        done = cut(swept(items, max(1, min(RANGES, -(-(n + n_gaps + fresh) // RANGE)))))
+        done = cut(swept(items, ranges))
         found = done.where("kind = 'match'").select("pid", "sequence", "gap", "length")
-        waits, rest = done.where("kind = 'piece'"), done.where("kind = 'gap'").select("sequence", "gap", F.lit(0).alias("length"))
+        waits, rest = done.where("kind = 'piece'"), done.where("kind in ('gap', 'rest')").select("sequence", "gap", F.lit(0).alias("length"))
         counts = done.groupBy("part").agg(F.count(F.when(F.col("kind") == "piece", 1)).alias("pieces"), F.count(F.when(F.col("kind") == "gap", 1)).alias("gaps")).collect()  # a row a range
         runs, matched = brackets(sorted(map(tuple, counts)))
         if runs:
