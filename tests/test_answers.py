@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.__main__ import main
-from vellum.plans import answers, catalog
+from vellum.plans import answers, catalog, lifecycle
 from vellum.plans.lifecycle import Store
 
 QUESTIONS = [
@@ -121,3 +121,15 @@ def test_retrieval_steps(spark):
     top = retrieve.rerank(retrieve.retrieve(rows, "hello", [0.0, 1.0], 4), "hello", F.length("text"), 2).collect()
     assert [(r.chunk_id, r.combined_rerank_score) for r in top] == [("b", 10.0), ("c", 5.0)]
     assert retrieve.retrieve(rows.limit(0), "hello", [0.0, 1.0]).count() == 0
+
+
+def test_batches_and_citations_as_tables(spark):
+    rows = [("a", i, f"t{i}") for i in range(11)] + [("b", 0, "only"), (None, 0, "x")]
+    told = {r.k: r for r in lifecycle.summaries(spark.createDataFrame(rows, "k string, index long, text string").repartition(3), ["k"]).collect()}
+    assert told["a"].messageCount == 11 and told["a"].preview == [f"t{i}" for i in range(8)] and told["a"].text == "\n".join(f"t{i}" for i in range(11))
+    assert (told["b"].messageCount, told["b"].preview, told["b"].text) == (1, ["only"], "only") and told[None].text == "x"
+    none = lifecycle.summaries(spark.createDataFrame([], "index long, text string"), []).first()
+    assert (none.messageCount, none.preview, none.text) == (0, [], "")
+    context = spark.createDataFrame([(1, 0, "b"), (1, 1, "a"), (1, 2, "b"), (1, 3, ""), (1, 4, None), (2, 0, None), (None, 0, "c")], "q long, position int, source string")
+    many = {r.q: r.labels for r in answers.cited_many(context, ["q"]).collect()}
+    assert many == {1: ["b", "a"], 2: [], None: ["c"]} and answers.cited(context.where("q = 1")) == many[1]

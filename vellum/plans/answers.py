@@ -237,3 +237,9 @@ def cited(context: DataFrame, column: str = "source") -> list[str]:
     return [r[column] for r in firsts.orderBy("at").collect()]
 
 
+def cited_many(contexts: DataFrame, keys: list[str], column: str = "source") -> DataFrame:
+    """keys and labels: the distinct labels of each of many contexts (keys, position), in its order; contexts without a label have none."""
+    firsts = contexts.groupBy(*keys, column).agg(F.min("position").alias("at"))
+    named = F.struct("at", F.col(column).alias("label"))
+    told = F.array_sort(F.collect_list(F.when(F.coalesce(F.col(column), F.lit("")) != "", named)))
+    return firsts.groupBy(*keys).agg(F.transform(told, lambda x: x["label"]).alias("labels"))

@@ -39,6 +39,22 @@ def now() -> datetime:
     return datetime.now(UTC)
 
 
+def summaries(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, messageCount, preview (the first texts) and text (all, a line each) of the exports that messages (keys, index from 0, text) come from.
+
+    An export's texts meet in one row, which suits exports of megabytes; the preview alone is bounded, so it travels in partial aggregates.
+    """
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["text"])
+    said = F.struct("index", "text")
+    return messages.groupBy(*keys).agg(F.count(F.lit(1)).alias("messageCount"), ordered(F.when(F.col("index") < PREVIEW, said)).alias("preview"), F.array_join(ordered(said), "\n").alias("text"))
+
+
+def review_rows(messages: DataFrame) -> DataFrame:
+    """Reviews of approved messages (sourceId, uploadBatchId, index, text, author, date), told by source, index and text."""
+    named = T.content_hash(F.concat_ws(":", "sourceId", F.col("index").cast("string"), "text"))
+    return messages.select(F.concat(F.lit("review:"), F.substring(named, 1, 24)).alias("reviewId"), "sourceId", "uploadBatchId", "text", "author", F.col("date").alias("messageDate"), F.lit("approved").alias("status"))
+
+
 class Store:
     """The tables below ``root``. One writer at a time a table; a second one's change is refused."""
 
@@ -238,8 +254,8 @@ class Store:
         """A pending batch of a chat export that lies in the shared folder; count and first messages for review."""
         messages, facts = self._messages(path)
         batch, source = f"whatsapp:{facts['digest'][:24]}", f"review:{facts['digest'][:24]}"
-        n = messages.count()
-        preview = [r.text for r in messages.orderBy("index").limit(PREVIEW).collect()]
+        told = summaries(messages, []).first()
+        n, preview = told.messageCount, told.preview
         self.put("sources", sourceId=source, type="review", fileName=facts["name"], storageKey=path, contentHash=facts["digest"], status="pending", createdBy=uploaded_by)
         self.put("batches", batchId=batch, sourceId=source, type="whatsapp", status="pending", storageKey=path, fileName=facts["name"], contentHash=facts["digest"], uploadedBy=uploaded_by, messageCount=n, preview=preview)
         return {"batchId": batch, "sourceId": source, "status": "pending", "messageCount": n, "preview": preview}
@@ -255,11 +271,10 @@ class Store:
             self.put("sources", sourceId=batch.sourceId, status="rejected")
             return known | {"status": "rejected"}
         messages, _ = self._messages(batch.storageKey)
-        named = T.content_hash(F.concat_ws(":", F.lit(batch.sourceId), F.col("index").cast("string"), "text"))
         at = F.lit(now())
-        self.upsert("reviews", messages.select(F.concat(F.lit("review:"), F.substring(named, 1, 24)).alias("reviewId"), F.lit(batch.sourceId).alias("sourceId"), F.lit(batch_id).alias("uploadBatchId"), "text", "author", F.col("date").alias("messageDate"), F.lit("approved").alias("status"), at.alias("updatedAt"), at.alias("createdAt")))
-        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda x: x["text"]), "\n")
-        n = self._ingest(messages.agg(whole.alias("text")), batch.fileName, batch.sourceId, batch.storageKey, approved_by)
+        named = messages.withColumns({"sourceId": F.lit(batch.sourceId), "uploadBatchId": F.lit(batch_id)})
+        self.upsert("reviews", review_rows(named).withColumns({"updatedAt": at, "createdAt": at}))
+        n = self._ingest(summaries(messages, []).select("text"), batch.fileName, batch.sourceId, batch.storageKey, approved_by)
         self.put("batches", batchId=batch_id, status="indexed", approvedBy=approved_by, approvedAt=now(), chunksCreated=n)
         return known | {"status": "indexed", "chunks": n}
 
