@@ -159,7 +159,10 @@ def swept(items: DataFrame, ranges: int) -> DataFrame:
             yield out([(part, "gap" if -room >= size else "rest", j, None, None, sequence, whole) for j, (room, sequence, whole) in enumerate(gaps[i : i + 10_000], i)])
 
     order = [F.col("size").desc(), F.col("piece"), F.col("id")]
-    return items.select("size", "piece", "id", "gap").repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(sweep, SWEPT)
+    rows = items.select("size", "piece", "id", "gap")
+    # One range is one task of at most RANGE rows, whatever number of partitions the session prefers.
+    dealt = rows.repartitionByRange(ranges, *order) if ranges > 1 else rows.repartition(1)
+    return dealt.sortWithinPartitions(*order).mapInArrow(sweep, SWEPT)
 
 
 def brackets(counts: list[tuple[int, int, int]]) -> tuple[list[tuple], dict[int, int]]:
