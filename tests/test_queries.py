@@ -5,9 +5,9 @@ import math
 import duckdb
 import pytest
 
-from vellum.plans import answer_queries, card_queries, function_queries, queries, retrieval_queries, store_queries
+from vellum.plans import answer_queries, card_queries, function_queries, queries, retrieval_queries, store_queries, word_queries
 
-MODULES = (queries, function_queries, card_queries, retrieval_queries, store_queries, answer_queries)
+MODULES = (queries, function_queries, card_queries, retrieval_queries, store_queries, answer_queries, word_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
