@@ -15,8 +15,9 @@ against the group's leader, the text that shares bands with most others, and ver
 only groups that still span several components are looked at again: groups of up to ``PAIRS``
 texts compare all pairs between components; larger ones compare with leaders
 that change from round to round,
-the most central texts of random parts, until a round finds no link. In larger groups that span several components
-even then, all pairs between components are compared, block by block, but for those whose sizes exclude them.
+the most central texts of random parts, until a round finds no link. The texts of larger groups that span several components
+even then are joined exactly, by a prefix filter: with each set's shingles in one order, rare ones first, near sets share one
+of the first (1 - similarity) * size, and behind the first that they share enough of both is left. Only such pairs between components are verified, once each.
 
 Rows without words (null, empty or blank texts) are each a class of their own. Repeated rows are copies of
 each other. Extra columns are ignored, or kept by ``distinct``, whatever their names. An empty table gives no rows. A very long text is shingled at once, in some
@@ -40,8 +41,10 @@ BANDS, ROWS = 32, 4
 PAIRS = 48
 #: Leaders of a larger group in each further round.
 LEADERS = 4
-#: Texts and shingles of a block, of which two are compared at a time; distinct shingles that a product takes at once.
-BLOCK, BLOCK_SHINGLES, WIDTH = 128, 1 << 19, 4096
+#: What is known of one of a text's shingles that near texts must meet by; about how many of these are put together in a bucket.
+ENTRY, ENTRIES = np.dtype([("value", "<u8"), ("text", "<i8"), ("root", "<i8"), ("size", "<i4"), ("rank", "<i4")]), 1 << 14
+#: Shingles whose counts are broadcast (16 bytes each); shingles or pairs that a task holds at once.
+COMMON, SUMMED = 100_000, 1 << 20
 #: Candidate texts up to this number are broadcast as ids of 16 bytes.
 SMALL = 200_000
 #: Bytes of text that are shingled at a time.
@@ -242,75 +245,141 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """The number of values that each set on the left has in common with each on the right."""
-    sides = [np.concatenate(x) for x in (left, right)]
-    shared = np.intersect1d(*sides)
-    places = []
-    for sets, flat in zip((left, right), sides):
-        owner, at = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.searchsorted(shared, flat)
-        hit = shared[np.minimum(at, len(shared) - 1)] == flat if len(shared) else np.zeros(len(flat), bool)
-        places.append((owner[hit], at[hit]))
-    common = np.zeros((len(left), len(right)))
-    for low in range(0, len(shared), WIDTH):
-        parts = []
-        for sets, (owner, at) in zip((left, right), places):
-            part, here = np.zeros((len(sets), WIDTH), np.float32), (at >= low) & (at < low + WIDTH)
-            part[owner[here], at[here] - low] = 1
-            parts.append(part)
-        common += parts[0] @ parts[1].T
-    return common
+def usual(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that fill at least a COMMON-th of all sets, at most COMMON of them, in order, with about how many sets have each: a task passes on what it has seen twice."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            values, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(values[n > 1].view(np.int64)), pa.array(n[n > 1])], ["value", "n"])
+
+        for batch in batches:
+            for one in batch.column(0):
+                held.append(np.frombuffer(one.as_buffer(), np.uint64))
+                size += len(held[-1])
+                if size >= SUMMED:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
+
+    total = texts.agg(F.sum(F.octet_length("near_set") / 8)).first()[0] or 0
+    found = texts.select("near_set").mapInArrow(seen, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") * F.lit(COMMON) >= F.lit(total)).toArrow()
+    values, n = found["value"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(values)
+    return values[order], n[order]
+
+
+def prefixes(sets: list[np.ndarray], texts: np.ndarray, roots: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Entries of the first shingles of each set, rare ones first: two sets that are near share one of these."""
+    values, often = common
+    size = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    n = np.zeros(len(flat), np.int64)
+    if len(values):
+        at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+        n = np.where(values[at] == flat, often[at], 0)
+    order = np.lexsort((flat, n, owner))  # one order of all shingles, in every task
+    rank = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    use = rank <= (1 - similarity) * size[owner] + 1e-6
+    made = np.zeros(int(use.sum()), ENTRY)
+    made["value"], made["rank"] = flat[order][use], rank[use]
+    for name, column in (("text", texts), ("root", roots), ("size", size)):
+        made[name] = column[owner[use]]
+    return made
+
+
+def meetings(entries: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of texts of different components that may be near, by what their first common shingle leaves behind it.
+
+    Of near sets x and y at least ``share * (x + y)`` shingles are common, and none lies before the first common one. Where that
+    is another entry of theirs, a pair may be refused here; it is found there. Within a shingle's largest component nothing is compared.
+    """
+    share = similarity / (1 + similarity)
+    entries = entries[np.lexsort((entries["size"], entries["value"]))]
+    value, root, size = entries["value"], entries["root"], entries["size"].astype(np.int64)
+    listed = np.cumsum(np.append(False, value[1:] != value[:-1]))
+    by = np.lexsort((root, listed))
+    start = np.flatnonzero(np.append(True, (listed[by][1:] != listed[by][:-1]) | (root[by][1:] != root[by][:-1])))
+    n, of = np.diff(start, append=len(by)), listed[by][start]
+    last = np.lexsort((n, of))
+    largest = np.zeros(len(start), bool)
+    largest[last[np.append(of[last][1:] != of[last][:-1], True)]] = True
+    main = np.zeros(len(entries), bool)
+    main[by] = np.repeat(largest, n)
+    key, behind = listed << 32 | size, size - entries["rank"]
+    low, high = (listed << 32 | np.ceil(similarity * size - 1e-6).astype(np.int64)), (listed << 32 | np.floor(size / similarity + 1e-6).astype(np.int64))
+    rest = np.flatnonzero(~main)
+    found, held = [np.zeros((0, 2), np.int64)], 0
+    for others in (rest, np.flatnonzero(main)):
+        at, end = np.searchsorted(key[others], low[rest], "left"), np.searchsorted(key[others], high[rest], "right")
+        if others is rest:
+            at = np.maximum(at, np.arange(1, len(rest) + 1))  # each pair once
+        left = np.flatnonzero(at < end)
+        while len(left):
+            x, y = rest[left], others[at[left]]
+            good = (root[x] != root[y]) & (np.minimum(behind[x], behind[y]) >= share * (size[x] + size[y]) - 1e-6)
+            found.append(np.sort(np.stack([entries["text"][x[good]], entries["text"][y[good]]], 1), axis=1))
+            held += len(found[-1])
+            if held >= SUMMED:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                held = 0
+            at[left] += 1
+            left = left[at[left] < end[left]]
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def packed(texts: DataFrame, similarity: float, buckets: int) -> DataFrame:
+    """bucket and entries (`prefixes` of texts (near_a, root, near_set), with all of a shingle in one bucket)."""
+    shared = texts.sparkSession.sparkContext.broadcast(usual(texts))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            names, roots, sets = zip(*rows)
+            entries = prefixes(list(sets), np.array(names, np.int64), np.array(roots, np.int64), shared.value, similarity)
+            bucket = (entries["value"] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            kinds, at = np.unique(bucket[order], return_index=True)
+            parts = [x.tobytes() for x in np.split(entries[order], at[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(parts, pa.binary())], ["bucket", "entries"])
+
+        rows, size = [], 0
+        for batch in batches:
+            for name, root, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                rows.append((name, root, np.frombuffer(one.as_buffer(), np.uint64)))
+                size += len(rows[-1][2])
+                if size >= SUMMED:
+                    yield out(rows)
+                    rows, size = [], 0
+        if rows:
+            yield out(rows)
+
+    return texts.select("near_a", "root", "near_set").mapInArrow(made, "bucket long, entries binary")
 
 
 def across(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) of roots: enough to join all components that a near pair within a group connects. rows: key, near_a and root.
+    """Links (u, v) of roots: all that near pairs between components make among the texts of rows (near_a, root).
 
-    A group's texts are dealt into blocks by size and by whether they are in its largest component, and every two
-    blocks that can hold a near pair between components make one piece of work, however large the group.
+    A text is sent once, with the few shingles by which near texts must meet, however many groups it is in and however large they are.
     """
-    sizes = sets.select("near_a", (F.octet_length("near_set") / 8).alias("size"))
-    step = -float(np.log(similarity)) + 1e-3  # near texts are in the same or in adjacent buckets
-    sized = rows.join(sizes, "near_a").withColumn("bucket", F.floor(F.log("size") / step))
-    main = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-    sized, drop_sized = keep(sized.join(main, "key").select("key", "near_a", "root", "size", "bucket", (F.col("root") == F.col("main")).cast("int").alias("main")))
-    held = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_SHINGLES / F.max("size"))))
-    cells = cut(sized.groupBy("key", "bucket", "main").agg(F.ceil(F.count(F.lit(1)) / held).alias("parts")))
-    a, b = (cells.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("bucket", "main", "parts")]) for x in "ab")
-    apart = (F.col("bucket_b") == F.col("bucket_a") + 1) | ((F.col("bucket_b") == F.col("bucket_a")) & (F.col("main_a") <= F.col("main_b")))
-    pairs = cut(a.join(b, "key").where(apart & (F.col("main_a") + F.col("main_b") < 2)))
-    same = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("main_a") == F.col("main_b"))
-    dealt = []
-    for x in "ab":
-        mine = sized.withColumnsRenamed({"bucket": f"bucket_{x}", "main": f"main_{x}"}).join(pairs, ["key", f"bucket_{x}", f"main_{x}"]).withColumn("part", F.pmod(F.xxhash64("near_a", F.lit(11)), F.col(f"parts_{x}")))
-        first, last = (F.when(same, F.col("part")).otherwise(F.lit(0)), F.col("parts_b") - 1) if x == "a" else (F.lit(0), F.when(same, F.col("part")).otherwise(F.col("parts_a") - 1))
-        mine = mine.withColumn("other", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-        order = ("part", "other") if x == "a" else ("other", "part")
-        dealt.append(mine.select("near_a", "root", F.lit(x == "b").alias("right"), F.xxhash64("key", "bucket_a", "main_a", "bucket_b", "main_b", *order).alias("work")))
-
-    def compare(table: pa.Table) -> pa.Table:
-        right = np.array(table["right"].to_pylist(), bool)
-        roots, held = np.array(table["root"].to_pylist(), np.int64), [np.frombuffer(x.as_buffer(), np.uint64) for x in table["near_set"]]
-        left, right = np.flatnonzero(~right), np.flatnonzero(right)
-        links, top = [], {}
-        if len(left) and len(right):
-            common = overlaps([held[i] for i in left], [held[i] for i in right])
-            size = np.array([len(x) for x in held], float)
-            near = (common >= similarity * (size[left][:, None] + size[right] - common) - 1e-9) & (roots[left][:, None] != roots[right])
-
-            def find(x: int) -> int:
-                while top.get(x, x) != x:
-                    x = top[x]
-                return x
-
-            for i, j in np.argwhere(near):
-                u, v = find(int(roots[left[i]])), find(int(roots[right[j]]))
-                if u != v:
-                    top[max(u, v)] = min(u, v)
-                    links.append((min(u, v), max(u, v)))
-        return pa.table({"u": pa.array([x[0] for x in links], pa.int64()), "v": pa.array([x[1] for x in links], pa.int64())})
-
-    found = cut(dealt[0].union(dealt[1]).join(sets, "near_a").groupBy("work").applyInArrow(compare, "u long, v long").distinct())
-    drop_sized()
+    texts, drop_texts = keep(rows.select("near_a", "root").distinct().join(sets, "near_a"))
+    size = texts.agg(F.sum((1 - similarity) * F.octet_length("near_set") / 8 + 1)).first()[0] or 0
+    buckets = 1 + int(size) // ENTRIES
+
+    def meet(table: pa.Table) -> pa.Table:
+        u, v = meetings(np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in table["entries"]]), similarity)
+        return pa.table({"u": pa.array(u), "v": pa.array(v)})
+
+    pairs = cut(packed(texts, similarity, buckets).groupBy("bucket").applyInArrow(meet, "u long, v long").distinct())
+    near, roots = verified(pairs, texts.select("near_a", "near_set"), similarity), texts.select("near_a", "root")
+    for end in ("u", "v"):
+        near = near.join(roots.select(F.col("near_a").alias(end), F.col("root").alias(f"{end}_root")), end)
+    found = cut(near.select(F.least("u_root", "v_root").alias("u"), F.greatest("u_root", "v_root").alias("v")).distinct())
+    drop_texts()
     return found
 
 
@@ -366,7 +435,7 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         for end in ("u", "v"):
             found = found.join(named.select(F.col("near_a").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(end, F.coalesce(f"{end}_root", end)).drop(f"{end}_root")
         labels = joined(labels, found)
-    rest = open_rows.where(F.col("n") > PAIRS).select("key", "near_a", "root")
+    rest = open_rows.where(F.col("n") > PAIRS).select("near_a", "root")
     if not rest.isEmpty():
         links = across(rest, sets_once, similarity)
         labels = labels if links.isEmpty() else joined(labels, links)
