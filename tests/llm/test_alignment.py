@@ -1,8 +1,11 @@
 """Token alignment against all pairs of tokens, text by text."""
 
 import hashlib
+import random
+import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -77,3 +80,20 @@ def test_a_very_long_text_and_no_rows(spark):
     row = alignment.align(spark.createDataFrame([(text, 1, 0)], SCHEMA), A, B).first()
     assert row.n_links == row.n_a + row.n_b - row.n_groups and row.n_a > 10 * alignment.BLOCK
     assert alignment.align(spark.createDataFrame([], SCHEMA), A, B).collect() == []
+
+
+def test_units_as_the_model_gives_them():
+    """Words behind one space by merges of ranks, other units encoded together: as the model encodes the whole text, with what one text leaves for the next. (A text that holds the mark itself has no tokens.)"""
+    pieces = alignment.Pieces(B)
+    assert pieces.fast is not None
+    r = random.Random(2)
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(1, 200))) for letters in ("aeinorst .\n", "ab  \t", "the <s>0x41é", "".join(map(chr, range(1, 128)))) for _ in range(200)]
+    texts += [" ", "a ", " a", "x" * 3000, "a" * 50 + "  b", "日本語  テキスト 😀", "é " * 300]
+    for text in texts:
+        assert pieces(text).tolist() == pieces.model.encode(text), text
+    pieces.fast = None
+    units = list(dict.fromkeys(u for text in texts for u in re.findall(" +[^ ]*", " " + text)))
+    for i in range(0, len(units), 70):
+        assert all(np.frombuffer(ids, "<u4").tolist() == pieces.unit(u) for u, ids in pieces.units(units[i : i + 70]).items())
+    for text in texts:
+        assert pieces(text).tolist() == pieces.model.encode(text), text

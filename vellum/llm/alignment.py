@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from vellum.llm.common import keep, worker_cache
 from vellum.llm.packing import Ids
 
-#: Ids of a block; pairs that may be broadcast; links after which a task passes its sums on; cached units of B's text, and their characters.
-BLOCK, HOT, SUMMED, UNITS, UNIT_CHARS = 8192, 100_000, 2_000_000, 300_000, 40
+#: Ids of a block; pairs that may be broadcast; links after which a task passes its sums on; cached units of B's text, their characters, and units that are looked up together.
+BLOCK, HOT, SUMMED, UNITS, UNIT_CHARS, TOGETHER = 8192, 100_000, 2_000_000, 300_000, 40, 20_000
 EVENTS = "rid long, doc_id long, at long, side int, ids binary"
 SWEPT = "rid long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, counts binary"
 
@@ -57,7 +57,8 @@ class Pieces:
     """B's ids of a text, and the bytes of each id.
 
     If no piece holds its mark of a space behind another character, no merge crosses from a word to the space behind it, so spaces with the word that
-    follows are encoded by themselves, and remembered.
+    follows are encoded by themselves, and remembered. Those that aren't known yet are encoded together, and cut where their bytes end.
+    ASCII texts without neighbouring spaces go to ``tiktoken``, which merges bytes by rank as the model merges characters by score; see `_ranks` for what is checked when it is loaded.
     """
 
     SPACE = "▁"
@@ -69,7 +70,29 @@ class Pieces:
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(self.SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.by_word = not any(re.search(f"[^{self.SPACE}]{self.SPACE}", p) for p in pieces) and self.model.encode("a  b ") == self.model.encode("a") + self.model.encode(" b") + self.unit(" ")
+        self.lengths = np.array([len(x) for x in self.bytes], np.int64)
         self.known: dict[str, bytes] = {}
+        self.fast = self._ranks(pieces) if self.by_word else None
+
+    def _ranks(self, pieces: list[str]):
+        """The same merges by a faster engine, of ASCII words behind one space, if all pieces are plain or bytes, later ones have lower scores, and a word that is one piece is encoded as that piece."""
+        try:
+            import tiktoken
+        except ImportError:
+            return None
+        model, ranks, joined = self.model, {self.bytes[i]: i for i in range(len(pieces)) if self.model.is_byte(i)}, []
+        for i, piece in enumerate(pieces):
+            if model.is_unused(i):
+                return None
+            if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or self.SPACE * 2 in piece):
+                ranks[self.bytes[i]] = i
+                joined += [i] if len(piece) > 1 else []
+        scores = [model.get_score(i) for i in joined]
+        units = [i for i in joined if self.bytes[i].isascii() and re.fullmatch(b" [^ ]*", self.bytes[i])]
+        alike = all(a > b for a, b in zip(scores, scores[1:])) and all(self.unit(self.bytes[i].decode()) == [i] for i in units)
+        if not alike or not all(bytes([b]) in ranks for b in range(256)):
+            return None
+        return tiktoken.Encoding("pieces", pat_str=" [^ ]*", mergeable_ranks=ranks, special_tokens={})
 
     def unit(self, unit: str) -> list[int]:
         """Ids of spaces and the word behind them."""
@@ -77,20 +100,37 @@ class Pieces:
             return self.model.encode(unit[1:])
         return self.model.encode("a" + unit)[len(self.model.encode("a")) :]
 
-    def _unit(self, unit: str) -> bytes:
-        ids = self.known.get(unit)
-        if ids is None:
-            ids = np.array(self.unit(unit), "<u4").tobytes()
-            if len(unit) <= UNIT_CHARS:
-                if len(self.known) >= UNITS:
-                    self.known.clear()
-                self.known[unit] = ids
+    def units(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of different units."""
+        words = [u for u in units if u.strip(" ")]
+        raw = "".join(words)
+        ids = self.model.encode(raw[1:]) if words else []
+        if b"".join(map(self.bytes.__getitem__, ids)) == raw.encode("utf-8", "surrogatepass"):
+            ends, bounds = np.cumsum(self.lengths[ids]), np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in words])
+            last = np.searchsorted(ends, bounds, "right")
+            if np.array_equal(ends[last - 1], bounds):
+                flat, cuts = np.array(ids, "<u4").tobytes(), [0, *(4 * last).tolist()]
+                made = {u: flat[a:b] for u, a, b in zip(words, cuts, cuts[1:])}
+                return made | {u: np.array(self.unit(u), "<u4").tobytes() for u in units if u not in made}
+        return {u: np.array(self.unit(u), "<u4").tobytes() for u in units}
+
+    def _known(self, units: list[str]) -> list[bytes]:
+        ids = list(map(self.known.get, units))
+        if None in ids:
+            made = self.units([u for u in dict.fromkeys(units) if u not in self.known])
+            ids = [made[u] if x is None else x for u, x in zip(units, ids)]
+            if len(self.known) + len(made) > UNITS:
+                self.known.clear()
+            self.known.update((u, x) for u, x in made.items() if len(u) <= UNIT_CHARS)
         return ids
 
     def __call__(self, text: str) -> np.ndarray:
         if not self.by_word:
             return np.array(self.model.encode(text), "<u4")
-        return np.frombuffer(b"".join(map(self._unit, re.findall(" +[^ ]*", " " + text))), "<u4")
+        if self.fast is not None and text.isascii() and "  " not in " " + text:
+            return np.array(self.fast.encode_ordinary(" " + text), "<u4")
+        units = re.findall(" +[^ ]*", " " + text)
+        return np.frombuffer(b"".join(x for i in range(0, len(units), TOGETHER) for x in self._known(units[i : i + TOGETHER])), "<u4")
 
 
 class Sweep:
@@ -109,17 +149,19 @@ class Sweep:
         self.number[side] += len(ids)
         if not len(self.ends[1 - side]):
             return
-        both = np.intersect1d(*self.ends, assume_unique=True)
+        every = np.sort(np.concatenate(self.ends), kind="stable")
+        again = every[1:] == every[:-1]
+        both = every[1:][again]
         if len(both):
-            self._close(both)
+            self._close(both, every[np.append(True, ~again)])
 
-    def _close(self, both: np.ndarray) -> None:
-        """Groups and links up to the last of the common ends ``both``."""
+    def _close(self, both: np.ndarray, every: np.ndarray) -> None:
+        """Groups and links up to the last of the common ends ``both``, of all different ends ``every``."""
         cuts = [int(np.searchsorted(e, both[-1], "right")) for e in self.ends]
         ids, ends = [x[:n] for x, n in zip(self.ids, cuts)], [x[:n] for x, n in zip(self.ends, cuts)]
         self.ids, self.ends = [x[n:] for x, n in zip(self.ids, cuts)], [x[n:] for x, n in zip(self.ends, cuts)]
         # A link lies between neighbouring ends, of the tokens that end there or next.
-        every = np.union1d(*ends)
+        every = every[: np.searchsorted(every, both[-1], "right")]
         a, b = (i[np.searchsorted(e, every)] for i, e in zip(ids, ends))
         self.pairs.append(a.astype(np.int64) << 32 | b.astype(np.int64))
         self.links += len(every)
