@@ -15,7 +15,7 @@ against the group's leader, the text that shares bands with most others, and ver
 only groups that still span several components are looked at again: groups of up to ``PAIRS``
 texts compare all pairs between components; larger ones compare with leaders
 that change from round to round,
-the most central texts of random parts, until a round finds no link. The texts of larger groups that span several components
+the most central texts of random parts, until a round finds few links. The texts of larger groups that span several components
 even then are joined exactly, by a prefix filter: with each set's shingles in one order, rare ones first, near sets share one
 of the first (1 - similarity) * size, and behind the first that they share enough of both is left. Only such pairs between components are verified, once each.
 
@@ -176,17 +176,17 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def banded(rows: DataFrame) -> DataFrame:
-    """near_a and the band keys of each text of ``rows``."""
+    """near_a, doc_id and the band keys of each of ``rows``."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
-            for begin, texts in _slices(batch, 1):
+            for begin, texts in _slices(batch, 2):
                 keys = band_keys(signatures(*shingles(texts, cache), len(texts)))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), flat], ["near_a", "near_keys"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, len(texts)) for i in (0, 1)), flat], ["near_a", "doc_id", "near_keys"])
 
-    return rows.select("near_a", "text").mapInArrow(made, "near_a long, near_keys array<long>")
+    return rows.select("near_a", "doc_id", "text").mapInArrow(made, "near_a long, doc_id long, near_keys array<long>")
 
 
 def contents(rows: DataFrame) -> DataFrame:
@@ -205,10 +205,21 @@ def contents(rows: DataFrame) -> DataFrame:
     return rows.select("near_a", "text").mapInArrow(made, "near_a long, near_set binary")
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A kept table of ids, which a join broadcasts if it has at most SMALL rows."""
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose multisets are similar enough."""
+    """The pairs (u, v) of a kept table whose multisets are similar enough.
+
+    Few pairs go to the sets, and the two sets of a pair meet by the pair: what stands in very many pairs is in one task no more than others.
+    """
     x, y = sets.select(F.col("near_a").alias("u"), F.col("near_set").alias("su")), sets.select(F.col("near_a").alias("v"), F.col("near_set").alias("sv"))
-    both = pairs.join(x, "u").join(y, "v").select("u", "v", "su", "sv")
+    if pairs.count() <= SMALL:
+        both = x.join(F.broadcast(pairs), "u").join(y.join(F.broadcast(pairs), "v"), ["u", "v"]).select("u", "v", "su", "sv")
+    else:
+        both = pairs.join(x, "u").join(y, "v").select("u", "v", "su", "sv")
 
     def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -229,19 +240,21 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """near_a and root of every node: smallest labels spread over links, and each label jumps to its own label, until none changes."""
-    both, drop_both = keep(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).distinct())
+    """near_a and root of every node of a kept table of links (u, v): smallest labels spread over links, and each label jumps to its own label, until none changes."""
+    both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
     labels, drop_labels = keep(both.groupBy(F.col("u").alias("near_a")).agg(F.least(F.first("u"), F.min("v")).alias("root")))
+    few = labels.count() <= SMALL
     while True:
-        said = both.join(labels.select(F.col("near_a").alias("v"), "root"), "v").select(F.col("u").alias("near_a"), "root", F.lit(None).cast("long").alias("was"))
+        known = labels.select(F.col("near_a").alias("v"), F.col("root").alias("said"))
+        known = F.broadcast(known) if few else known
+        said = both.join(known, "v").select(F.col("u").alias("near_a"), F.col("said").alias("root"), F.lit(None).cast("long").alias("was"))
         own = labels.select("near_a", "root", F.col("root").alias("was"))
         lower = said.union(own).groupBy("near_a").agg(F.min("root").alias("root"), F.max("was").alias("was"))
-        jump = labels.select(F.col("near_a").alias("root"), F.col("root").alias("beyond"))
-        step, drop_step = keep(lower.join(jump, "root").select("near_a", F.least("root", "beyond").alias("root"), (F.col("was") != F.least("root", "beyond")).alias("moved")))
+        step = lower.join(known, F.col("root") == F.col("v")).select("near_a", F.least("root", "said").alias("root"), (F.col("was") != F.least("root", "said")).alias("moved"))
+        step, drop_step = keep(step)
         drop_labels()
         labels, drop_labels = step.select("near_a", "root"), drop_step
         if step.where("moved").isEmpty():
-            drop_both()
             return labels
 
 
@@ -366,7 +379,8 @@ def across(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     A text is sent once, with the few shingles by which near texts must meet, however many groups it is in and however large they are.
     """
-    texts, drop_texts = keep(rows.select("near_a", "root").distinct().join(sets, "near_a"))
+    roots, drop_roots = keep(rows.select("near_a", "root").distinct())
+    texts, drop_texts = keep(sets.join(small(roots), "near_a").select("near_a", "root", "near_set"))
     size = texts.agg(F.sum((1 - similarity) * F.octet_length("near_set") / 8 + 1)).first()[0] or 0
     buckets = 1 + int(size) // ENTRIES
 
@@ -375,47 +389,49 @@ def across(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         return pa.table({"u": pa.array(u), "v": pa.array(v)})
 
     pairs = cut(packed(texts, similarity, buckets).groupBy("bucket").applyInArrow(meet, "u long, v long").distinct())
-    near, roots = verified(pairs, texts.select("near_a", "near_set"), similarity), texts.select("near_a", "root")
-    for end in ("u", "v"):
-        near = near.join(roots.select(F.col("near_a").alias(end), F.col("root").alias(f"{end}_root")), end)
-    found = cut(near.select(F.least("u_root", "v_root").alias("u"), F.greatest("u_root", "v_root").alias("v")).distinct())
+    found = cut(rooted(verified(pairs, texts.select("near_a", "near_set"), similarity), roots).distinct())
     drop_texts()
+    drop_roots()
     return found
 
 
+def rooted(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """``links`` (u, v) as links of the roots that the kept table ``labels`` gives; others are their own."""
+    by = small(labels)
+    for end in ("u", "v"):
+        links = links.join(by.select(F.col("near_a").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(end, F.coalesce(f"{end}_root", end)).drop(f"{end}_root")
+    return links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` after links (u, v) between roots. Only components are linked anew: the graph of their roots is small."""
-    merged = components(cut(links.where("u <> v").distinct()))
-    moved = labels.join(merged.select(F.col("near_a").alias("root"), F.col("root").alias("top")), "root", "left").select("near_a", F.coalesce("top", "root").alias("root"))
-    return cut(moved.union(merged.join(labels, "near_a", "left_anti")))
+    """``labels`` after a kept table of links (u, v) between roots. Only components are linked anew: the graph of their roots is small."""
+    merged = components(links)
+    moved = labels.join(small(merged).select(F.col("near_a").alias("root"), F.col("root").alias("top")), "root", "left").select("near_a", F.coalesce("top", "root").alias("root"))
+    return cut(moved.union(merged.join(small(labels), "near_a", "left_anti")))
 
 
 def linked(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """near_a and root of the texts that have a near-duplicate."""
     rows = keyed(docs).where("near_words")
-    bands, drop_bands = keep(banded(rows).groupBy("near_a").agg(F.first("near_keys").alias("near_keys")))
+    bands, drop_bands = keep(banded(rows).groupBy("near_a").agg(F.min("doc_id").alias("own_id"), F.first("near_keys").alias("near_keys")))
     every = bands.select("near_a", F.explode("near_keys").alias("key"))
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found_groups, drop_found = keep(every.join(shared, "key").select("key", "near_a", "n"))
     # A text whose bands many texts share is likely the one that copies were made from, and near to most of them.
-    central = found_groups.groupBy("near_a").agg(F.sum("n").alias("score"))
-    groups, drop_groups = keep(found_groups.join(central, "near_a").select("key", "near_a", "n", "score"))
+    central, drop_central = keep(found_groups.groupBy("near_a").agg(F.sum("n").alias("score")))
+    groups, drop_groups = keep(found_groups.join(small(central), "near_a").select("key", "near_a", "n", "score"))
     drop_found()
-    wanted = cut(groups.select("near_a").distinct())
-    chosen = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
-    owners = cut(rows.groupBy("near_a").agg(F.min("doc_id").alias("doc_id")).join(chosen, "near_a", "left_semi"))
-    owners = owners.select(F.col("near_a").alias("own_a"), F.col("doc_id").alias("own_id"))
-    once = rows.join(F.broadcast(owners) if owners.count() <= SMALL else owners, (F.col("near_a") == F.col("own_a")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left_semi")
-    sets, drop_sets = keep(contents(once))
-    sets_once = sets.dropDuplicates(["near_a"])
+    owners, drop_owners = keep(bands.join(small(central), "near_a", "left_semi").select(F.col("near_a").alias("own_a"), "own_id"))
+    once = rows.join(small(owners), (F.col("near_a") == F.col("own_a")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left_semi")
+    sets, drop_sets = keep(contents(once).dropDuplicates(["near_a"]))
     leaders = groups.groupBy("key").agg(F.max(F.struct("score", "near_a"))["near_a"].alias("leader"))
     pairs = groups.join(leaders, "key").where("near_a <> leader").select(F.least("leader", "near_a").alias("u"), F.greatest("leader", "near_a").alias("v")).distinct()
     tested = cut(pairs)
-    labels = components(cut(verified(tested, sets_once, similarity)))
+    labels = components(cut(verified(tested, sets, similarity)))
     turn = 0
     while True:
         turn += 1
-        placed = groups.join(labels, "near_a", "left").select("key", "near_a", "n", "score", F.coalesce("root", "near_a").alias("root"))
+        placed = groups.join(small(labels), "near_a", "left").select("key", "near_a", "n", "score", F.coalesce("root", "near_a").alias("root"))
         # The most central text of each of some random parts of a group, other parts in each round.
         part = F.pmod(F.xxhash64("near_a", F.lit(turn)), F.lit(LEADERS))
         leads = [F.max(F.when(part == i, F.struct("score", "near_a", "root"))).alias(f"l{i}") for i in range(LEADERS)]
@@ -426,21 +442,21 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         few = open_rows.where(F.col("n") <= PAIRS).select("key", "near_a", "root")
         within = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.near_a") < F.col("b.near_a")) & (F.col("a.root") != F.col("b.root"))).select(F.col("a.near_a").alias("u"), F.col("b.near_a").alias("v"))
         many = open_rows.where(F.col("n") > PAIRS).select("near_a", F.explode(F.filter("leads", lambda x: x["root"] != F.col("root"))).alias("lead")).select(F.least("near_a", "lead.near_a").alias("u"), F.greatest("near_a", "lead.near_a").alias("v"))
-        fresh = cut((within.union(many) if turn == 1 else many).distinct().join(tested, ["u", "v"], "left_anti"))
-        found = cut(verified(fresh, sets_once, similarity))
-        if found.isEmpty():
+        fresh = cut((within.union(many) if turn == 1 else many).distinct().join(small(tested), ["u", "v"], "left_anti"))
+        found = cut(verified(fresh, sets, similarity))
+        # What so few links join has no more pairs than were just compared: the exact join finds the rest of it in place of further rounds.
+        if found.count() ** 2 <= 2 * fresh.count():
             break
         drop_open()
-        tested, named = cut(tested.union(fresh)), labels
-        for end in ("u", "v"):
-            found = found.join(named.select(F.col("near_a").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(end, F.coalesce(f"{end}_root", end)).drop(f"{end}_root")
-        labels = joined(labels, found)
-    rest = open_rows.where(F.col("n") > PAIRS).select("near_a", "root")
+        tested = cut(tested.union(fresh))
+        labels = joined(labels, cut(rooted(found, labels).where("u <> v").distinct()))
+    links, rest = rooted(found, labels), open_rows.where(F.col("n") > PAIRS).select("near_a", "root")
     if not rest.isEmpty():
-        links = across(rest, sets_once, similarity)
-        labels = labels if links.isEmpty() else joined(labels, links)
+        links = links.union(across(rest, sets, similarity))
+    links = cut(links.where("u <> v").distinct())
+    labels = labels if links.isEmpty() else joined(labels, links)
     drop_open()
-    for drop in (drop_bands, drop_groups, drop_sets):
+    for drop in (drop_bands, drop_central, drop_groups, drop_owners, drop_sets):
         drop()
     return labels
 
