@@ -69,8 +69,8 @@ def powers(base: int, n: int, cache: dict) -> np.ndarray:
     return cache[base]
 
 
-def shingles(texts: list[bytes], cache: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of every shingle, sorted by both; a hash occurs as often as its shingle does."""
+def hashed_words(texts: list[bytes], cache: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of every word, in order."""
     buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     space = (buffer == 32) | ((buffer >= 9) & (buffer <= 13))
     edge = np.diff(space.astype(np.int8), prepend=1)
@@ -82,7 +82,12 @@ def shingles(texts: list[bytes], cache: dict) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(values[buffer] * up[: len(buffer)], out=sums[1:])
     words = mixed((sums[ends] - sums[starts]) * down[starts])
     first = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-    owner = np.searchsorted(first, starts, "right") - 1
+    return np.searchsorted(first, starts, "right") - 1, words
+
+
+def shingles(texts: list[bytes], cache: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of every shingle, sorted by both; a hash occurs as often as its shingle does."""
+    owner, words = hashed_words(texts, cache)
     n = len(words)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.uint64)

@@ -42,7 +42,7 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.removed(read(spark, sf_dir, "documents"))
+    return repeats.reported(read(spark, sf_dir, "documents"))
 
 
 @query

@@ -23,6 +23,9 @@ Null texts are empty. Texts below SPAN bytes are kept whole. Repeated rows are c
 like them. Extra columns are ignored, whatever their names. An empty table gives no rows. A text of any length is fingerprinted in slices of ``SLICE`` starts, which go on SPAN - 1 bytes,
 in some 60 bytes a byte of a slice. A window's anchor doesn't depend on its slice; a context that a border cuts is two contexts, which step 3 tells apart as it does all others.
 
+Passages of over 50 words that stand elsewhere too may be shorter than SPAN bytes; they are kept, and `passages` counts their words. It samples in the same way, by words:
+windows of ``PASSAGE`` words have their least gram of ``GRAM`` words as anchor, and where an anchor occurs twice, the windows that have it are named.
+
 Sums modulo 2^64 are weak on Thue-Morse words, which take 1,024 bytes to be so; a context has less than 2 * SPAN.
 """
 
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import cut, keep
-from vellum.llm.neardup import mixed, powers
+from vellum.llm.neardup import _slices, hashed_words, mixed, powers
 
 SPAN = 400
 #: Rows up to this number are broadcast as ids of 16 bytes.
@@ -47,6 +50,8 @@ _PLACE = np.uint64((1 << 28) - 1)
 RUNS = "sa_id long, sa_text long, name long, c1 long, c2 long, skip int, lo int, hi int"
 #: Starts of a block, and of a slice.
 STEP, SLICE = 16, 4 << 20
+#: Words of a window, and of the grams that anchor it.
+PASSAGE, GRAM = 51, 25
 
 
 class Prints:
@@ -240,6 +245,81 @@ def covered(docs: DataFrame, span: int = SPAN) -> DataFrame:
     return found
 
 
+def _anchored(texts: list[bytes], passage: int, gram: int, cache: dict) -> tuple[np.ndarray, ...]:
+    """Of every window of ``passage`` words: text number, first word, anchor's place and name, and two names of its own."""
+    owner, words = hashed_words(texts, cache)
+    windows, wide = len(words) - passage + 1, passage - gram + 1
+    if windows < 1:
+        none = np.empty(0, np.int64)
+        return (none,) * 6
+    sums, down = [], []
+    for i, base in enumerate(_BASES):
+        total = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(mixed(words + np.uint64(i)) * powers(base, len(words), cache)[: len(words)], out=total[1:])
+        sums.append(total)
+        down.append(powers(pow(base, -1, 1 << 64), len(words), cache))
+
+    def named(n: int, which: int) -> np.ndarray:
+        count = len(words) - n + 1
+        return mixed((sums[which][n:] - sums[which][:count]) * down[which][:count])
+
+    names = named(gram, 0)
+    packed = (names & ~_PLACE) | np.arange(len(names), dtype=np.uint64)
+    blocks = -(-len(names) // wide)
+    padded = np.full(blocks * wide, np.iinfo(np.uint64).max, np.uint64)
+    padded[: len(names)] = packed
+    grid = padded.reshape(blocks, wide)
+    onward = np.minimum.accumulate(grid, axis=1).reshape(-1)
+    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    anchor = (np.minimum(back[:windows], onward[wide - 1 : wide - 1 + windows]) & _PLACE).astype(np.int64)
+    at = np.flatnonzero(owner[:windows] == owner[passage - 1 :])
+    place = at - np.searchsorted(owner, owner[at])
+    return owner[at], place, anchor[at], names[anchor[at]].view(np.int64), named(passage, 0)[at].view(np.int64), named(passage, 1)[at].view(np.int64)
+
+
+def passages(rows: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+    """sa_id, sa_text and n_passage_words, the words in passages of ``passage`` words that also start anywhere else, of each text of ``rows`` that has any."""
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
+        for batch in batches:
+            for begin, texts in _slices(batch, 2):
+                of, _, anchor, name, _, _ = _anchored(texts, passage, gram, cache)
+                fresh = np.flatnonzero(np.diff(anchor, prepend=-1))
+                part = batch.slice(begin, len(texts))
+                where = pa.array(of[fresh])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(name[fresh])], ["sa_id", "sa_text", "name"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
+        for batch in batches:
+            for begin, texts in _slices(batch, 2):
+                of, place, _, name, w1, w2 = _anchored(texts, passage, gram, cache)
+                part = batch.slice(begin, len(texts))
+                wanted = part.column(3)
+                owner = np.repeat(np.arange(len(texts)), np.diff(wanted.offsets.to_numpy()))
+                both = pa.table({"of": of, "name": name, "i": np.arange(len(of))}).join(pa.table({"of": owner, "name": wanted.flatten()}), ["of", "name"], join_type="left semi")
+                use = np.sort(both["i"].to_numpy())
+                where = pa.array(of[use])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(place[use], pa.int32()), pa.array(w1[use]), pa.array(w2[use])], ["sa_id", "sa_text", "place", "w1", "w2"])
+
+    found, drop_found = keep(rows.select("sa_id", "sa_text", "text").mapInArrow(anchors, "sa_id long, sa_text long, name long"))
+    often, drop_often = keep(found.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"))
+    places, drop_places = keep(found.join(often, "name", "left_semi").groupBy("sa_id", "sa_text").agg(F.collect_set("name").alias("names")))
+    drop_found()
+    drop_often()
+    some = _of(rows, places.select("sa_id", "sa_text"), "left_semi").join(places, ["sa_id", "sa_text"])
+    named, drop_named = keep(some.select("sa_id", "sa_text", "text", "names").mapInArrow(windows, "sa_id long, sa_text long, place int, w1 long, w2 long"))
+    again, drop_again = keep(named.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"))
+    starts = F.sort_array(F.collect_set("place"))
+    hits = named.join(again, ["w1", "w2"], "left_semi").groupBy("sa_id", "sa_text").agg(starts.alias("at"))
+    gaps = F.zip_with(F.slice("at", 2, F.size("at")), F.slice("at", 1, F.size("at") - 1), lambda b, a: F.least(b - a, F.lit(passage)))
+    counted = cut(hits.select("sa_id", "sa_text", F.aggregate(gaps, F.lit(passage), lambda n, x: n + x).cast("long").alias("n_passage_words")))
+    for drop in (drop_places, drop_named, drop_again):
+        drop()
+    return counted
+
+
 def merged(spans: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of covered bytes."""
     start, end = (spans.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("start", "end"))
@@ -251,19 +331,17 @@ def merged(spans: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
     return start[fresh], end[last]
 
 
-def _cut_out(rows: DataFrame, schema: str, row) -> DataFrame:
-    """``row`` (raw text, starts, ends) -> values, over rows (doc_id, text, spans)."""
-    names = [x.split()[0] for x in schema.split(", ")]
+def _cut_out(rows: DataFrame, keys: str, schema: str, row) -> DataFrame:
+    """The columns ``keys`` and ``row`` (raw text, starts, ends) -> values of ``schema``, over rows (keys, text, spans)."""
+    passed, names = [x.split()[0] for x in keys.split(", ")], [x.split()[0] for x in schema.split(", ")]
     kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                out.append((doc, *row(_raw(text), *merged(spans.values))))
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out) if out else [()] * len(kinds), kinds)], names)
+            out = [row(_raw(text), *merged(spans.values)) for text, spans in zip(batch.column(0), batch.column(1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *(pa.array(x, kind) for x, kind in zip(zip(*out) if out else [()] * len(kinds), kinds))], [*passed, *names])
 
-    return rows.select("doc_id", "text", "spans").mapInArrow(made, schema)
+    return rows.select("text", "spans", *passed).mapInArrow(made, f"{keys}, {schema}")
 
 
 def kept_pieces(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -271,11 +349,11 @@ def kept_pieces(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]
     return [raw[a:b] for a, b in zip(bounds[::2], bounds[1::2])]
 
 
-def removed(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept and repeated (is anything removed) of every document (doc_id, text)."""
+def _judged(docs: DataFrame, span: int) -> DataFrame:
+    """`removed`, behind sa_id and sa_text."""
     found, rows = covered(docs, span), keyed(docs)
     ids = found.select("sa_id", "sa_text")
-    plain = _of(rows, ids, "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    plain = _of(rows, ids, "left_anti").select("sa_id", "sa_text", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
 
     def digest(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:
         whole = hashlib.sha256()
@@ -284,14 +362,26 @@ def removed(docs: DataFrame, span: int = SPAN) -> DataFrame:
         return len(raw), int((ends - starts).sum()), len(starts), whole.hexdigest()
 
     hit = _of(rows, ids, "left_semi").join(found, ["sa_id", "sa_text"])
-    done = plain.unionByName(_cut_out(hit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", digest))
+    done = plain.unionByName(_cut_out(hit, "sa_id long, sa_text long, doc_id long", "n_bytes long, n_removed long, n_spans long, kept_sha256 string", digest))
     return done.withColumns({"n_kept": F.col("n_bytes") - F.col("n_removed"), "repeated": F.col("n_removed") > 0})
 
 
+def removed(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept and repeated (is anything removed) of every document (doc_id, text)."""
+    return _judged(docs, span).drop("sa_id", "sa_text")
+
+
+def reported(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """`removed` and n_passage_words, the words in passages of over 50 words that also start anywhere else: these are kept where they are below ``span`` bytes."""
+    done, shared = _judged(docs, span), passages(keyed(docs))
+    both = done.join(F.broadcast(shared) if shared.count() <= SMALL else shared, ["sa_id", "sa_text"], "left").drop("sa_id", "sa_text")
+    return both.withColumn("n_passage_words", F.coalesce("n_passage_words", F.lit(0).cast("long")))
+
+
 def cleaned(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id and kept (the remaining bytes; a cut may fall inside a character) of every document."""
     found, rows = covered(docs, span), keyed(docs)
     ids = found.select("sa_id", "sa_text")
     plain = _of(rows, ids, "left_anti").select("doc_id", F.col("text").cast("binary").alias("kept"))
     hit = _of(rows, ids, "left_semi").join(found, ["sa_id", "sa_text"])
-    return plain.unionByName(_cut_out(hit, "doc_id long, kept binary", lambda raw, a, b: (b"".join(kept_pieces(raw, a, b)),)))
+    return plain.unionByName(_cut_out(hit, "doc_id long", "kept binary", lambda raw, a, b: (b"".join(kept_pieces(raw, a, b)),)))
