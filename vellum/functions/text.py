@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,6 +16,11 @@ REQUIREMENT_NEEDLES = {"university": ("university", "universite"), "required": (
 PII = r"(?U)[\w.+-]+@[\w-]+\.[\w.-]+|\+?\d[\d\s().-]{7,}\d"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, which is evaluated once a row however often ``body`` names it, also within a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

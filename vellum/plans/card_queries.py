@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.plans import catalog
-from vellum.sources.tables import table
+from vellum.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,9 +25,9 @@ def obj(**fields: Column) -> Column:
 
 
 def records(spark: SparkSession, sf_dir: str, path: str, of: Callable[..., Column]) -> DataFrame:
-    """source_path, line_no, line and v of one record a part; ``of`` gets key, name, size and brand."""
+    """source_path, line_no, line and v of one record a part, over all cores, as a record is many times its part; ``of`` gets key, name, size and brand."""
     made = of(F.col("p_partkey"), F.col("p_name"), F.col("p_size"), F.col("p_brand"))
-    rows = table(spark, sf_dir, "part").select(F.lit(path).alias("source_path"), F.col("p_partkey").alias("line_no"), F.to_json(made).alias("line"))
+    rows = spread(table(spark, sf_dir, "part")).select(F.lit(path).alias("source_path"), F.col("p_partkey").alias("line_no"), F.to_json(made).alias("line"))
     return rows.withColumn("v", F.parse_json("line"))
 
 
